@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import line_rules, mixing
+from . import line_rules, mixing, packing, simhash
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,8 +22,17 @@ def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.apply_line_rules(read(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = simhash.near_duplicates(spark, read(spark, sf_dir, "documents"))
+    return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_line_rules)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_line_rules, op3_simhash, op4_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
