@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_rules, mixing, packing, simhash
-from .common import read
+from . import langid, line_rules, mixing, packing, quality, simhash
+from .common import crc_mod, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,8 +31,23 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = langid.train(docs, langid.in_training(F.col("doc_id")))
+    scored = langid.identify(spark, docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(spark, docs, read(spark, sf_dir, "labels"), quality.in_training(F.col("doc_id")))
+    scored = quality.classify(spark, docs, model)
+    score = F.col("quality_score")
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), score.alias("score"), F.when(score >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_line_rules, op3_simhash, op4_pack)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_line_rules, op3_simhash, op4_pack, op7_language_id, op8_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
