@@ -11,15 +11,14 @@ For scoring, each feature's vector times the output weights is one number, and a
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,20 +29,52 @@ MAX_PER_CLASS = 2000
 EPOCHS, RATE, SEED = 4, 1.0, 8
 SAME = "\x00same"
 REMEMBERED = 200_000
-#: A word's part that makes features; the rest of very long words (over this many characters) is covered by pieces of this length.
-PIECE = 64
-SHAPES = ((regex.compile(r"\p{Lu}+"), "A"), (regex.compile(r"[\p{Ll}\p{Lo}\p{M}]+"), "a"), (regex.compile(r"\p{N}+"), "0"))
-
-
-def features(word: str, bits: int = BITS) -> np.ndarray:
-    mask, shape = (1 << bits) - 1, word
-    for pattern, sign in SHAPES:
-        shape = pattern.sub(sign, shape)
-    keys = [f"w{word}", f"s{shape}"]
-    for at in range(0, len(word), PIECE):
-        piece = f"<{word[at : at + PIECE]}>"
-        keys += [piece[i : i + n] for n in GRAMS for i in range(len(piece) - n + 1)]
-    return np.array([zlib.crc32(k.encode("utf-8", "surrogatepass")) * 2654435761 >> 7 & mask for k in keys], np.int64)
+#: Multipliers of the feature hashes, and their number of powers (positions in very long words go round).
+FACTOR, POWERS = 0x9E3779B97F4A7C15, 4096
+
+
+@lru_cache(maxsize=1)
+def tables() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of FACTOR; the sign of each code point in a word's shape."""
+    powers = np.cumprod(np.full(POWERS, FACTOR, np.uint64))
+    signs = np.arange(0x110000, dtype=np.uint32)
+    for i in range(0x110000):
+        c = chr(i)
+        if c.isalpha():
+            signs[i] = 65 if c.isupper() else 97
+        elif c.isnumeric():
+            signs[i] = 48
+    return powers, signs
+
+
+def features(words: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all features of all words, and the index of the word that each belongs to."""
+    if not words:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    powers, signs = tables()
+    c = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    begin = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(words)), size)
+    place = np.arange(len(c)) - begin[owner]
+    shape = signs[c]
+    first = (place == 0) | np.concatenate(([True], shape[1:] != shape[:-1]))  # of each run
+    run = np.cumsum(first)
+    run_place = (run - run[begin][owner]) % POWERS
+    wide = c.astype(np.uint64)
+    found = [np.add.reduceat(wide * powers[place % POWERS], begin), np.add.reduceat(np.where(first, shape * powers[run_place], 0).astype(np.uint64), begin) + np.uint64(1)]
+    owners = [np.arange(len(words))] * 2
+    for n in GRAMS:
+        if len(c) >= n:
+            inside = np.flatnonzero(place[: len(c) - n + 1] + n <= size[owner[: len(c) - n + 1]])
+            h = np.full(len(inside), n, np.uint64)
+            for k in range(n):
+                h = (h + wide[inside + k]) * powers[k]
+            found.append(h)
+            owners.append(owner[inside])
+    h = np.concatenate(found)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(FACTOR)
+    return (h >> np.uint64(64 - bits)).astype(np.int64), np.concatenate(owners)
 
 
 def tokens(text: str | None) -> Counter:
@@ -54,20 +85,6 @@ def tokens(text: str | None) -> Counter:
     return found
 
 
-class Remembered(dict):
-    """Values by word, computed once; begins anew when full."""
-
-    def __init__(self, of):
-        super().__init__()
-        self.of = of
-
-    def __missing__(self, word: str):
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = got = self.of(word)
-        return got
-
-
 @dataclass
 class Model:
     weights: np.ndarray  # of each feature, for class 1 against class 0
@@ -104,13 +121,12 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_where:
     chosen = usable.where("quality = 0").orderBy(*order).limit(max_per_class).union(usable.where("quality = 1").orderBy(*order).limit(max_per_class))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Remembered(lambda w: features(w, bits))
         for batch in slices(batches):
             at, share = [], []
             for text in batch.column("text").to_pylist():
                 found = tokens(text)
-                lists = [of[w] for w in found]
-                total = np.bincount(np.concatenate(lists), np.repeat(list(found.values()), list(map(len, lists)))) if lists else np.zeros(0)
+                bucket, owner = features(list(found), bits)
+                total = np.bincount(bucket, np.array(list(found.values()))[owner] if found else None)
                 i = np.flatnonzero(total)
                 at.append(i.astype(np.int32).tobytes())
                 share.append((total[i] / max(total.sum(), 1)).astype(np.float32).tobytes())
@@ -123,14 +139,25 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_where:
     return fit([(np.frombuffer(r.at, np.int32), np.frombuffer(r.share, np.float32), r.quality) for r in rows], bits)
 
 
-def score_text(text: str | None, of: Remembered, bias: float) -> float:
-    """of: (sum of weights, number of features) by word."""
-    total = n = 0.0
-    for word, count in tokens(text).items():
-        s, k = of[word]
-        total += count * s
-        n += count * k
-    return float(1 / (1 + np.exp(-np.clip(total / n + bias if n else bias, -500, 500))))
+def score_texts(texts: list[str | None], model: Model, known: dict[str, tuple[float, int]]) -> list[float]:
+    """known: sum of weights and number of features by word; gets the words that it lacks."""
+    counted = [tokens(t) for t in texts]
+    new = list({w for found in counted for w in found if w not in known})
+    if len(known) + len(new) > REMEMBERED:
+        known.clear()
+        new = list({w for found in counted for w in found})
+    bucket, owner = features(new, len(model.weights).bit_length() - 1)
+    sums, sizes = np.bincount(owner, model.weights[bucket], len(new)), np.bincount(owner, minlength=len(new))
+    known.update(zip(new, zip(sums.tolist(), sizes.tolist())))
+    scores = []
+    for found in counted:
+        total = n = 0.0
+        for word, count in found.items():
+            s, k = known[word]
+            total += count * s
+            n += count * k
+        scores.append(float(1 / (1 + np.exp(-np.clip(total / n + model.bias if n else model.bias, -500, 500)))))
+    return scores
 
 
 def classify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
@@ -144,16 +171,9 @@ def classify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     schema = docs.selectExpr("*", "0D AS quality_score").schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        bits = len(model.weights).bit_length() - 1
-
-        def of_word(word: str) -> tuple[float, int]:
-            at = features(word, bits)
-            return float(model.weights[at].sum()), len(at)
-
-        of = Remembered(of_word)
-        for batch in slices(batches):
-            found = [score_text(t, of, model.bias) for t in batch.column("text").to_pylist()]
+        known: dict[str, tuple[float, int]] = {}
+        for batch in slices(batches, limit=2 << 20):
+            found = score_texts(batch.column("text").to_pylist(), shared.value, known)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "quality_score"])
 
     return docs.mapInArrow(score, schema)
