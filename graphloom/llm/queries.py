@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_rules, mixing, packing, quality, simhash
+from . import kneser_ney, langid, line_rules, mixing, packing, quality, simhash
 from .common import crc_mod, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,12 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = kneser_ney.score(docs, kneser_ney.train(spark, docs, kneser_ney.in_training(F.col("doc_id"))))
+    return scored.withColumn("held_out", crc_mod(F.col("doc_id"), 10) == 0)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = langid.train(docs, langid.in_training(F.col("doc_id")))
@@ -47,7 +53,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_line_rules, op3_simhash, op4_pack, op7_language_id, op8_quality_classifier)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_line_rules, op3_simhash, op4_pack, op5_kneser_ney, op7_language_id, op8_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
