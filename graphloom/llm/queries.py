@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kneser_ney, langid, line_rules, mixing, packing, quality, simhash
+from . import chat, kneser_ney, langid, line_rules, mixing, packing, quality, simhash, topk
 from .common import crc_mod, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,9 +52,17 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), score.alias("score"), F.when(score >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.format_conversations(chat.with_probe(spark, read(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_line_rules, op3_simhash, op4_pack, op5_kneser_ney, op7_language_id, op8_quality_classifier)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_line_rules, op3_simhash, op4_pack, op5_kneser_ney, op7_language_id, op8_quality_classifier, op9_top_k, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.MIX_SQL, "op2_line_rules": line_rules.RULES_SQL}
+    return {"op1_mix_sources": mixing.MIX_SQL, "op2_line_rules": line_rules.RULES_SQL, "op9_top_k": topk.TOP_K_SQL, "op10_chat_format": chat.CHAT_SQL}
