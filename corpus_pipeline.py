@@ -1,12 +1,57 @@
-"""The corpus pipeline: documents through the operators of graphloom.llm, stage by stage."""
+"""The corpus pipeline: documents through five operators of graphloom.llm, stage by stage.
+
+Each stage takes (spark, docs, sf_dir), docs being what the stage before has written, and returns a DataFrame. All but
+the last return the columns of documents. Models are learned from the labelled rows of sf_dir's own tables, not from
+what a stage before has kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.llm import langid, mixing, packing, quality, simhash
+from graphloom.llm.common import cut_lineage, read
+
+#: A document stays if its score for quality is at least this, and its language's probability at least that.
+MIN_QUALITY, MIN_LANGUAGE = 0.5, 0.5
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    model = quality.train(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), quality.in_training(F.col("doc_id")))
+    return quality.classify(spark, docs, model).where(F.col("quality_score") >= MIN_QUALITY).select(*docs.columns)
+
+
+def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in a language that was learned, with enough probability."""
+    model = langid.train(read(spark, sf_dir, "documents"), langid.in_training(F.col("doc_id")))
+    named = langid.identify(spark, docs, model)
+    return named.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= MIN_LANGUAGE)).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest id."""
+    return simhash.keep_one(spark, docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many rows as before, in expectation, with all sources alike: documents are repeated or left out by Poisson counts."""
+    return mixing.mix_sources(docs).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 4096 tokens."""
+    return packing.pack(docs)
+
 
-STAGES: list = []
-ORACLE_SQL = None
+STAGES = [("quality classifier", keep_quality), ("language ID", keep_language), ("SimHash near-dedup", drop_near_copies), ("mixing sources", mix), ("packing", pack)]
+ORACLE_SQL = None  # models and packing aren't SQL's
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over documents; each but the last is written to the shared folder and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut_lineage(spark, stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
