@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, kneser_ney, langid, line_rules, mixing, packing, quality, simhash, topk
+from . import chat, extraction, kneser_ney, langid, line_rules, mixing, packing, quality, simhash, topk
 from .common import crc_mod, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,11 @@ def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", crc_mod(F.col("doc_id"), 10) == 0)
 
 
+def op6_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extraction.extract(spark, pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = langid.train(docs, langid.in_training(F.col("doc_id")))
@@ -61,7 +66,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_line_rules, op3_simhash, op4_pack, op5_kneser_ney, op7_language_id, op8_quality_classifier, op9_top_k, op10_chat_format)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_line_rules, op3_simhash, op4_pack, op5_kneser_ney, op6_extract, op7_language_id, op8_quality_classifier, op9_top_k, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
