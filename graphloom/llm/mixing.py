@@ -12,13 +12,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut_lineage
+
 #: A piece's largest rate, and the number of steps of its table: P(X > 63) is below 1e-17 at a rate of 16.
 MAX_PIECE_RATE, STEPS = 16.0, 64
 LOG_FACTORIAL = [math.lgamma(k + 1) for k in range(STEPS)]
 SEED = "mix-1"
+#: Sources up to which the table of rates (some 600 bytes a source) is broadcast; beyond, it is joined with salted keys.
+MAX_BROADCAST_SOURCES, SALTS = 20_000, 64
 
 
 def hash_below_one(*parts: Column) -> Column:
@@ -26,19 +30,18 @@ def hash_below_one(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
 
 
-def repetition_rates(docs: DataFrame, weights: dict[str, float] | None, default_weight: float, rows_out: int | None, source: str) -> DataFrame:
+def repetition_rates(spark: SparkSession, docs: DataFrame, weights: dict[str, float] | None, default_weight: float, rows_out: int | None, source: str) -> DataFrame:
     """(mix_source, rate, pieces, cdf) per source: counts are aggregated before the shuffle, so a hot source costs no more."""
     counts = docs.groupBy(F.coalesce(F.col(source), F.lit("")).alias("mix_source")).agg(F.count("*").alias("n"))
     w = F.lit(default_weight)
     if weights:
         table = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])
         w = F.coalesce(F.element_at(table, F.col("mix_source")), w)
-    counts = counts.withColumn("w", w)
-    totals = counts.agg(F.sum("n").alias("n_all"), F.sum("w").alias("w_all"))
-    rated = counts.join(F.broadcast(totals))  # one row of totals
-    goal = F.lit(float(rows_out)) if rows_out is not None else F.col("n_all").cast("double")
-    rate = F.when(F.col("w_all") > 0, goal * F.col("w") / F.col("w_all") / F.col("n")).otherwise(F.lit(0.0))
-    rated = rated.select("mix_source", rate.alias("rate")).withColumn("pieces", F.greatest(F.lit(1), F.ceil(F.col("rate") / MAX_PIECE_RATE)).cast("int"))
+    counts = cut_lineage(spark, counts.withColumn("w", w), "sources")
+    n_all, w_all = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0.0))).first()
+    goal = float(n_all if rows_out is None else rows_out)
+    rate = F.lit(goal) * F.col("w") / F.lit(float(w_all)) / F.col("n") if w_all > 0 else F.lit(0.0)
+    rated = counts.select("mix_source", rate.alias("rate")).withColumn("pieces", F.greatest(F.lit(1), F.ceil(F.col("rate") / MAX_PIECE_RATE)).cast("int"))
     piece = F.col("rate") / F.col("pieces")
     terms = F.transform(F.array(*map(F.lit, LOG_FACTORIAL)), lambda log_fact, k: F.exp(-piece + k * F.log(piece) - log_fact))
     rated = rated.withColumn("terms", F.when(F.col("rate") > 0, terms).otherwise(F.array(F.lit(1.0))))
@@ -57,11 +60,15 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, def
     mix_copy, mix_rate or mix_order are replaced.
     """
     docs = docs.drop("mix_copy", "mix_rate", "mix_order", "mix_source", "mix_n")
-    rates = repetition_rates(docs, weights, default_weight, rows_out, source)
+    spark = docs.sparkSession
+    rates = repetition_rates(spark, docs, weights, default_weight, rows_out, source)
     ident = [F.lit(seed), F.coalesce(F.col(source), F.lit("")), F.coalesce(F.col(key).cast("string"), F.lit(""))]
     keyed = docs.withColumn("mix_source", F.coalesce(F.col(source), F.lit("")))
-    # a plain join: Spark broadcasts the table of sources where its measured size allows, else splits skewed sources
-    keyed = keyed.join(rates, "mix_source")
+    if rates.count() <= MAX_BROADCAST_SOURCES:
+        keyed = keyed.join(F.broadcast(rates), "mix_source")
+    else:  # each source's rows are dealt over SALTS keys, so that a hot source isn't one task's
+        salted = rates.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        keyed = keyed.withColumn("mix_salt", F.pmod(F.xxhash64(key, "mix_source"), F.lit(SALTS)).cast("int")).join(salted, ["mix_source", "mix_salt"])
     drawn = F.aggregate(
         F.sequence(F.lit(0), F.col("pieces") - 1),
         F.lit(0),
