@@ -1,0 +1,319 @@
+"""A read-only subset of Cypher, planned as DataFrame operations.
+
+    [OPTIONAL] MATCH path[, path] [WHERE condition] RETURN [DISTINCT] items [ORDER BY keys] [SKIP n] [LIMIT n]
+
+A path is (a:Label)-[r:TYPE]->(b), <-[..]- or -[:TYPE*m..n]->. Conditions combine comparisons, IN, IS [NOT] NULL, STARTS WITH,
+ENDS WITH, CONTAINS, and parentheses with AND, OR, NOT. Items are properties, id(a), labels(a), literals, and count, sum,
+avg, min, max, collect of these, with AS. Clauses that write, and all else, are refused before anything is planned.
+"""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..errors import GraphError
+from ..functions.scalars import as_string
+from ..model import Graph
+from ..operators.traverse import paths
+
+TOKEN = re.compile(r"\s*(?:(?P<num>\d+\.\d+|\d+)|(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<name>[A-Za-z_][A-Za-z0-9_]*)|(?P<param>\$[A-Za-z_][A-Za-z0-9_]*)|(?P<op><>|<=|>=|\.\.|->|<-|[-()\[\]{}:,.*=<>|]))")
+WRITES = frozenset("CREATE MERGE DELETE DETACH SET REMOVE LOAD FOREACH CALL DROP".split())
+AGGREGATES = {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "collect": F.collect_list}
+
+
+@dataclass
+class Parser:
+    text: str
+    params: dict
+    tokens: list[tuple[str, str]] = field(default_factory=list)
+    at: int = 0
+
+    def __post_init__(self) -> None:
+        i = 0
+        while i < len(self.text.rstrip().rstrip(";")):
+            m = TOKEN.match(self.text, i)
+            if not m:
+                raise GraphError("QUERY_PARSE_ERROR", f"unexpected {self.text[i:].strip()[:20]!r}")
+            self.tokens.append((m.lastgroup, m[m.lastgroup]))
+            i = m.end()
+        for kind, value in self.tokens:
+            if kind == "name" and value.upper() in WRITES:
+                raise GraphError("READ_ONLY_VIOLATION", f"{value.upper()} isn't allowed")
+
+    def peek(self, *values: str) -> bool:
+        return self.at < len(self.tokens) and (self.tokens[self.at][1].upper() if self.tokens[self.at][0] == "name" else self.tokens[self.at][1]) in values
+
+    def take(self, *values: str) -> bool:
+        if self.peek(*values):
+            self.at += 1
+            return True
+        return False
+
+    def need(self, value: str) -> None:
+        if not self.take(value):
+            shown = self.tokens[self.at][1] if self.at < len(self.tokens) else "the end"
+            raise GraphError("QUERY_PARSE_ERROR", f"expected {value!r} before {shown!r}")
+
+    def name(self) -> str:
+        if self.at < len(self.tokens) and self.tokens[self.at][0] == "name":
+            self.at += 1
+            return self.tokens[self.at - 1][1]
+        raise GraphError("QUERY_PARSE_ERROR", "a name is missing")
+
+    def number(self) -> int:
+        if self.at < len(self.tokens) and self.tokens[self.at][0] == "num":
+            self.at += 1
+            return int(self.tokens[self.at - 1][1])
+        raise GraphError("QUERY_PARSE_ERROR", "a number is missing")
+
+
+def column(var: str, part: str) -> str:
+    return f"{var}__{part}"
+
+
+class Planner:
+    def __init__(self, g: Graph, text: str, params: dict):
+        self.g, self.p = g, Parser(text, params)
+        self.df: DataFrame | None = None
+        self.vertices: set[str] = set()
+        self.fresh = 0
+
+    # ------------------------------------------------ patterns
+
+    def node(self) -> tuple[str, str | None]:
+        p = self.p
+        p.need("(")
+        var = p.name() if not p.peek(":", ")") else None
+        label = p.name() if p.take(":") else None
+        p.need(")")
+        if var is None:
+            self.fresh += 1
+            var = f"anon{self.fresh}"
+        return var, label
+
+    def scan(self, var: str, label: str | None) -> DataFrame:
+        v = self.g.vertices if label is None else self.g.vertices.where(F.col("t") == label)
+        return v.select(F.col("id").alias(column(var, "id")), F.col("t").alias(column(var, "t")), F.col("props").alias(column(var, "props")))
+
+    def bind(self, var: str, label: str | None, key: str | None, optional: bool) -> None:
+        """Adds a vertex: alone, or found by the id in column key."""
+        if var in self.vertices:
+            if label:
+                self.df = self.df.where(F.col(column(var, "t")) == label)
+            if key:
+                self.df = self.df.where(F.col(key) == F.col(column(var, "id"))).drop(key)
+            return
+        found = self.scan(var, label)
+        if key:
+            self.df = self.df.withColumnRenamed(key, column(var, "id")).join(found, column(var, "id"), "left" if optional else "inner")
+        else:
+            self.df = found if self.df is None else self.df.join(found)
+        self.vertices.add(var)
+
+    def path(self, optional: bool) -> None:
+        p = self.p
+        var, label = self.node()
+        self.bind(var, label, None, optional)
+        while p.peek("-", "<-", "<"):
+            back = p.take("<-")
+            if not back:
+                p.need("-")
+            edge, kind, low, high = None, None, 1, 1
+            if p.take("["):
+                edge = p.name() if not p.peek(":", "*", "]") else None
+                kind = p.name() if p.take(":") else None
+                if p.take("*"):
+                    low = p.number() if not p.peek("..", "]") else 1
+                    high = p.number() if p.take("..") else low
+                p.need("]")
+            p.need("-") if back else p.need("->")
+            target, target_label = self.node()
+            self.fresh += 1
+            key = f"step{self.fresh}"
+            here, there = ("inbound_id", "outbound_id") if back else ("outbound_id", "inbound_id")
+            edges = self.g.edges if kind is None else self.g.edges.where(F.col("t") == kind)
+            start = column(var, "id")
+            if (low, high) == (1, 1):
+                step = edges.select(F.col(here).alias(start), F.col(there).alias(key), *([F.col("t").alias(column(edge, "t")), F.col("props").alias(column(edge, "props"))] if edge else []))
+            else:
+                turned = edges.select(F.col(here).alias("outbound_id"), F.col(there).alias("inbound_id"), "t")
+                step = paths(self.df.select(F.col(start).alias("id")).distinct(), turned, low, high).select(F.col("start_id").alias(start), F.col("end_id").alias(key))
+            self.df = self.df.join(step, start, "left" if optional else "inner")
+            self.bind(target, target_label, key, optional)
+            var = target
+
+    # ------------------------------------------------ expressions
+
+    def operand(self) -> tuple[Column, bool]:
+        """A value and whether it is a property's JSON text."""
+        p = self.p
+        kind, value = p.tokens[p.at] if p.at < len(p.tokens) else ("", "")
+        if kind == "num":
+            p.at += 1
+            return F.lit(float(value) if "." in value else int(value)), False
+        if kind == "str":
+            p.at += 1
+            return F.lit(re.sub(r"\\(.)", r"\1", value[1:-1])), False
+        if kind == "param":
+            p.at += 1
+            if value[1:] not in p.params:
+                raise GraphError("QUERY_PARSE_ERROR", f"no parameter {value}")
+            return F.lit(p.params[value[1:]]), False
+        if p.take("TRUE", "FALSE"):
+            return F.lit(value.upper() == "TRUE"), False
+        if p.take("NULL"):
+            return F.lit(None).cast("string"), False
+        name = p.name()
+        if p.take("("):
+            if name.lower() in ("id", "labels", "type"):
+                var = p.name()
+                p.need(")")
+                return F.col(column(var, "id" if name.lower() == "id" else "t")), False
+            raise GraphError("QUERY_UNSUPPORTED", f"function {name}")
+        if p.take("."):
+            return F.try_element_at(column(name, "props"), F.lit(p.name())), True
+        return F.col(column(name, "id")), False
+
+    @staticmethod
+    def text_of(value: Column, is_json: bool) -> Column:
+        return F.coalesce(as_string(value), F.when(value != "null", value)) if is_json else value
+
+    def compare(self) -> Column:
+        p = self.p
+        left, is_json = self.operand()
+        if p.take("IS"):
+            negate = p.take("NOT")
+            p.need("NULL")
+            absent = left.isNull() | (left == "null") if is_json else left.isNull()
+            return ~absent if negate else absent
+        text = self.text_of(left, is_json)
+        if p.take("STARTS", "ENDS"):
+            how = p.tokens[p.at - 1][1].upper()
+            p.need("WITH")
+            right = self.text_of(*self.operand())
+            return F.startswith(text, right) if how == "STARTS" else F.endswith(text, right)
+        if p.take("CONTAINS"):
+            return F.contains(text, self.text_of(*self.operand()))
+        if p.take("IN"):
+            p.need("[")
+            out = F.lit(False)
+            while not p.take("]"):
+                out = out | self.same(left, is_json, *self.operand())
+                p.take(",")
+            return out
+        for op in ("=", "<>", "<=", ">=", "<", ">"):
+            if p.take(op):
+                right, right_json = self.operand()
+                if op in ("=", "<>"):
+                    same = self.same(left, is_json, right, right_json)
+                    return same if op == "=" else ~same
+                a, b = self.ordered(left, is_json, right, right_json)
+                return {"<=": a <= b, ">=": a >= b, "<": a < b, ">": a > b}[op]
+        raise GraphError("QUERY_PARSE_ERROR", "a comparison is missing")
+
+    def ordered(self, left: Column, lj: bool, right: Column, rj: bool) -> tuple[Column, Column]:
+        """Numbers as numbers if either side is a number literal or both are numbers, else as texts."""
+        number = lambda c, j: c.try_cast("double") if j else c.cast("string").try_cast("double")
+        a, b = number(left, lj), number(right, rj)
+        both = a.isNotNull() & b.isNotNull()
+        la, lb = self.text_of(left, lj).cast("string"), self.text_of(right, rj).cast("string")
+        # one key that orders either kind: numbers by value, texts by text
+        return F.struct(F.when(both, a).alias("n"), F.when(~both, la).alias("s")), F.struct(F.when(both, b).alias("n"), F.when(~both, lb).alias("s"))
+
+    def same(self, left: Column, lj: bool, right: Column, rj: bool) -> Column:
+        a, b = self.text_of(left, lj).cast("string"), self.text_of(right, rj).cast("string")
+        return F.coalesce((a == b) | (a.try_cast("double") == b.try_cast("double")), F.lit(False))
+
+    def condition(self) -> Column:
+        out = self.conjunction()
+        while self.p.take("OR"):
+            out = out | self.conjunction()
+        return out
+
+    def conjunction(self) -> Column:
+        out = self.negation()
+        while self.p.take("AND"):
+            out = out & self.negation()
+        return out
+
+    def negation(self) -> Column:
+        if self.p.take("NOT"):
+            return ~self.negation()
+        if self.p.take("("):
+            out = self.condition()
+            self.p.need(")")
+            return out
+        return self.compare()
+
+    # ------------------------------------------------ result
+
+    def item(self) -> tuple[str, Column, bool]:
+        """Name, value, whether it is an aggregate."""
+        p = self.p
+        begin = p.at
+        name = p.tokens[p.at][1] if p.at < len(p.tokens) else ""
+        aggregate = p.at + 1 < len(p.tokens) and p.tokens[p.at][0] == "name" and name.lower() in AGGREGATES and p.tokens[p.at + 1][1] == "("
+        if aggregate:
+            p.at += 2
+            distinct = p.take("DISTINCT")
+            value = F.lit(1) if p.take("*") else self.text_of(*self.operand())
+            p.need(")")
+            f = name.lower()
+            if f in ("sum", "avg", "min", "max"):
+                value = value.try_cast("double") if f in ("sum", "avg") else value
+            value = {"count": F.count_distinct, "collect": F.collect_set}[f](value) if distinct and f in ("count", "collect") else AGGREGATES[f](value)
+        else:
+            value = self.text_of(*self.operand())
+        shown = "".join(t for _, t in p.tokens[begin : p.at])
+        return (p.name() if p.take("AS") else shown), value, aggregate
+
+    def plan(self) -> DataFrame:
+        p = self.p
+        if not p.peek("MATCH", "OPTIONAL"):
+            raise GraphError("QUERY_UNSUPPORTED", "a query begins with MATCH")
+        while p.peek("MATCH", "OPTIONAL"):
+            optional = p.take("OPTIONAL")
+            p.need("MATCH")
+            self.path(optional)
+            while p.take(","):
+                self.path(optional)
+            if p.take("WHERE"):
+                self.df = self.df.where(self.condition())
+        p.need("RETURN")
+        distinct = p.take("DISTINCT")
+        items = [self.item()]
+        while p.take(","):
+            items.append(self.item())
+        groups = [v.alias(n) for n, v, a in items if not a]
+        values = [v.alias(n) for n, v, a in items if a]
+        out = self.df.groupBy(*groups).agg(*values) if values else self.df.select(*groups)
+        out = out.select(*[F.col(f"`{n}`") for n, *_ in items])
+        out = out.distinct() if distinct else out
+        if p.take("ORDER"):
+            p.need("BY")
+            keys = []
+            while True:
+                name = p.name()
+                while p.take("."):
+                    name += "." + p.name()
+                col = F.col(f"`{name}`")
+                keys.append(col.desc() if p.take("DESC", "DESCENDING") else (p.take("ASC", "ASCENDING"), col.asc())[1])
+                if not p.take(","):
+                    break
+            out = out.orderBy(*keys)
+        if p.take("SKIP"):
+            out = out.offset(p.number())
+        if p.take("LIMIT"):
+            out = out.limit(p.number())
+        if p.at < len(p.tokens):
+            raise GraphError("QUERY_UNSUPPORTED", f"unexpected {p.tokens[p.at][1]!r}")
+        return out
+
+
+def run_cypher(g: Graph, text: str, params: dict | None = None) -> DataFrame:
+    """The rows of a query as a DataFrame; property values come as text."""
+    return Planner(g, text, params or {}).plan()
