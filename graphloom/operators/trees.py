@@ -18,7 +18,8 @@ def nearest_ancestors(nodes: DataFrame, stops: dict[str, F.Column], checkpoint:
     pointer has arrived are only looked up. All conditions go through the same joins.
     """
     flags = F.array(*[F.struct(F.lit(k).alias("stop"), F.coalesce(v, F.lit(False)).alias("is")) for k, v in stops.items()])
-    long = nodes.select("tu", "id", F.col("parent_id").alias("ptr"), F.inline(flags))
+    # preorder: a parent comes first; anything else would be a cycle and counts as no parent. Repeated ids count once.
+    long = nodes.select("tu", "id", F.when(F.col("parent_id") < F.col("id"), F.col("parent_id")).alias("ptr"), F.inline(flags)).dropDuplicates(["tu", "id", "stop"])
     key = [F.col("tu") == F.col("ptu"), F.col("stop") == F.col("pstop"), F.col("ptr") == F.col("pid")]
     above = long.select(F.col("tu").alias("ptu"), F.col("id").alias("pid"), F.col("stop").alias("pstop"), F.col("is").alias("pis"))
     # roots, and nodes whose parent isn't in the table, have none

@@ -22,20 +22,20 @@ SELECT concat('n', CAST(n_nationkey AS {{string}}), '.cpp') AS tu, CAST(0 AS BIG
   CAST(NULL AS {{string}}) AS referenced_usr, CAST(NULL AS {{string}}) AS definition_usr, CAST(NULL AS {{string}}) AS access, CAST(NULL AS {{string}}) AS included_file
 FROM nation
 UNION ALL
-SELECT {TU}, c_custkey * 10000000000, CAST(0 AS BIGINT), {CLASS_KIND}, concat('c:', CAST(c_custkey % 40 AS {{string}})), c_name,
+SELECT {TU}, (c_custkey + 1) * 10000000000, CAST(0 AS BIGINT), {CLASS_KIND}, concat('c:', CAST(c_custkey % 40 AS {{string}})), c_name,
   CASE WHEN c_custkey % 11 = 0 THEN 'h.hpp' ELSE {TU} END, CAST(c_custkey % 1000000 * 100 AS INT), 1, CAST(c_custkey % 1000000 * 100 + 99 AS INT), 2, c_custkey % 2 = 0, NULL, NULL, NULL, NULL
 FROM customer
 UNION ALL
-SELECT {TU}, c_custkey * 10000000000 + 5, c_custkey * 10000000000, 'CXX_BASE_SPECIFIER', '', '',
+SELECT {TU}, (c_custkey + 1) * 10000000000 + 5, (c_custkey + 1) * 10000000000, 'CXX_BASE_SPECIFIER', '', '',
   CASE WHEN c_custkey % 11 = 0 THEN 'h.hpp' ELSE {TU} END, CAST(c_custkey % 1000000 * 100 AS INT), 50, CAST(c_custkey % 1000000 * 100 AS INT), 60, false, NULL, concat('c:', CAST(c_custkey % 7 AS {{string}})), NULL, NULL
 FROM customer WHERE c_custkey % 3 = 0
 UNION ALL
-SELECT {TU}, c_custkey * 10000000000 + o_orderkey * 10, c_custkey * 10000000000, {MEMBER_KIND}, concat('m:', CAST(o_orderkey AS {{string}})), o_orderpriority,
+SELECT {TU}, (c_custkey + 1) * 10000000000 + (o_orderkey + 1) * 10, (c_custkey + 1) * 10000000000, {MEMBER_KIND}, concat('m:', CAST(o_orderkey AS {{string}})), o_orderpriority,
   CASE WHEN o_orderkey % 7 = 0 THEN 'h.hpp' ELSE {TU} END, {MEMBER_LINE}, 1, {MEMBER_LINE}, 200, o_orderkey % 2 = 1, NULL, NULL,
   CASE o_orderkey % 3 WHEN 0 THEN 'PUBLIC' WHEN 1 THEN 'PROTECTED' END, NULL
 FROM orders JOIN customer ON o_custkey = c_custkey
 UNION ALL
-SELECT {TU}, c_custkey * 10000000000 + o_orderkey * 10 + l_linenumber, c_custkey * 10000000000 + o_orderkey * 10, {ITEM_KIND}, '', l_returnflag,
+SELECT {TU}, (c_custkey + 1) * 10000000000 + (o_orderkey + 1) * 10 + l_linenumber, (c_custkey + 1) * 10000000000 + (o_orderkey + 1) * 10, {ITEM_KIND}, '', l_returnflag,
   CASE WHEN o_orderkey % 7 = 0 THEN 'h.hpp' ELSE {TU} END, {MEMBER_LINE}, l_linenumber * 10, {MEMBER_LINE}, l_linenumber * 10 + 9, false,
   CASE WHEN l_linenumber IN (2, 4, 5) THEN concat('m:', CAST(l_partkey AS {{string}})) WHEN l_linenumber = 3 THEN concat('c:', CAST(l_suppkey % 40 AS {{string}})) END, NULL, NULL,
   CASE WHEN l_linenumber = 6 THEN concat('p', CAST(l_partkey % 10 AS {{string}}), '.h') END
