@@ -556,7 +556,7 @@ def ast(spark, sf_dir):
     return cursors(spark, sf_dir).select("tu", "id", "parent_id", "kind", "spelling", "usr", F.lit("int").alias("type"), F.lit("NONE").alias("storage_class"), F.col("line").alias("start_line"), F.col("col").alias("start_col"), "end_line", "end_col")
 
 
-AST_BYTES = "(length(id::VARCHAR) + length(kind) + length(spelling) + length(usr) + length('int') + length('NONE') + length(line::VARCHAR) + length(col::VARCHAR) + length(end_line::VARCHAR) + length(end_col::VARCHAR) + 10 + 2 + 18 + 79 + 40)"
+AST_BYTES = "(length(id::VARCHAR) + length(kind) + length(spelling) + length(usr) + length('int') + length('NONE') + length(line::VARCHAR) + length(col::VARCHAR) + length(end_line::VARCHAR) + length(end_col::VARCHAR) + 10 + 2 + 18 + 68 + 40)"
 
 
 @query(f"{CUR} SELECT c.tu, c.id FROM cur c LEFT JOIN cur p ON p.tu = c.tu AND p.id = c.parent_id LEFT JOIN cur g ON g.tu = p.tu AND g.id = p.parent_id WHERE c.line <= 50000 AND c.end_line >= 20000 AND (p.id IS NULL OR p.line <= 50000 AND p.end_line >= 20000) AND (g.id IS NULL OR g.line <= 50000 AND g.end_line >= 20000)")

@@ -39,7 +39,7 @@ SELECT {TU}, (c_custkey + 1) * 10000000000 + (o_orderkey + 1) * 10 + l_linenumbe
   CASE WHEN o_orderkey % 7 = 0 THEN 'h.hpp' ELSE {TU} END, {MEMBER_LINE}, l_linenumber * 10, {MEMBER_LINE}, l_linenumber * 10 + 9, false,
   CASE WHEN l_linenumber IN (2, 4, 5) THEN concat('m:', CAST(l_partkey AS {{string}})) WHEN l_linenumber = 3 THEN concat('c:', CAST(l_suppkey % 40 AS {{string}})) END, NULL, NULL,
   CASE WHEN l_linenumber = 6 THEN concat('p', CAST(l_partkey % 10 AS {{string}}), '.h') END
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY l_orderkey, l_linenumber) JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
 """
 CURSORS_SQL = TEMPLATE.format(string="VARCHAR")
 

@@ -31,8 +31,8 @@ def graph(spark):
     return Graph(spark.createDataFrame(v, VERTEX_SCHEMA).cache(), spark.createDataFrame(e, EDGE_SCHEMA).cache())
 
 
-def run(g, name, limit=None, **args):
-    return run_json(g, json.dumps({"query": name, "args": args}), limit, 120)
+def run(g, verb_, limit=None, **args):
+    return run_json(g, json.dumps({"query": verb_, "args": args}), limit, 120)
 
 
 def test_verbs(graph):
