@@ -67,8 +67,12 @@ def test_line_rules(spark, docs, none):
         text = next(t for i, t, *_ in ODD if i == r.doc_id)
         assert (r.n_words, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_base(text)
     assert line_rules.apply_line_rules(none).count() == 0
-    own = " ".join(f"u{{0}}v{i}" for i in range(30))
-    shared = " ".join(f"s{i}" for i in range(40))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    class own:  # a line of 30 words that is only one document's; digits wouldn't tell lines apart
+        format = staticmethod(lambda d: " ".join(letters[d // 26 % 26] + letters[d % 26] + letters[i % 26] + letters[i // 26] for i in range(30)))
+
+    shared = " ".join(f"s{letters[i % 26]}{letters[i // 26]}" for i in range(40))
     rows = [(i, own.format(i) + ("\n" + shared if i < 30 else ""), None, "h", 0) for i in range(60)] + [(100 + i, own.format(100 + i) + "\n" + shared, None, "other", 0) for i in range(5)] + [(200 + i, own.format(200), None, "h", 0) for i in range(25)]
     df = spark.createDataFrame([(*r, "", "", "", "", "") for r in rows], DOCS)
     out = {r.doc_id: r for r in line_rules.apply_line_rules(df, min_left=0.9).collect()}
