@@ -122,7 +122,7 @@ def pack(docs: DataFrame, path: str | None = None, *, length: int = LENGTH, end_
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
-        for batch in slices(batches, limit=2 << 20):
+        for batch in slices(batches, limit=1 << 20):
             for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 packer.add(key, np.concatenate([tok.ids(text), end]))
                 seen += 1

@@ -28,7 +28,7 @@ BITS, GRAMS, SIZE = 16, (3, 4), 8
 MAX_PER_CLASS = 2000
 EPOCHS, RATE, SEED = 4, 1.0, 8
 SAME = "\x00same"
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Multipliers of the feature hashes, and their number of powers (positions in very long words go round).
 FACTOR, POWERS = 0x9E3779B97F4A7C15, 4096
 
@@ -172,7 +172,7 @@ def classify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[float, int]] = {}
-        for batch in slices(batches, limit=2 << 20):
+        for batch in slices(batches, limit=1 << 20):
             found = score_texts(batch.column("text").to_pylist(), shared.value, known)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "quality_score"])
 

@@ -23,7 +23,7 @@ WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+
 END, END_OF_WORD = "\x01", "</w>"
 APART = regex.compile("[\x01\x1c-\x1f]")
 #: Words that a worker remembers at most; then it begins anew.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 def byte_of_char() -> dict[str, int]:
@@ -47,6 +47,7 @@ class WordTokenizer:
                 body = token[: -len(END_OF_WORD)] if ends else token
                 ranks[bytes(chars[c] for c in body) + END.encode() * ends] = rank
         self.fast = tiktoken.Encoding("word_bpe", pat_str=f"[^{END}]*{END}", mergeable_ranks=ranks, special_tokens={})
+        del spec, ranks
         self.known: dict[str, bytes] = {}
 
     def part(self, part: str) -> bytes:
