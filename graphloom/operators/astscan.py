@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .trees import Checkpoint, without_subtrees
+from ..lineage import Checkpoint
+from .trees import without_subtrees
 
 #: Kinds of children that make an edge more than a child; names of severities.
 TYPE_REF_KINDS = ("TYPE_REF", "TEMPLATE_REF", "NAMESPACE_REF", "OVERLOADED_DECL_REF")
@@ -18,7 +19,7 @@ SEVERITIES = ("NOTE", "WARNING", "WARNING", "ERROR", "FATAL")
 FIELDS = ("id", "kind", "spelling", "usr", "type", "storage_class", "start_line", "start_col", "end_line", "end_col")
 
 
-def in_line_range(nodes: DataFrame, low: int, high: int, checkpoint: Checkpoint = lambda df: df) -> DataFrame:
+def in_line_range(nodes: DataFrame, low: int, high: int, checkpoint: Checkpoint | None = None) -> DataFrame:
     """Nodes that overlap the lines; a node that doesn't takes all below it along."""
     return without_subtrees(nodes, ~((F.col("start_line") <= high) & (F.col("end_line") >= low)), checkpoint)
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import tokens as T
 from ..functions.ids import file_usr, type_usr
 from ..functions.scalars import json_text, properties
+from ..lineage import Checkpoint, shared_writer
 from ..model import SCHEMA_VERSION, empty_props
-from .trees import Checkpoint, nearest_ancestors
+from .trees import nearest_ancestors
 from .upsert import suppress_redundant
 
 TYPE = "struct<spelling:string,is_const:boolean,is_volatile:boolean,is_pointer:boolean,is_lvalue_reference:boolean,is_rvalue_reference:boolean,kind:string>"
@@ -56,12 +57,13 @@ def classified(cursors: DataFrame) -> DataFrame:
     return df.withColumn("own_file", own).withColumn("emits", own & F.col("label").isNotNull() & (F.coalesce(F.col("usr"), F.lit("")) != "") & (F.col("kind") != "PARM_DECL"))
 
 
-def in_context(cursors: DataFrame, checkpoint: Checkpoint = lambda df: df) -> DataFrame:
+def in_context(cursors: DataFrame, checkpoint: Checkpoint | None = None) -> DataFrame:
     """Classified cursors that the walk reaches, with parent_usr and parent_kind (of the nearest emitting ancestor, unless
     a cursor of another file lies between) and func_usr (of the innermost enclosing function).
 
     Nothing below a parameter or an inclusion is reached.
     """
+    checkpoint = checkpoint or shared_writer(cursors.sparkSession)
     nodes = checkpoint(classified(cursors))
     stops = {
         "end": F.col("kind").isin("PARM_DECL", "INCLUSION_DIRECTIVE"),
@@ -186,8 +188,9 @@ def parameters(context: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-def extract(cursors: DataFrame, *, emit_calls: bool = False, checkpoint: Checkpoint = lambda df: df) -> tuple[DataFrame, DataFrame]:
+def extract(cursors: DataFrame, *, emit_calls: bool = False, checkpoint: Checkpoint | None = None) -> tuple[DataFrame, DataFrame]:
     """cursors -> nodes (tu, t, usr, props, seq) and edges (tu, source_usr, target_usr, t, props), all units at once."""
+    checkpoint = checkpoint or shared_writer(cursors.sparkSession)
     context = checkpoint(in_context(cursors, checkpoint))
     file_nodes, includes = files_and_includes(context)
     type_nodes, type_edges = types(context)

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Checkpoint = Callable[[DataFrame], DataFrame]
+from ..lineage import Checkpoint, shared_writer
 
 
-def nearest_ancestors(nodes: DataFrame, stops: dict[str, F.Column], checkpoint: Checkpoint = lambda df: df, max_rounds: int = 40) -> DataFrame:
+def nearest_ancestors(nodes: DataFrame, stops: dict[str, F.Column], checkpoint: Checkpoint | None = None, max_rounds: int = 40) -> DataFrame:
     """nodes (tu, id, parent_id, ...) -> (tu, id, stop, ancestor): for each name of stops, the nearest strict ancestor for
     which its condition holds; rows without one are left out.
 
     Each node points at an ancestor below which nothing stops; a round lets it point where that one points. Nodes whose
     pointer has arrived are only looked up. All conditions go through the same joins.
     """
+    checkpoint = checkpoint or shared_writer(nodes.sparkSession)
     flags = F.array(*[F.struct(F.lit(k).alias("stop"), F.coalesce(v, F.lit(False)).alias("is")) for k, v in stops.items()])
     # preorder: a parent comes first; anything else would be a cycle and counts as no parent. Repeated ids count once.
     long = nodes.select("tu", "id", F.when(F.col("parent_id") < F.col("id"), F.col("parent_id")).alias("ptr"), F.inline(flags)).dropDuplicates(["tu", "id", "stop"])
@@ -33,12 +32,12 @@ def nearest_ancestors(nodes: DataFrame, stops: dict[str, F.Column], checkpoint:
     return now.select("tu", "id", "stop", F.col("ptr").alias("ancestor"))
 
 
-def nearest_ancestor(nodes: DataFrame, stop: F.Column, checkpoint: Checkpoint = lambda df: df) -> DataFrame:
+def nearest_ancestor(nodes: DataFrame, stop: F.Column, checkpoint: Checkpoint | None = None) -> DataFrame:
     """(tu, id, ancestor) for one condition; nodes without such an ancestor are left out."""
     return nearest_ancestors(nodes, {"it": stop}, checkpoint).drop("stop")
 
 
-def without_subtrees(nodes: DataFrame, bad: F.Column, checkpoint: Checkpoint = lambda df: df) -> DataFrame:
+def without_subtrees(nodes: DataFrame, bad: F.Column, checkpoint: Checkpoint | None = None) -> DataFrame:
     """nodes without those for which bad holds and all that is below them."""
     flagged = nodes.withColumn("__bad", bad)
     above = nearest_ancestor(flagged, F.col("__bad"), checkpoint).select("tu", "id")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from collections.abc import Callable
 
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from .functions import tokens as T
 from .functions.ids import file_usr, type_usr, vertex_id, vertex_id_sql
 from .functions.scalars import as_string, properties
+from .lineage import shared_writer
 from .model import EDGE_KEY, PROPS, Graph, empty_props, vertices_from
 from .operators import astscan, extract, includes, introspect, position, preproc, traverse, upsert, verbs
 from .plans import verbs_json
@@ -40,18 +40,6 @@ def query(sql: str | None = None):
     return add
 
 
-def checkpointed(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    """Writes to the folder that spark.checkpoint.dir names; where it is unset, as in tests, to one of this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.environ.get('TMPDIR', '/tmp')}/graphloom-shared"
-
-    def write(df: DataFrame) -> DataFrame:
-        path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    return write
-
-
 def v_sql(*labels: str) -> str:
     parts = []
     for t in labels or tables.VERTICES:
@@ -340,7 +328,7 @@ def include_closure(spark, sf_dir):
     """Transitive inclusion: part p includes part p / 2."""
     parts = tables.read(spark, sf_dir, "part").select("p_partkey", "p_size")
     links = parts.where("p_partkey > 1").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).cast("long").alias("dst"))
-    return traverse.closure(spark, links, parts.where("p_size = 1").select(F.col("p_partkey").alias("node")), checkpointed(spark))
+    return traverse.closure(spark, links, parts.where("p_size = 1").select(F.col("p_partkey").alias("node")), shared_writer(spark))
 
 
 @query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)")
@@ -433,7 +421,7 @@ ctx AS (SELECT o.*, p.kind AS pk, p.usr AS pu, p.mine AS pmine, p.label AS pl FR
 
 
 def context(spark, sf_dir):
-    return extract.in_context(cursors(spark, sf_dir), checkpointed(spark))
+    return extract.in_context(cursors(spark, sf_dir), shared_writer(spark))
 
 
 @query(f"{CTX} SELECT tu, arg_min(label, id) AS t, usr, min(id) AS seq, arg_min(spelling, id) AS spelling FROM ctx WHERE mine AND label IS NOT NULL AND usr <> '' GROUP BY tu, usr")
@@ -491,18 +479,18 @@ SELECT tu, usr AS source_usr, outer_t AS target_usr, CASE odd WHEN 1 THEN 'RETUR
 UNION ALL SELECT tu, usr || '#param:0', inner_t, 'OF_TYPE' FROM t WHERE odd = 1
 UNION ALL SELECT DISTINCT tu, outer_t, inner_t, 'POINTS_TO' FROM t""")
 def type_chain_edges(spark, sf_dir):
-    context = extract.in_context(typed_cursors(spark, sf_dir), checkpointed(spark))
+    context = extract.in_context(typed_cursors(spark, sf_dir), shared_writer(spark))
     return extract.types(context)[1].select("tu", "source_usr", "target_usr", "t")
 
 
 @query("SELECT DISTINCT 'u' || (p_partkey % 7) AS tu, 'type:' || sha1(b) AS usr FROM (SELECT p_partkey, unnest([p_brand, p_brand || ' *']) AS b FROM part)")
 def type_nodes(spark, sf_dir):
-    return extract.types(extract.in_context(typed_cursors(spark, sf_dir), checkpointed(spark)))[0].select("tu", "usr")
+    return extract.types(extract.in_context(typed_cursors(spark, sf_dir), shared_writer(spark)))[0].select("tu", "usr")
 
 
 @query("SELECT 'u' || (p_partkey % 7) AS tu, 's:' || p_partkey || '#param:0' AS usr, CASE WHEN p_size % 2 = 0 THEN 'x' ELSE '<param#0>' END AS spelling, p_size::VARCHAR AS default_value FROM part WHERE p_partkey % 2 = 1")
 def parameter_nodes(spark, sf_dir):
-    nodes = extract.parameters(extract.in_context(typed_cursors(spark, sf_dir), checkpointed(spark)))[0]
+    nodes = extract.parameters(extract.in_context(typed_cursors(spark, sf_dir), shared_writer(spark)))[0]
     get = lambda k: as_string(F.try_element_at("props", F.lit(k)))
     return nodes.select("tu", "usr", get("spelling").alias("spelling"), get("default_value").alias("default_value"))
 
@@ -561,7 +549,7 @@ AST_BYTES = "(length(id::VARCHAR) + length(kind) + length(spelling) + length(usr
 
 @query(f"{CUR} SELECT c.tu, c.id FROM cur c LEFT JOIN cur p ON p.tu = c.tu AND p.id = c.parent_id LEFT JOIN cur g ON g.tu = p.tu AND g.id = p.parent_id WHERE c.line <= 50000 AND c.end_line >= 20000 AND (p.id IS NULL OR p.line <= 50000 AND p.end_line >= 20000) AND (g.id IS NULL OR g.line <= 50000 AND g.end_line >= 20000)")
 def range_overlap(spark, sf_dir):
-    return astscan.in_line_range(ast(spark, sf_dir), 20000, 50000, checkpointed(spark)).select("tu", "id")
+    return astscan.in_line_range(ast(spark, sf_dir), 20000, 50000, shared_writer(spark)).select("tu", "id")
 
 
 @query(f"{CUR}, d AS (SELECT tu, id, 0 AS depth FROM cur WHERE parent_id IS NULL UNION ALL SELECT tu, id, 1 FROM cur WHERE parent_id = 0) SELECT d.tu, d.id, d.depth, d.depth = 1 AND EXISTS (SELECT 1 FROM cur c WHERE c.tu = d.tu AND c.parent_id = d.id) AS truncated FROM d")

@@ -46,7 +46,7 @@ def flags_of(entries: DataFrame) -> DataFrame:
     """entries (pos, directory, command, arguments, file) -> (file, flags)."""
     full = F.when(F.col("file").startswith("/"), F.col("file")).otherwise(F.concat_ws("/", "directory", "file"))
     args = F.coalesce("arguments", F.split(F.trim("command"), r"\s+"))
-    rest = F.filter(F.slice(args, 2, F.greatest(F.size(args) - 1, F.lit(0))), lambda a: (a != F.col("file")) & (a != full))
+    rest = F.array_remove(F.array_remove(F.slice(args, 2, F.greatest(F.size(args) - 1, F.lit(0))), F.col("file")), full)
     flags = F.when(F.array_contains(args, "--") | (F.size(args) < 1), F.lit(None)).otherwise(rest)
     return entries.where("file IS NOT NULL").select(full.alias("file"), "pos", flags.alias("flags")).groupBy("file").agg(F.min_by(F.struct("flags"), "pos").alias("r")).select("file", "r.flags")
 
