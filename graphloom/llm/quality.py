@@ -27,6 +27,7 @@ from .common import crc_mod, slices
 BITS, GRAMS, SIZE = 16, (3, 4), 8
 MAX_PER_CLASS = 2000
 EPOCHS, RATE, SEED = 4, 1.0, 8
+MIN_STEPS = 12_000
 SAME = "\x00same"
 REMEMBERED = 100_000
 #: Multipliers of the feature hashes, and their number of powers (positions in very long words go round).
@@ -99,9 +100,13 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, size:
     rng = np.random.default_rng(SEED)
     vectors = rng.uniform(-1 / size, 1 / size, (1 << bits, size))
     out, bias = np.zeros((size, 2)), np.zeros(2)
+    # the rarer class is repeated until it is about as frequent; few rows are gone through more often
+    times = [max(1, ones // (len(rows) - ones)), max(1, (len(rows) - ones) // ones)]
+    order = np.repeat(np.arange(len(rows)), [times[y] for *_, y in rows])
+    epochs = max(epochs, -(-MIN_STEPS // len(order)))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
-        for k in rng.permutation(len(rows)):
+        for k in rng.permutation(order):
             at, share, y = rows[k]
             hidden = share @ vectors[at]
             z = hidden @ out + bias
