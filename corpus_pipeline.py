@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import langid, mixing, packing, quality, simhash
+from graphloom.llm import jaccard, langid, mixing, packing, quality
 from graphloom.llm.common import cut_lineage, read
 
 #: A document stays if its score for quality is at least this, and its language's probability at least that.
@@ -31,8 +31,8 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id."""
-    return simhash.keep_one(spark, docs)
+    """One document of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more), that with the smallest id."""
+    return jaccard.keep_one(spark, docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("quality classifier", keep_quality), ("language ID", keep_language), ("SimHash near-dedup", drop_near_copies), ("mixing sources", mix), ("packing", pack)]
+STAGES = [("quality classifier", keep_quality), ("language ID", keep_language), ("near-dedup", drop_near_copies), ("mixing sources", mix), ("packing", pack)]
 ORACLE_SQL = None  # models and packing aren't SQL's
 
 

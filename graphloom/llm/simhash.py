@@ -137,9 +137,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, max_different: int = M
     return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, **options: int) -> DataFrame:
-    """docs with one row of each component: that with the smallest doc_id (a null id only where no other is), whole."""
-    near = near_duplicates(spark, docs, **options)
+def keep_first(docs: DataFrame, near: DataFrame) -> DataFrame:
+    """docs with one row of each component of near: that with the smallest doc_id (a null id only where no other is), whole."""
     # a component of null ids only: its fingerprint tells it apart
     group = F.when(F.col("component_id").isNull(), F.col("fp"))
     best = near.groupBy("component_id", group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("k"))
@@ -147,3 +146,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, **options: int) -> DataFrame:
     marked = docs.withColumn("__t", F.xxhash64("text"))
     kept = marked.join(best, marked["doc_id"].eqNullSafe(best["__d"]) & (marked["__t"] == best["__h"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "__t"]).select(*docs.columns)
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, **options: int) -> DataFrame:
+    """docs with one row of each component of near_duplicates."""
+    return keep_first(docs, near_duplicates(spark, docs, **options))

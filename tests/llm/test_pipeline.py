@@ -1,10 +1,12 @@
 """The pipeline's stages on the smallest tables: columns, decisions, agreement with the operators."""
 
 import os
+import random
 
 import pytest
 
 import corpus_pipeline
+from graphloom.llm import jaccard
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,3 +30,32 @@ def test_stages_on_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for name, stage in corpus_pipeline.STAGES[2:]:
         assert stage(spark, docs, SF).count() == 0, name
+
+
+def shingle_set(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))}
+
+
+@pytest.mark.parametrize("large", [3, 64])
+def test_near_copies_are_dropped(spark, large):
+    rng, rows = random.Random(8), []
+    for group in range(12):
+        base = [f"g{group}w{rng.randrange(900)}" for _ in range(rng.randrange(4, 200))]
+        for _ in range(10):  # edits that leave similarities on both sides of 0.8
+            words = list(base)
+            for _ in range(rng.randrange(0, 1 + len(base) // 40)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words + ["a line that all of them have in common"])))
+    sets = [shingle_set(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in jaccard.keep_one(spark, df, large_key=large).collect()}
+    assert kept == set(root) and len(kept) < len(rows) / 2
+    if large == 64:
+        assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, SF).collect()} == kept
