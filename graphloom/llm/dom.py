@@ -11,6 +11,8 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template svg math iframe object head title select textarea button canvas audio video datalist".split())
 RAW = frozenset("script style title textarea noscript iframe template".split())
+#: What may stand in a head; any other start tag ends it.
+HEAD_CONTENT = frozenset("base basefont bgsound link meta noframes noscript script style template title head html".split())
 CLOSES_P = BLOCKS - frozenset("html body td th caption tr tbody thead tfoot li dd dt summary legend figcaption".split())
 #: What a start tag closes if it is open, and the elements beyond which it isn't looked for.
 CLOSES = {
@@ -108,6 +110,8 @@ def parse(page: str | None) -> list[Node]:
             elif name == "br":
                 text(" ")
             continue
+        if name not in HEAD_CONTENT and stack[-1][0] == "head":
+            pop(len(stack) - 1)
         if name in CLOSES and (k := opened(*CLOSES[name])):
             while (inner := opened(*CLOSES[name])) and inner < k:
                 k = inner

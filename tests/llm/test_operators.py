@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import boosting, chat, extraction, kneser_ney, langid, line_rules, mixing, packing, quality, simhash, topk
+from graphloom.llm import boosting, chat, dom, extraction, kneser_ney, langid, line_rules, mixing, packing, quality, simhash, topk
 from graphloom.llm.components import connected_components
 from graphloom.llm.page_maker import Maker
 from graphloom.llm.tokens import default_path, tokenizer
@@ -203,6 +203,12 @@ def test_extraction(spark):
     assert wrong <= 8
 
 
+def test_a_head_ends_without_its_end_tag():
+    for page in ("<html><head><title>t</title><meta name=a><body><p>text", "<head><title>t</title><script>x</script><p>text", "<head><link rel=a><b>text</b>", "<head></head><body>text"):
+        nodes = dom.parse(page)
+        assert extraction.main_text(nodes, np.ones(len(nodes), bool)) == "text", page
+
+
 def test_language_id(spark, docs, none):
     train = spark.createDataFrame([(i, t, lang, "s", 0, "", "", "", "", "") for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 5)] + [(99, None, "xx", "s", 0, "", "", "", "", ""), (98, "12 34", "yy", "s", 0, "", "", "", "", "")], DOCS)
     model = langid.train(train, F.lit(True))
