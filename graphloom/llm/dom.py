@@ -35,7 +35,7 @@ class Node:
     end: int = 0  # index after its last descendant
     inline: int = 0
     links: int = 0  # characters of its own text within links
-    #: (place, text): the node's own runs of text; place is how many nodes had begun before, so runs sort in page order.
+    #: (place, text): the node's own runs of text; place is how many nodes had begun before; runs in page order are by place, then inner nodes first.
     runs: list[list] = field(default_factory=list)
 
 

@@ -109,7 +109,8 @@ def decode(nodes: list[Node], log_odds: np.ndarray) -> np.ndarray:
 
 def main_text(nodes: list[Node], kept: np.ndarray) -> str:
     """Texts of the kept elements, a block a line, in page order."""
-    runs = sorted((place, i, text) for i, x in enumerate(nodes) if kept[i] for place, text in x.runs)
+    # of runs at one place, those of inner (later) elements come first: an outer one's run is what follows them
+    runs = sorted((place, -i, text) for i, x in enumerate(nodes) if kept[i] for place, text in x.runs)
     return "\n".join(text for _, _, text in runs)
 
 

@@ -209,6 +209,12 @@ def test_a_head_ends_without_its_end_tag():
         assert extraction.main_text(nodes, np.ones(len(nodes), bool)) == "text", page
 
 
+def test_text_after_a_block_stays_after_it():
+    for page, want in (("<div>intro<p>A</p>tail</div>", "intro A tail"), ("<div>a<section>b<p>c</p>d</section>e<p>f</p>g</div>h", "a b c d e f g h")):
+        nodes = dom.parse(page)
+        assert extraction.main_text(nodes, np.ones(len(nodes), bool)).split() == want.split()
+
+
 def test_language_id(spark, docs, none):
     train = spark.createDataFrame([(i, t, lang, "s", 0, "", "", "", "", "") for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 5)] + [(99, None, "xx", "s", 0, "", "", "", "", ""), (98, "12 34", "yy", "s", 0, "", "", "", "", "")], DOCS)
     model = langid.train(train, F.lit(True))
