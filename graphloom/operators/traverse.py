@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import GraphError
 from ..model import Graph
 
 
@@ -40,19 +43,21 @@ def paths(starts: DataFrame, edges: DataFrame, low: int, high: int, t: str | Non
     return out
 
 
-def closure(spark: SparkSession, links: DataFrame, starts: DataFrame, checkpoint, max_rounds: int = 1000) -> DataFrame:
+def closure(spark: SparkSession, links: DataFrame, starts: DataFrame, checkpoint, max_rounds: int | None = None) -> DataFrame:
     """links (src, dst), starts (node) -> (start, node, depth): all that can be reached, with the smallest number of steps.
 
     Breadth first; each round joins only the newest nodes and is written by checkpoint(df), so lineage stays short and
-    cycles end.
+    cycles end. With max_rounds, nodes that are further away are an error.
     """
     seen = checkpoint(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct())
     newest = seen
-    for depth in range(1, max_rounds + 1):
+    for depth in count(1):
         step = newest.join(links, newest["node"] == links["src"]).select("start", F.col("dst").alias("node")).distinct()
         newest = checkpoint(step.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if newest.isEmpty():
             break
+        if max_rounds is not None and depth > max_rounds:
+            raise GraphError("INVALID_ARGUMENT", f"some nodes are more than {max_rounds} steps away")
         seen = seen.union(newest)
     return seen
 

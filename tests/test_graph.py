@@ -121,6 +121,15 @@ def test_paths_use_an_edge_once_and_closure_ends(spark):
     assert sorted((r.node, r.depth) for r in found.collect()) == [("a", 0), ("b", 1), ("c", 2)]
 
 
+def test_closure_loses_no_far_nodes(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(4)], "src long, dst long").cache()
+    starts = spark.createDataFrame([(0,)], "node long")
+    close = lambda **more: sorted(r.depth for r in traverse.closure(spark, links, starts, lambda df: df.localCheckpoint(), **more).collect())
+    assert close() == close(max_rounds=4) == [0, 1, 2, 3, 4]
+    with pytest.raises(GraphError):
+        close(max_rounds=3)
+
+
 @pytest.mark.parametrize("text", ["SELECT 1", "WITH a AS (SELECT 1 AS x) SELECT * FROM a WHERE x IN (SELECT 1)", "SELECT id FROM range(3) GROUP BY id HAVING count(*) > 0 ORDER BY id LIMIT 2"])
 def test_guard_accepts(spark, text):
     check(spark, text)
