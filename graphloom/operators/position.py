@@ -13,17 +13,35 @@ def check_position(line: int, col: int) -> None:
         raise GraphError("INVALID_POSITION", "lines and columns count from 1")
 
 
+#: Lines have fewer bits than this.
+LINE_BITS = 32
+FROM, TO = "shiftright(line + shiftleft(1L, k) - 1, k)", "shiftright(end_line + 1L, k)"
+#: The lines of an extent as blocks of 2 ** level lines (at most two a level), and the blocks that a line lies in (one a level).
+EXTENT_BLOCKS = f"""flatten(transform(sequence(0, {LINE_BITS}), k -> filter(array(
+    if({FROM} < {TO} AND {FROM} % 2 = 1, struct(k AS level, {FROM} AS block), NULL),
+    if({FROM} < {TO} AND {TO} % 2 = 1, struct(k AS level, {TO} - 1 AS block), NULL)), x -> x IS NOT NULL)))"""
+LINE_BLOCKS = f"transform(sequence(0, {LINE_BITS}), k -> struct(k AS level, shiftright(CAST(p_line AS BIGINT), k) AS block))"
+
+
+def candidates(points: DataFrame, cursors: DataFrame) -> DataFrame:
+    """points (tu, file, p_line, p_col) with each cursor whose lines hold the point's line, once.
+
+    They meet by equal blocks of lines, so no others of the same file are joined."""
+    c = cursors.select("tu", "file", "id", "line", "col", "end_line", "end_col", F.inline(F.expr(EXTENT_BLOCKS)))
+    return points.select("*", F.inline(F.expr(LINE_BLOCKS))).join(c, ["tu", "file", "level", "block"]).drop("level", "block")
+
+
 def cursors_at(points: DataFrame, cursors: DataFrame) -> DataFrame:
     """points (tu, file, line, col) -> these and the innermost cursor whose extent holds the point; points in none are left out.
 
-    A unit's roots are no answer. Points and cursors meet by unit and file; within one, extents are compared by order.
-    Each cursor that matches is one candidate, of which aggregation keeps the smallest extent, the last begun.
+    A unit's roots are no answer. Each cursor that matches is one candidate, of which aggregation keeps the smallest extent,
+    the last begun.
     """
     p = points.select("tu", "file", F.col("line").alias("p_line"), F.col("col").alias("p_col")).distinct()
     begin = F.struct(F.col("line").alias("l"), F.col("col").alias("c"))
     end = F.struct(F.col("end_line").alias("l"), F.col("end_col").alias("c"))
     at = F.struct(F.col("p_line").alias("l"), F.col("p_col").alias("c"))
-    found = cursors.where(F.col("parent_id").isNotNull()).join(p, ["tu", "file"]).where((begin <= at) & (at <= end))
+    found = candidates(p, cursors.where(F.col("parent_id").isNotNull())).where((begin <= at) & (at <= end))
     rank = F.struct(begin.alias("b"), (-F.col("end_line")).alias("l"), (-F.col("end_col")).alias("c"), F.col("id"))
     best = found.groupBy("tu", "file", "p_line", "p_col").agg(F.max_by("id", rank).alias("id"))
     return best.join(cursors.drop("file"), ["tu", "id"])

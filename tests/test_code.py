@@ -64,6 +64,25 @@ def test_positions(cursors):
         position.check_position(0, 1)
 
 
+def test_positions_against_all_pairs(spark):
+    rng, rows = random.Random(2), []
+    for i in range(400):
+        line, col = rng.randrange(1, 3000), rng.randrange(1, 40)
+        end = line + rng.choice([0, 0, 1, 7, 500])
+        rows.append(("t", "f", i, None if i == 7 else 0, line, col, end, col + rng.randrange(30) if end == line else rng.randrange(1, 40)))
+    points = [("t", "f", rng.randrange(1, 3600), rng.randrange(1, 60)) for _ in range(300)]
+    cur = spark.createDataFrame(rows, "tu string, file string, id long, parent_id long, line int, col int, end_line int, end_col int")
+    df = spark.createDataFrame(points, "tu string, file string, line int, col int")
+    want = {}
+    for _, _, line, col in points:
+        inside = [((b, c, -e, -f, i), i) for _, _, i, parent, b, c, e, f in rows if parent is not None and (b, c) <= (line, col) <= (e, f)]
+        if inside:
+            want[line, col] = max(inside)[1]
+    assert {(r.p_line, r.p_col): r.id for r in position.cursors_at(df, cur).collect()} == want
+    named = df.distinct().withColumnsRenamed({"line": "p_line", "col": "p_col"})
+    assert position.candidates(named, cur).count() == sum(b <= p[2] <= e for p in set(points) for _, _, _, _, b, _, e, _ in rows)
+
+
 def test_nearest_ancestor_against_a_walk(spark):
     rng, rows = random.Random(4), []
     for tu in "ab":
