@@ -26,7 +26,7 @@ from .common import slices
 #: The template.
 START, END, ASSISTANT = b"<|im_start|>", b"<|im_end|>\n", "assistant"
 PROBE = "<|im_end|><|im_start|>assistant ok"
-FORMATTED = "conv_id long, n_turns long, formatted binary, mask_start array<long>, mask_length array<long>"
+FORMATTED = "conv_id long, chunk long, chunk_start long, n_turns long, formatted binary, mask_start array<long>, mask_length array<long>"
 BATCH_BYTES = 8 << 20
 
 
@@ -75,21 +75,18 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
 
 
 def format_conversations(convs: DataFrame) -> DataFrame:
-    """conv_id, n_turns, formatted (UTF-8), mask_start, mask_length: one row per conversation, its turns by number.
+    """conv_id, chunk, chunk_start, n_turns, formatted (UTF-8), mask_start, mask_length: one or more rows per conversation, its turns by number.
 
+    A conversation's rows come one after another, in the order of chunk (0, 1, ...); formatted is a chunk's n_turns whole
+    turns, some BATCH_BYTES at most or one turn, and chunk_start is where it begins in the conversation, as mask_start is.
     Null texts and roles count as empty. Rows with equal turns are ordered by role, then text; null turns come first. Rows with
-    a null conv_id are one conversation. Repeated rows are turns of their own. A conversation of any length is put
-    together from one batch after another; extra columns are ignored; no rows give none.
+    a null conv_id are one conversation. Repeated rows are turns of their own. Extra columns are ignored; no rows give none.
     """
     rows = convs.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, parts, turns, starts, lengths, at, open_ = None, [], 0, [], [], 0, False
-
-        def row() -> tuple:
-            return key, turns, b"".join(parts), starts, lengths
-
+        key, chunk, at = None, -1, 0
         for batch in slices(batches, limit=BATCH_BYTES):
             done = []
             roles, texts = batch.column("role"), batch.column("text")
@@ -101,26 +98,21 @@ def format_conversations(convs: DataFrame) -> DataFrame:
             for a, b in zip(edges, edges[1:]):
                 if a == b:
                     continue
-                if not open_ or ids[a] != key:
-                    if open_:
-                        done.append(row())
-                    key, parts, turns, starts, lengths, at, open_ = ids[a], [], 0, [], [], 0, True
+                if chunk < 0 or ids[a] != key:
+                    key, chunk, at = ids[a], -1, 0
+                chunk += 1
                 low, high = int(ends[a] - size[a]), int(ends[b - 1])
-                parts.append(out[low:high].tobytes())
                 mine = loss[a:b]
-                starts.extend((text_to[a:b][mine] - low + at).tolist())
-                lengths.extend(text_n[a:b][mine].tolist())
-                turns, at = turns + b - a, at + high - low
+                done.append((key, chunk, at, b - a, out[low:high].tobytes(), (text_to[a:b][mine] - low + at).tolist(), text_n[a:b][mine].tolist()))
+                at += high - low
             yield records(done)
-        if open_:
-            yield records([row()])
 
     return rows.mapInArrow(run, FORMATTED)
 
 
 def records(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["conv_id", "n_turns", "formatted", "mask_start", "mask_length"])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["conv_id", "chunk", "chunk_start", "n_turns", "formatted", "mask_start", "mask_length"])
 
 
 def parse(formatted: bytes) -> list[tuple[str, str]]:
@@ -139,24 +131,38 @@ def parse(formatted: bytes) -> list[tuple[str, str]]:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back from the formatted bytes and the mask."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back from the formatted bytes and the mask.
+
+    Takes the rows as format_conversations gives them: a conversation's chunks one after another, in one task.
+    """
+
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
-            for text, starts, lengths in zip(*(batch.column(c).to_pylist() for c in ("formatted", "mask_start", "mask_length"))):
-                turns = parse(text)
-                whole = hashlib.sha256()
-                for role, content in turns:
+        done: list[tuple] = []
+        key, whole = None, None  # whole: None until a conversation has begun
+
+        def row() -> tuple:
+            return key, turns, whole.hexdigest(), chars, loss.hexdigest(), size
+
+        for batch in slices(batches, "formatted", BATCH_BYTES):
+            for conv, chunk, text, start, starts, lengths in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "chunk", "formatted", "chunk_start", "mask_start", "mask_length"))):
+                if chunk == 0:
+                    if whole:
+                        done.append(row())
+                    key, turns, chars, size, whole, loss = conv, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
+                own = parse(text)
+                for role, content in own:
                     whole.update(f"{role}\n{content}\n".encode())
-                loss, chars = hashlib.sha256(), 0
-                for part in unescape(pa.array([text[s : s + n].decode() for s, n in zip(starts, lengths)], pa.string())).to_pylist():
+                for part in unescape(pa.array([text[s - start : s - start + n].decode() for s, n in zip(starts, lengths)], pa.string())).to_pylist():
                     loss.update(part.encode())
                     chars += len(part)
-                for c, v in zip(cols, (len(turns), whole.hexdigest(), chars, loss.hexdigest(), len(text.decode()))):
-                    c.append(v)
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *(pa.array(c, t) for c, t in zip(cols, kinds))], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+                turns, size = turns + len(own), size + len(text.decode())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate(kinds)], names)
+            done.clear()
+        if whole:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row(), kinds)], names)
 
     return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 

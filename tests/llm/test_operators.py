@@ -274,3 +274,20 @@ def test_chat(spark):
         assert got[c].n_turns == len(turns) and got[c].loss_chars == len(loss) and got[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
     assert chat.digests(chat.format_conversations(df.limit(0))).count() == 0
+
+
+def test_a_long_conversation_is_formatted_in_chunks(spark):
+    rows = [(c, t, ("user", "assistant")[t % 2], f"<|{c} {t} é " + "x" * 900) for c, n in ((1, 3), (2, 30_000), (3, 2)) for t in range(n)]
+    formatted = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    chunks = sorted((r.conv_id, r.chunk, r.chunk_start, r.n_turns, r.n) for r in formatted.select("*", F.octet_length("formatted").alias("n")).collect())
+    long = [r for r in chunks if r[0] == 2]
+    assert [r[1] for r in long] == list(range(len(long))) and max(r[4] for r in long) < 12 << 20 and sum(r[3] for r in long) == 30_000
+    assert all(b[2] == a[2] + a[4] for a, b in zip(long, long[1:]))
+    got = {r.conv_id: r for r in chat.digests(formatted).collect()}
+    assert len(got) == 3
+    for c, r in got.items():
+        turns = [(role, text) for conv, _, role, text in rows if conv == c]
+        loss = "".join(t for role, t in turns if role == "assistant")
+        assert r.n_turns == len(turns) and r.loss_chars == len(loss) and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{role}\n{text}\n" for role, text in turns).encode()).hexdigest()
+        assert r.formatted_chars == sum(len(f"<|im_start|>{role}\n<|im_end|>\n") + len(text) + 1 for role, text in turns)
