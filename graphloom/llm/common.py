@@ -1,10 +1,8 @@
-"""Helpers shared by the corpus operators: text expressions, shared storage, the CRC split."""
+"""Helpers shared by the corpus operators: text expressions, the CRC split, bounded batches."""
 
 from __future__ import annotations
 
 import ctypes
-import os
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import cut_lineage, made, remove, shared_dir  # noqa: F401  for the operators here
+
 #: Fixed value: the white space that separates words in every operator here (space, \t \n \v \f \r).
 WHITE = " \t\n\x0b\x0c\r"
 #: The same as a Java regular expression.
@@ -32,31 +32,6 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name under spark.checkpoint.dir, which all executors and the driver share.
-
-    Only where that setting is missing (local tests) is a folder of this machine used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = f"file://{os.path.abspath(os.environ.get('TMPDIR', '/tmp'))}/graphloom-shared"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def remove_dir(spark: SparkSession, url: str) -> None:
-    """Deletes a folder made by shared_dir, through Hadoop, wherever it is."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(url)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def cut_lineage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, so that later failures recompute nothing before it."""
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @lru_cache(maxsize=1)
 def _libc() -> ctypes.CDLL | None:
     try:
