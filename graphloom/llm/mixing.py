@@ -57,18 +57,19 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, def
 
     Null sources form a source of their own, named ''. Null texts are rows like others. Repeated rows (same key and
     source) draw the same number, so each is repeated alike. An empty table gives an empty result. Columns of docs named
-    mix_copy, mix_rate or mix_order are replaced.
+    mix_copy, mix_rate or mix_order are replaced; any other names may occur, and come back as they are.
     """
-    docs = docs.drop("mix_copy", "mix_rate", "mix_order", "mix_source", "mix_n")
+    docs = docs.drop("mix_copy", "mix_rate", "mix_order")
     spark = docs.sparkSession
     rates = repetition_rates(spark, docs, weights, default_weight, rows_out, source)
-    ident = [F.lit(seed), F.coalesce(F.col(source), F.lit("")), F.coalesce(F.col(key).cast("string"), F.lit(""))]
-    keyed = docs.withColumn("mix_source", F.coalesce(F.col(source), F.lit("")))
+    ident = [F.lit(seed), F.col("mix_source"), F.col("mix_key")]
+    # the columns of docs are one struct from here on, so that their names can't meet those used here
+    keyed = docs.select(F.struct("*").alias("mix_row"), F.coalesce(F.col(source), F.lit("")).alias("mix_source"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("mix_key"))
     if rates.count() <= MAX_BROADCAST_SOURCES:
         keyed = keyed.join(F.broadcast(rates), "mix_source")
     else:  # each source's rows are dealt over SALTS keys, so that a hot source isn't one task's
         salted = rates.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        keyed = keyed.withColumn("mix_salt", F.pmod(F.xxhash64(key, "mix_source"), F.lit(SALTS)).cast("int")).join(salted, ["mix_source", "mix_salt"])
+        keyed = keyed.withColumn("mix_salt", F.pmod(F.xxhash64("mix_key", "mix_source"), F.lit(SALTS)).cast("int")).join(salted, ["mix_source", "mix_salt"])
     drawn = F.aggregate(
         F.sequence(F.lit(0), F.col("pieces") - 1),
         F.lit(0),
@@ -80,8 +81,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, def
     counted = keyed.withColumn("mix_u", hash_below_one(*ident, F.lit("0"))).withColumn("mix_n", once)
     copies = counted.where("mix_n > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_n") - 1)))
     order = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("order"), *ident, F.col("mix_copy").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
-    copies = copies.select(*docs.columns, "mix_copy", F.col("rate").alias("mix_rate"), order.alias("mix_order"))
-    return copies.repartition("mix_order").sortWithinPartitions("mix_order")
+    copies = copies.select("mix_row", "mix_copy", F.col("rate").alias("mix_rate"), order.alias("mix_order"))
+    return copies.repartition("mix_order").sortWithinPartitions("mix_order").select("mix_row.*", "mix_copy", "mix_rate", "mix_order")
 
 
 MIX_SQL = f"""
