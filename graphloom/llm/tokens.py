@@ -3,8 +3,10 @@
 The ids are those of tokenizers' Tokenizer.from_file(...).encode(text, add_special_tokens=False). White space never
 lies within a token, so a text's ids are those of its parts between white space, one after another; each new part is
 encoded once by a byte-pair encoder over the same vocabulary (tiktoken's, with the end of a word as one more byte), which
-is about ten times as fast. Texts in which the two could differ are left to tokenizers: those with characters that one
-of them treats as white space, or that stand for the end of a word.
+is about ten times as fast. Texts in which the two could differ are left to tokenizers: those with the vocabulary's added
+strings, which are one id wherever they stand; with characters that one of the two treats as white space, or that stand
+for the end of a word; and with code points that aren't assigned in this Python's Unicode tables, which the two libraries
+don't class alike.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from tokenizers import Tokenizer
 #: Fixed value: how the vocabulary's tokenizer file splits words.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 END, END_OF_WORD = "\x01", "</w>"
-APART = regex.compile("[\x01\x1c-\x1f]")
+CONTROLS = "[\x01\x1c-\x1f]"
 #: Words that a worker remembers at most; then it begins anew.
 REMEMBERED = 100_000
 
@@ -36,10 +38,10 @@ def byte_of_char() -> dict[str, int]:
 class WordTokenizer:
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {x["content"] for x in spec["added_tokens"]}
+        self.apart = regex.compile("|".join([CONTROLS, *map(regex.escape, sorted(special))]))
         chars, ranks = byte_of_char(), {}
         for token, rank in spec["model"]["vocab"].items():
             if token not in special:
@@ -50,7 +52,10 @@ class WordTokenizer:
         del spec, ranks
         self.known: dict[str, bytes] = {}
 
-    def part(self, part: str) -> bytes:
+    def part(self, part: str) -> bytes | None:
+        """Ids of a part that isn't remembered; None if only tokenizers can tell."""
+        if not part.isascii() and any(unicodedata.category(c) == "Cn" for c in part):
+            return None
         low = unicodedata.normalize("NFC", part)
         low = "".join(map(str.lower, low)) if "Σ" in low else low.lower()
         words = WORD.findall(low)
@@ -64,10 +69,12 @@ class WordTokenizer:
         """The text's ids as little-endian unsigned 32-bit numbers; null: none."""
         if not text:
             return np.empty(0, "<u4")
-        if APART.search(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
-        known = self.known.get
-        return np.frombuffer(b"".join([known(x) or self.part(x) for x in text.split()]), "<u4")
+        if not self.apart.search(text):
+            known = self.known.get
+            found = [known(x) or self.part(x) for x in text.split()]
+            if None not in found:
+                return np.frombuffer(b"".join(found), "<u4")
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 @lru_cache(maxsize=2)
