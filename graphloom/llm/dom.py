@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 #: Elements by kind, as the HTML standard's rendering section has them.
@@ -14,7 +16,7 @@ RAW = frozenset("script style title textarea noscript iframe template".split())
 #: What may stand in a head; any other start tag ends it.
 HEAD_CONTENT = frozenset("base basefont bgsound link meta noframes noscript script style template title head html".split())
 CLOSES_P = BLOCKS - frozenset("html body td th caption tr tbody thead tfoot li dd dt summary legend figcaption".split())
-#: What a start tag closes if it is open, and the elements beyond which it isn't looked for.
+#: What a start tag closes if it is open, the outermost of them first, and the elements beyond which it isn't looked for.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table"}), "th": ({"td", "th"}, {"table"}),
@@ -55,7 +57,8 @@ def attribute_tokens(attrs: str) -> tuple[list[str], bool]:
 def parse(page: str | None) -> list[Node]:
     """The page's block elements in order, below one root; scripts, styles, controls, hidden elements and comments leave none."""
     root = Node("root", -1, 0, [])
-    nodes, stack = [root], [("root", 0)]  # stack: (tag, node or -1 for inline)
+    nodes, stack = [root], [("root", 0, 0, 0)]  # stack: (tag, node or -1, the node that holds it, 1 if it is a counted link)
+    places: dict[str, list[int]] = defaultdict(list)  # of each tag's open elements in the stack, so that none has to be looked for
     source = page or ""
     at, silent, linked = 0, 0, 0  # silent: stack size at which a silent element began
     current = 0
@@ -76,23 +79,23 @@ def parse(page: str | None) -> list[Node]:
     def pop(size: int) -> None:
         nonlocal current, silent, linked
         while len(stack) > size:
-            tag, node = stack.pop()
+            tag, node, current, link = stack.pop()
+            places[tag].pop()
             if node > 0:
                 nodes[node].end = len(nodes)
-            elif tag == "a":
-                linked -= 1
+            linked -= link
         if silent > len(stack):
             silent = 0
-        current = next(n for _, n in reversed(stack) if n >= 0)
 
-    def opened(tags, beyond=()) -> int:
-        """Size of the stack below the innermost of tags, or 0."""
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in tags:
-                return k
-            if stack[k][0] in beyond:
-                return 0
-        return 0
+    def push(tag: str, node: int, link: int = 0) -> None:
+        places[tag].append(len(stack))
+        stack.append((tag, node, current, link))
+
+    def opened(tags, beyond=(), outermost: bool = False) -> int:
+        """Size of the stack below the innermost (or outermost) of tags that no element of beyond separates from here, or 0."""
+        edge = max((places[t][-1] for t in beyond if places[t]), default=0)
+        found = [places[t][bisect_right(places[t], edge) if outermost else -1] for t in tags if places[t] and places[t][-1] > edge]
+        return (min if outermost else max)(found, default=0)
 
     while at < len(source):
         m = TAG.search(source, at)
@@ -112,9 +115,7 @@ def parse(page: str | None) -> list[Node]:
             continue
         if name not in HEAD_CONTENT and stack[-1][0] == "head":
             pop(len(stack) - 1)
-        if name in CLOSES and (k := opened(*CLOSES[name])):
-            while (inner := opened(*CLOSES[name])) and inner < k:
-                k = inner
+        if name in CLOSES and (k := opened(*CLOSES[name], outermost=True)):
             pop(k)
         elif name in CLOSES_P and (k := opened({"p"}, {"td", "th", "li", "div", "section", "article", "table", "button"})):
             pop(k)
@@ -130,13 +131,15 @@ def parse(page: str | None) -> list[Node]:
             silent = len(stack) + 1
         if name in BLOCKS and not silent:
             nodes.append(Node(name, current, nodes[current].depth + 1, tokens))
-            stack.append((name, len(nodes) - 1))
+            push(name, len(nodes) - 1)
             current = len(nodes) - 1
         else:
+            link = 0
             if not silent:
                 nodes[current].inline += 1
-                linked += name == "a"
-            stack.append((name, -1 if not silent else -2))
+                link = int(name == "a")
+                linked += link
+            push(name, -1, link)
         if name in RAW:
             close = re.compile(rf"</{name}\b", re.I).search(source, at)
             at = close.start() if close else len(source)
