@@ -38,18 +38,22 @@ def letters() -> np.ndarray:
 def ngrams(text: str, bits: int = BITS) -> np.ndarray:
     """Bucket counts of the lower-cased text's n-grams; runs of other characters than letters count as one space."""
     total = np.zeros(1 << bits, np.int64)
-    is_letter = letters()
-    for at in range(0, len(text), CHUNK):
-        c = np.frombuffer(f" {text[at : at + CHUNK].lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-        c = np.where(is_letter[c], c, np.uint32(32))
+    is_letter, before = letters(), np.empty(0, np.uint32)  # before: the end of the chunk before, whose n-grams reach into the next
+    for at in range(0, max(len(text), 1), CHUNK):
+        part = text[at : at + CHUNK].lower().replace("ς", "σ")  # the two forms depend on what follows
+        part = f"{'' if at else ' '}{part}{' ' if at + CHUNK >= len(text) else ''}"
+        c = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+        c = np.concatenate((before, np.where(is_letter[c], c, np.uint32(32))))
         c = c[np.concatenate(([True], (c[1:] != 32) | (c[:-1] != 32)))]
         for n in ORDERS:
-            if len(c) >= n:
-                h = np.full(len(c) - n + 1, n, np.uint32)
+            first = max(0, len(before) - n + 1)  # those that end in the part before are counted already
+            if len(c) >= first + n:
+                h = np.full(len(c) - first - n + 1, n, np.uint32)
                 for k in range(n):
-                    h = (h ^ c[k : len(c) - n + 1 + k]) * FACTORS[k]
+                    h = (h ^ c[first + k : len(c) - n + 1 + k]) * FACTORS[k]
                     h ^= h >> np.uint32(15)
                 total += np.bincount((h * FACTORS[3]) >> np.uint32(32 - bits), minlength=1 << bits)
+        before = c[-(max(ORDERS) - 1) :]
     return total
 
 
@@ -104,7 +108,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and lang_score (the predicted language's posterior probability).
 
     Null texts, texts without a letter, and all texts if nothing was learned: 'und', score 0. Ties go to the
-    alphabetically first language. Very long texts are counted in chunks. Other columns stay; earlier columns named
+    alphabetically first language. Very long texts are counted in chunks, with the same result. Other columns stay; earlier columns named
     lang_pred or lang_score are replaced.
     """
     shared = spark.sparkContext.broadcast(model)
