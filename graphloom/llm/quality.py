@@ -1,9 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
-A text's words (split at white space) each have hashed features: the word, its shape (runs of upper case, lower case,
-digits and other characters), and its character n-grams; a word equal to the one before adds the feature SAME. Vectors
-learned for the features are averaged over the text and go through a softmax. Training is stochastic gradient descent
-in numpy on the driver, over a sample with a documented bound (MAX_PER_CLASS texts of each class, those with the lowest
+A text's words (split at white space) each have hashed features: the word and its character n-grams; each two neighbours
+have one more, the word pair. A pair's hash is the exclusive or of its words' hashes, so the order doesn't matter, and all
+pairs of a word with itself are one feature. Vectors learned for the features are averaged over the text and go through a softmax. Training is stochastic gradient descent in numpy on the driver, over a sample with a documented bound (MAX_PER_CLASS texts of each class, those with the lowest
 hashes of their ids); features are counted on the executors.
 
 For scoring, each feature's vector times the output weights is one number, and a word's sum of these is remembered.
@@ -11,16 +10,15 @@ For scoring, each feature's vector times the output weights is one number, and a
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .common import crc_mod, slices
 
@@ -28,43 +26,29 @@ BITS, GRAMS, SIZE = 16, (3, 4), 8
 MAX_PER_CLASS = 2000
 EPOCHS, RATE, SEED = 4, 1.0, 8
 MIN_STEPS = 12_000
-SAME = "\x00same"
 REMEMBERED = 100_000
 #: Multipliers of the feature hashes, and their number of powers (positions in very long words go round).
 FACTOR, POWERS = 0x9E3779B97F4A7C15, 4096
 
 
 @lru_cache(maxsize=1)
-def tables() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of FACTOR; the sign of each code point in a word's shape."""
-    powers = np.cumprod(np.full(POWERS, FACTOR, np.uint64))
-    signs = np.arange(0x110000, dtype=np.uint32)
-    for i in range(0x110000):
-        c = chr(i)
-        if c.isalpha():
-            signs[i] = 65 if c.isupper() else 97
-        elif c.isnumeric():
-            signs[i] = 48
-    return powers, signs
+def powers_of_factor() -> np.ndarray:
+    return np.cumprod(np.full(POWERS, FACTOR, np.uint64))
 
 
 def features(words: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of all features of all words, and the index of the word that each belongs to."""
     if not words:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    powers, signs = tables()
+    powers = powers_of_factor()
     c = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
     size = np.fromiter(map(len, words), np.int64, len(words)) + 2
     begin = np.cumsum(size) - size
     owner = np.repeat(np.arange(len(words)), size)
     place = np.arange(len(c)) - begin[owner]
-    shape = signs[c]
-    first = (place == 0) | np.concatenate(([True], shape[1:] != shape[:-1]))  # of each run
-    run = np.cumsum(first)
-    run_place = (run - run[begin][owner]) % POWERS
     wide = c.astype(np.uint64)
-    found = [np.add.reduceat(wide * powers[place % POWERS], begin), np.add.reduceat(np.where(first, shape * powers[run_place], 0).astype(np.uint64), begin) + np.uint64(1)]
-    owners = [np.arange(len(words))] * 2
+    found = [np.add.reduceat(wide * powers[place % POWERS], begin)]
+    owners = [np.arange(len(words))]
     for n in GRAMS:
         if len(c) >= n:
             inside = np.flatnonzero(place[: len(c) - n + 1] + n <= size[owner[: len(c) - n + 1]])
@@ -73,17 +57,54 @@ def features(words: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray
                 h = (h + wide[inside + k]) * powers[k]
             found.append(h)
             owners.append(owner[inside])
-    h = np.concatenate(found)
+    return bucket_of(np.concatenate(found), bits), np.concatenate(owners)
+
+
+def bucket_of(h: np.ndarray, bits: int) -> np.ndarray:
     h = (h ^ (h >> np.uint64(29))) * np.uint64(FACTOR)
-    return (h >> np.uint64(64 - bits)).astype(np.int64), np.concatenate(owners)
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+class Words:
+    """Words that were seen: each one's place, hash, and the sum and number of its features' weights (without weights: none)."""
+
+    def __init__(self, bits: int, weights: np.ndarray | None = None):
+        self.bits, self.weights = bits, weights
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.hash, self.total, self.number = np.empty(0, np.uint64), np.empty(0), np.empty(0, np.int64)
+
+    def learn(self, texts: list[list[str]]) -> None:
+        if len(self.place) > REMEMBERED:
+            self.clear()
+        new = list(dict.fromkeys(w for words in texts for w in words if w not in self.place))
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+        self.hash = np.concatenate((self.hash, np.array([xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in new], np.uint64)))
+        if self.weights is not None:
+            bucket, owner = features(new, self.bits)
+            self.total = np.concatenate((self.total, np.bincount(owner, self.weights[bucket], len(new))))
+            self.number = np.concatenate((self.number, np.bincount(owner, minlength=len(new))))
+
+    def pairs(self, at: np.ndarray) -> np.ndarray:
+        """Buckets of the neighbours in a text, given its words' places."""
+        h = self.hash[at]
+        return bucket_of(h[1:] ^ h[:-1], self.bits)
+
+    def places(self, words: list[str]) -> np.ndarray:
+        place = self.place
+        return np.array([place[w] for w in words], np.int64)
 
 
-def tokens(text: str | None) -> Counter:
-    words = (text or "").split()
-    found = Counter(words)
-    if same := sum(map(eq, words, words[1:])):
-        found[SAME] += same
-    return found
+def counted(text: str | None, bits: int = BITS) -> np.ndarray:
+    """How often each bucket's features come in a text."""
+    words, seen = (text or "").split(), Words(bits)
+    seen.learn([words])
+    at = seen.places(words)
+    bucket, owner = features(list(seen.place), bits)
+    each = np.bincount(at, minlength=len(seen.place)).astype(float)
+    return np.bincount(bucket, each[owner], 1 << bits) + np.bincount(seen.pairs(at), minlength=1 << bits)
 
 
 @dataclass
@@ -129,9 +150,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_where:
         for batch in slices(batches):
             at, share = [], []
             for text in batch.column("text").to_pylist():
-                found = tokens(text)
-                bucket, owner = features(list(found), bits)
-                total = np.bincount(bucket, np.array(list(found.values()))[owner] if found else None)
+                total = counted(text, bits)
                 i = np.flatnonzero(total)
                 at.append(i.astype(np.int32).tobytes())
                 share.append((total[i] / max(total.sum(), 1)).astype(np.float32).tobytes())
@@ -144,23 +163,15 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_where:
     return fit([(np.frombuffer(r.at, np.int32), np.frombuffer(r.share, np.float32), r.quality) for r in rows], bits)
 
 
-def score_texts(texts: list[str | None], model: Model, known: dict[str, tuple[float, int]]) -> list[float]:
-    """known: sum of weights and number of features by word; gets the words that it lacks."""
-    counted = [tokens(t) for t in texts]
-    new = list({w for found in counted for w in found if w not in known})
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = list({w for found in counted for w in found})
-    bucket, owner = features(new, len(model.weights).bit_length() - 1)
-    sums, sizes = np.bincount(owner, model.weights[bucket], len(new)), np.bincount(owner, minlength=len(new))
-    known.update(zip(new, zip(sums.tolist(), sizes.tolist())))
+def score_texts(texts: list[str | None], model: Model, known: Words) -> list[float]:
+    """known remembers words; it gets those that it lacks."""
+    split = [(t or "").split() for t in texts]
+    known.learn(split)
     scores = []
-    for found in counted:
-        total = n = 0.0
-        for word, count in found.items():
-            s, k = known[word]
-            total += count * s
-            n += count * k
+    for words in split:
+        at = known.places(words)
+        total = known.total[at].sum() + model.weights[known.pairs(at)].sum()
+        n = known.number[at].sum() + max(len(words) - 1, 0)
         scores.append(float(1 / (1 + np.exp(-np.clip(total / n + model.bias if n else model.bias, -500, 500)))))
     return scores
 
@@ -176,7 +187,7 @@ def classify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     schema = docs.selectExpr("*", "0D AS quality_score").schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[float, int]] = {}
+        known = Words(len(shared.value.weights).bit_length() - 1, shared.value.weights)
         for batch in slices(batches, limit=1 << 20):
             found = score_texts(batch.column("text").to_pylist(), shared.value, known)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "quality_score"])
