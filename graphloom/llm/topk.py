@@ -7,7 +7,8 @@ Blocks are taken in the order of their bounds and scored whole, until the next b
 far; equal bounds are still scored, as a smaller id may win. So nothing that could be in the result is left out.
 
 Queries and candidates meet in cells of a grid of bounded size: each range of candidates meets each range of queries
-once, as one row of either side for each cell. The k best of each cell are ranked once more over all cells.
+once, as one row of either side for each cell. Each range of queries meets one range of candidates first; the k-th best
+score there is where the other cells begin. The k best of each cell are ranked once more over all cells.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import cut_lineage
+
 K, SCALE = 5, 256
 #: Rows of a block, of a range of candidates and of a range of queries.
 BLOCK, CANDIDATES, QUERIES = 128, 8192, 2048
@@ -35,8 +38,9 @@ def quantized(df: DataFrame, vector: str, scale: float) -> DataFrame:
     return df.where(F.col(vector).isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(vector, whole).alias("x"))
 
 
-def cell(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, block: int = BLOCK) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(candidate ids, scores, query's index) of each query's k best in one cell. Rows of x are sorted by id."""
+def cell(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, least: list[int | None] | None = None, block: int = BLOCK) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(candidate ids, scores, query's index) of each query's k best in one cell. Rows of x are sorted by id. least: a score
+    for each query below which nothing is needed."""
     starts = np.arange(0, len(ids), block)
     high, low = np.maximum.reduceat(x, starts), np.minimum.reduceat(x, starts)
     plus, minus = np.maximum(q, 0), np.minimum(q, 0)
@@ -49,8 +53,9 @@ def cell(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k
     for j in range(len(q)):
         best_ids, best = np.empty(0, np.int64), np.empty(0, bounds.dtype)
         order = np.argsort(-bounds[j], kind="stable")
+        floor = least[j] if least else None
         for b in order:
-            if len(best) == k and bounds[j][b] < best[-1]:
+            if len(best) == k and bounds[j][b] < best[-1] or floor is not None and bounds[j][b] < floor:
                 break
             at = slice(starts[b], starts[b] + block)
             other = ids[at] != query_ids[j]
@@ -76,8 +81,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, *, vector: str = "em
     cells = counts.select("n", F.ceil(F.col("c") / candidates).cast("int").alias("across"), F.greatest(F.lit(1), F.ceil(F.col("q") / queries)).cast("int").alias("down"))
     placed = sized.join(cells, "n").withColumn("h", F.xxhash64("vec_id"))
     column, line = F.pmod("h", "across").cast("int"), F.pmod(F.shiftright("h", 32), "down").cast("int")
-    left = placed.select("n", column.alias("column"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("line"), "vec_id", "x")
-    right = placed.where(is_query).select(F.col("n").alias("qn"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("qcolumn"), line.alias("qline"), F.col("vec_id").alias("query_id"), F.col("x").alias("y"))
+    # a range of queries begins with one range of candidates; ranges of queries are dealt over them
+    first = F.pmod("line", "across")
+    left = placed.select("n", "across", column.alias("column"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("line"), "vec_id", "x")
+    queries_of = placed.where(is_query).select("n", "across", line.alias("line"), F.col("vec_id").alias("query_id"), F.col("x").alias("y"))
+    none = F.lit(None).cast("long")
+    once = queries_of.select(F.col("n").alias("qn"), first.cast("int").alias("qcolumn"), F.col("line").alias("qline"), "query_id", "y", none.alias("least"))
 
     def matrix(t: pa.Table, key: str, vector: str) -> tuple[np.ndarray, np.ndarray]:
         values = t[vector].combine_chunks().flatten().to_numpy(zero_copy_only=False)
@@ -90,12 +99,20 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, *, vector: str = "em
         if not c.num_rows or not q.num_rows:
             return pa.table([pa.array([], pa.int64())] * 3, names)
         (ids, x), (query_ids, y) = matrix(c, "vec_id", "x"), matrix(q, "query_id", "y")
-        found = cell(ids, x, query_ids, y, k)
+        known = dict(zip(q["query_id"].to_pylist(), q["least"].to_pylist()))
+        found = cell(ids, x, query_ids, y, k, [known[i] for i in query_ids.tolist()])
         which = np.concatenate([f[2] for f in found]).astype(np.int64)
         score = [int(s) for f in found for s in f[1]]
         return pa.table([pa.array(query_ids[which]), pa.array(np.concatenate([f[0] for f in found])), pa.array(score, pa.int64())], names)
 
-    met = left.groupBy("n", "column", "line").cogroup(right.groupBy("qn", "qcolumn", "qline")).applyInArrow(meet, "query_id long, vec_id long, score long")
+    def over(candidates: DataFrame, asked: DataFrame) -> DataFrame:
+        return candidates.drop("across").groupBy("n", "column", "line").cogroup(asked.groupBy("qn", "qcolumn", "qline")).applyInArrow(meet, "query_id long, vec_id long, score long")
+
+    begun = cut_lineage(vectors.sparkSession, over(left.where(F.col("column") == first), once), "first-cells")
+    least = begun.groupBy(F.col("query_id").alias("of")).agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+    others = queries_of.where("across > 1").join(least, F.col("query_id") == F.col("of"), "left")
+    others = others.select(F.col("n").alias("qn"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("qcolumn"), F.col("line").alias("qline"), "query_id", "y", "least", "across").where(F.col("qcolumn") != F.pmod("qline", "across"))
+    met = begun.union(over(left.where((F.col("across") > 1) & (F.col("column") != first)), others.drop("across")))
     by_score = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return met.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
