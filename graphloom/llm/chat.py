@@ -2,8 +2,8 @@
 
 A turn becomes START role newline text END newline. Rows come sorted by conversation and turn; of each batch, lengths
 of all segments, their offsets and the scatter of source bytes are computed in numpy, and headers and contents are copied
-into one buffer, from which the Arrow column of formatted conversations is made without another copy. The loss mask is
-the ranges of bytes that hold assistants' texts.
+into one buffer. With the offsets of the conversations in it, this buffer is the Arrow column of formatted conversations.
+The loss mask is the ranges of bytes that hold assistants' texts.
 
 Control strings inside texts and roles are escaped by one more backslash between '<' and the bar, so '<|', '<\\|',
 '<\\\\|' ... become '<\\|', '<\\\\|', ...; taking one away gives them back. A role's newlines and backslashes are
@@ -79,6 +79,7 @@ def format_conversations(convs: DataFrame) -> DataFrame:
 
     A conversation's rows come one after another, in the order of chunk (0, 1, ...); formatted is a chunk's n_turns whole
     turns, some BATCH_BYTES at most or one turn, and chunk_start is where it begins in the conversation, as mask_start is.
+    A conversation may be of any length, a single turn has to fit a Spark cell (2 GiB when formatted).
     Null texts and roles count as empty. Rows with equal turns are ordered by role, then text; null turns come first. Rows with
     a null conv_id are one conversation. Repeated rows are turns of their own. Extra columns are ignored; no rows give none.
     """
@@ -86,35 +87,38 @@ def format_conversations(convs: DataFrame) -> DataFrame:
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, chunk, at = None, -1, 0
+        key, chunk, at = None, -1, 0  # of the conversation that the batch before ended with
         for batch in slices(batches, limit=BATCH_BYTES):
-            done = []
-            roles, texts = batch.column("role"), batch.column("text")
-            out, size, text_to, text_n = assemble(roles, texts)
-            loss = pc.equal(roles, ASSISTANT).to_numpy(zero_copy_only=False)
-            ids = batch.column("conv_id").to_pylist()
+            if not batch.num_rows:
+                continue
+            roles, ids = batch.column("role"), batch.column("conv_id")
+            out, size, text_to, text_n = assemble(roles, batch.column("text"))
+            plain = pc.fill_null(ids, 0).to_numpy()
+            none = pc.is_null(ids).to_numpy(zero_copy_only=False)
+            begin = np.flatnonzero(np.concatenate(([True], (plain[1:] != plain[:-1]) | (none[1:] != none[:-1]))))
+            turns = np.diff(begin, append=batch.num_rows)
             ends = np.cumsum(size)
-            edges = [0] + [i for i in range(1, len(ids)) if ids[i] != ids[i - 1]] + [len(ids)]
-            for a, b in zip(edges, edges[1:]):
-                if a == b:
-                    continue
-                if chunk < 0 or ids[a] != key:
-                    key, chunk, at = ids[a], -1, 0
-                chunk += 1
-                low, high = int(ends[a] - size[a]), int(ends[b - 1])
-                mine = loss[a:b]
-                done.append((key, chunk, at, b - a, out[low:high].tobytes(), (text_to[a:b][mine] - low + at).tolist(), text_n[a:b][mine].tolist()))
-                at += high - low
-            yield records(done)
+            offsets = np.concatenate(([0], ends[begin + turns - 1]))
+            # the first conversation may go on from the batch before; all others begin here
+            chunks, starts = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
+            if chunk >= 0 and ids[0].as_py() == key:
+                chunks[0], starts[0] = chunk + 1, at
+            key, chunk, at = ids[batch.num_rows - 1].as_py(), int(chunks[-1]), int(starts[-1] + offsets[-1] - offsets[-2])
+            loss = pc.equal(roles, ASSISTANT).to_numpy(zero_copy_only=False)
+            masks = pa.array(np.concatenate(([0], np.cumsum(np.add.reduceat(loss.astype(np.int32), begin)))), pa.int32())
+            shift = np.repeat(starts - offsets[:-1], turns)
+            formatted = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    ids.take(pa.array(begin)), pa.array(chunks), pa.array(starts), pa.array(turns.astype(np.int64)), formatted,
+                    pa.ListArray.from_arrays(masks, pa.array((text_to + shift)[loss])), pa.ListArray.from_arrays(masks, pa.array(text_n[loss])),
+                ],
+                [x.split()[0] for x in FORMATTED.split(", ")],
+            )
 
     return rows.mapInArrow(run, FORMATTED)
 
 
-def records(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["conv_id", "chunk", "chunk_start", "n_turns", "formatted", "mask_start", "mask_length"])
-
-
 def parse(formatted: bytes) -> list[tuple[str, str]]:
     """(role, text) of each turn, read back."""
     turns, at = [], 0
