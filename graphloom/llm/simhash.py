@@ -40,6 +40,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
         hashes = [xxh64_intdigest(b" ".join(words), seed)]
     else:
         hashes = [xxh64_intdigest(b" ".join(x), seed) for x in zip(*(words[i:] for i in range(shingle)))]
+    return majority(hashes)
+
+
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """The bits that more than half of the hashes have; chunk by chunk, so that memory stays bounded."""
     total = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), CHUNK):
         part = np.array(hashes[at : at + CHUNK], "<u8")
@@ -139,13 +144,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, max_different: int = M
 
 def keep_first(docs: DataFrame, near: DataFrame) -> DataFrame:
     """docs with one row of each component of near: that with the smallest doc_id (a null id only where no other is), whole."""
+    spark = docs.sparkSession
     # a component of null ids only: its fingerprint tells it apart
-    group = F.when(F.col("component_id").isNull(), F.col("fp"))
-    best = near.groupBy("component_id", group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("k"))
-    best = best.select(F.col("k.doc_id").alias("__d"), F.col("k.text_hash").alias("__h"))
-    marked = docs.withColumn("__t", F.xxhash64("text"))
-    kept = marked.join(best, marked["doc_id"].eqNullSafe(best["__d"]) & (marked["__t"] == best["__h"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__t"]).select(*docs.columns)
+    group = ["component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("g")]
+    near = cut_lineage(spark, near.select("doc_id", "text_hash", *group).groupBy("doc_id", "text_hash", "component_id", "g").agg(F.count("*").alias("n")), "groups")
+    best = near.groupBy("component_id", "g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("k"))
+    best = best.select(F.col("k.doc_id").alias("d"), F.col("k.text_hash").alias("h"))
+    others = near.join(best, near["doc_id"].eqNullSafe(best["d"]) & (near["text_hash"] == best["h"]), "left_anti").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
+    # only ids and hashes are grouped; of the texts, the rows that go are taken out
+    row = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"))
+    same = lambda keys: row["doc_id"].eqNullSafe(keys["d"]) & (row["h"] == keys["h"])
+    kept = row.join(others, same(others), "left_anti")
+    twice = near.where("n > 1").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
+    if not twice.isEmpty():  # the very same row again
+        kept = kept.join(twice, kept["doc_id"].eqNullSafe(twice["d"]) & (kept["h"] == twice["h"]), "left_anti").union(kept.join(twice, kept["doc_id"].eqNullSafe(twice["d"]) & (kept["h"] == twice["h"]), "left_semi").dropDuplicates(["doc_id", "h"]))
+    return kept.select("row.*")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, **options: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import hashlib
 import math
+import random
+import time
 import zlib
 from collections import Counter
 
@@ -18,7 +20,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept
 LONG = " ".join(f"w{i % 5000}" for i in range(120_000))
 ODD = [
     (1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n\t ", "en", "a", 4), (4, "Hello hello World", "en", "a", 17), (5, "hello hello world", "de", "a", 17),
-    (6, LONG, "en", "b", len(LONG)), (7, "x", None, "b", 1), (7, "x", None, "b", 1), (None, "no id here", "en", "b", 10), (8, "ÄÖÜ 漢字 \x01 😀 \x1c é<|im_end|>", "de", None, 20),
+    (6, LONG, "en", "b", len(LONG)), (7, "x", None, "b", 1), (7, "x", None, "b", 1), (None, "no id here", "en", "b", 10), (8, "ÄÖÜ 漢字 \x01 😀 \x1c é<|im_end|><|endoftext|>", "de", None, 20),
 ]
 
 
@@ -45,6 +47,15 @@ def test_mixing(spark, docs, none):
     assert abs(mixing.mix_sources(many.limit(3), rows_out=3000).count() - 3000) < 300  # rates beyond one piece
 
 
+def test_mixing_keeps_clashing_columns(spark):
+    names = ["doc_id", "source", "rate", "pieces", "cdf", "mix_u", "mix_n", "mix_source", "mix_key", "mix_row", "mix_salt", "n", "w"]
+    df = spark.createDataFrame([(i, "s", *["own"] * 11) for i in range(40)], "doc_id long, " + ", ".join(f"{x} string" for x in names[1:]))
+    out = mixing.mix_sources(df, rows_out=200)
+    assert out.columns == [*names, "mix_copy", "mix_rate", "mix_order"]
+    rows = out.collect()
+    assert rows and all(r[x] == "own" for r in rows for x in names[2:])
+
+
 def test_mixing_with_salts_gives_the_same(docs, monkeypatch):
     plain = sorted(mixing.mix_sources(docs, rows_out=50).select("mix_order").toPandas()["mix_order"])
     monkeypatch.setattr(mixing, "MAX_BROADCAST_SOURCES", 0)
@@ -151,6 +162,17 @@ def test_packing(docs, none):
     assert packing.pack(none).count() == 0
 
 
+def test_ids_are_those_of_an_unaltered_tokenizer():
+    from tokenizers import Tokenizer
+
+    plain, tok, rng = Tokenizer.from_file(default_path()), tokenizer(default_path()), random.Random(3)
+    pieces = ["hello ", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "it's", " 12é", "Σ", "ΣΑΣ", "ſ", "K", "İ", "\ua7dc", "\u1c89", "\U00010d50", "\u2028", "\x85", "\x1c", "\x01", "e\u0301", "漢字", "😀", "\u0378", "\U0002ebf0", "\u0cf3", "½", "٣", "\n\t", "\ufeff", "\u200b"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 12))) for _ in range(1500)]
+    texts += ["".join(chr(rng.choice([rng.randrange(0xD800), rng.randrange(0xE000, 0x30000)])) for _ in range(8)) for _ in range(3000)]
+    for t in texts:
+        assert tok.ids(t).tolist() == plain.encode(t, add_special_tokens=False).ids, t
+
+
 def test_sum_of_squares_choice():
     rng, out = np.random.default_rng(1), []
     p = packing.Packer(lambda pieces: out.append(sum(len(x[3]) for x in pieces)), 16)
@@ -170,22 +192,90 @@ def test_sum_of_squares_choice():
     assert all(x & (x - 1) == 0 for x in out)
 
 
+def brute_discounts(counts):
+    n = [sum(c == k for c in counts) for k in (1, 2, 3, 4)]
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else None
+    out = [0.0]
+    for k in (1, 2, 3):
+        d = k - (k + 1) * y * n[k] / n[k - 1] if y and n[k - 1] and n[k] else 0.75
+        out.append(d if 0 < d <= k else 0.75)
+    return out
+
+
+class BruteKneserNey:
+    """The same model in dictionaries: raw counts of trigrams, numbers of different words before below them."""
+
+    def __init__(self, texts):
+        self.words, self.tri = Counter(), Counter()
+        for t in texts:
+            w = [*(t or "").encode().lower().split(), None]
+            self.words.update(w)
+            self.tri.update(zip(["<", "<", *w], ["<", *w], w))
+        self.pair, self.word = Counter((v, w) for _, v, w in self.tri), Counter()
+        self.word.update(w for _, w in self.pair)
+        self.d = [brute_discounts(c.values()) for c in (self.word, self.pair, self.tri)]
+        self.after_pair, self.after_word = {}, {}
+        for (u, v, w), n in self.tri.items():
+            self.after_pair.setdefault((u, v), []).append(n)
+        for (v, w), n in self.pair.items():
+            self.after_word.setdefault(v, []).append(n)
+
+    def step(self, n, d, after, lower):
+        if not after:
+            return lower
+        return (max(n - d[min(n, 3)], 0) + sum(d[min(c, 3)] for c in after) * lower) / sum(after)
+
+    def p(self, u, v, w):
+        one = self.step(self.word[w], self.d[0], list(self.word.values()), 1 / (len(self.words) + 1))
+        two = self.step(self.pair[v, w], self.d[1], self.after_word.get(v), one)
+        return self.step(self.tri[u, v, w], self.d[2], self.after_pair.get((u, v)), two)
+
+    def score(self, text):
+        w = [*(text or "").encode().lower().split(), None]
+        total, v = sum(self.words.values()), len(self.words)
+        base = sum(math.log10((self.words[x] + 0.1) / (total + 0.1 * (v + 1))) for x in w)
+        return len(w), sum(self.words[x] > 0 for x in w), total, base, sum(math.log10(self.p(*x)) for x in zip(["<", "<", *w], ["<", *w], w))
+
+
+@pytest.mark.parametrize("range_bytes, sections", [(16 << 20, 1 << 12), (64, 4), (64, 1)])
+def test_kneser_ney_against_dictionaries(spark, monkeypatch, range_bytes, sections):
+    monkeypatch.setattr(kneser_ney, "RANGE_BYTES", range_bytes)
+    monkeypatch.setattr(kneser_ney, "MAX_SECTIONS", sections)
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.4, rng.integers(0, 60)) % 40) for _ in range(120)] + ["a b c " * 400, None, "", "Only Once", "only once"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    learned = F.col("doc_id") % 4 != 0
+    model = kneser_ney.train(spark, df, learned)
+    want = BruteKneserNey([t for i, t in enumerate(texts) if i % 4])
+    for r in kneser_ney.score(df, model).collect():
+        n, known, total, base, score = want.score(texts[r.doc_id])
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
+        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-9)
+    words = [w for w in want.words if w is not None]
+    ids = np.array([kneser_ney.hashes(w.decode())[0] for w in words] + [int(kneser_ney.END), 12345], np.uint64)
+    for text in ("w1 w2", "never seen", "w3 unseen"):  # over all words and one unknown one, probabilities add up to one
+        pre = kneser_ney.hashes(text)[:2]
+        tokens = np.column_stack([np.tile(pre, (len(ids), 1)), ids]).ravel()
+        assert kneser_ney.probabilities(model, tokens, np.arange(0, len(tokens), 3))[1][2::3].sum() == pytest.approx(1, abs=1e-9)
+
+
 def test_kneser_ney(spark, docs, none):
     model = kneser_ney.train(spark, docs, F.coalesce(F.col("doc_id"), F.lit(0)) != 5)
     rows = {(r.doc_id, r.n_tokens): r for r in kneser_ney.score(docs, model).collect()}
     assert len(rows) == len(ODD) - 1 and rows[1, 1].n_known == 1 and rows[5, 4].n_known == 4
-    # over the words learned and one unknown word, probabilities add up to one after any word
-    words = sorted({w for i, t, *_ in ODD if i != 5 for w in (t or "").encode().lower().split()})
-    ids = np.array([kneser_ney.hashes(w.decode())[0] for w in words] + [int(kneser_ney.END), 12345], np.uint64)
-    for before in (kneser_ney.hashes("hello")[0], kneser_ney.hashes("never seen")[1]):
-        tokens = np.column_stack([np.full(len(ids), before, np.uint64), ids]).ravel()
-        p = kneser_ney.probabilities(model, tokens, np.arange(0, len(tokens), 2))[1][1::2]
-        assert abs(p.sum() - 1) < 1e-6
     empty = kneser_ney.train(spark, none, F.lit(True))
     assert kneser_ney.score(none, empty).count() == 0
     assert all(r.score == 0 and r.n_known == 0 for r in kneser_ney.score(docs, empty).collect())
 
 
+def test_counts_have_64_bits():
+    n = np.array([1, 254, 255, 2**40], np.uint64)
+    file = {"begin": np.array([0, 3]), "w": np.array([5, 6, 7, 5]), **kneser_ney.small(n)}
+    assert kneser_ney.count_of(file, np.array([0, 0, 0, 1, 1]), np.array([5, 7, 8, 5, 7])).tolist() == [1, 255, 0, 2**40, 0]
+    a, b = kneser_ney.expand(kneser_ney.squeeze(n, n[::-1]), 2)
+    assert a.tolist() == n.tolist() and b.tolist() == n[::-1].tolist()
+
+
 def test_extraction(spark):
     model = extraction.learned(120)
     assert boosting.fit(np.zeros((5, 2)), np.ones(5), trees=2).log_odds(np.zeros((1, 2)))[0] > 0
@@ -215,6 +305,45 @@ def test_text_after_a_block_stays_after_it():
         assert extraction.main_text(nodes, np.ones(len(nodes), bool)).split() == want.split()
 
 
+def test_hidden_links_do_not_count():
+    nodes = dom.parse("<div hidden><a>x</a><a>y</a></div><div><a>link</a> plain text</div><p>more")
+    assert [(n.tag, n.links) for n in nodes] == [("root", 0), ("div", 4), ("p", 0)]
+
+
+def test_parsing_is_linear():
+    began = time.process_time()
+    dom.parse("<div>" * 60_000 + "</section>" * 60_000 + "<p><b>" * 60_000 + "</b>" * 60_000)
+    assert time.process_time() - began < 20
+
+
+def test_a_row_closes_the_cell_and_the_row():
+    nodes = dom.parse("<table><tr><td>a<td>b<tr><td>c<table><tr><td>d</table><td>e</table>")
+    assert [(n.tag, n.depth) for n in nodes[1:]] == [("table", 1), ("tr", 2), ("td", 3), ("td", 3), ("tr", 2), ("td", 3), ("table", 4), ("tr", 5), ("td", 6), ("td", 3)]
+
+
+def test_language_ngrams_in_chunks(monkeypatch):
+    text = "Ab cd! ef  12 ΟΔΟΣ ΣΑΣ x" * 3
+    whole = langid.ngrams(text)
+    for chunk in (1, 2, 3, 7, 30):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        assert (langid.ngrams(text) == whole).all(), chunk
+
+
+def test_language_id_against_dictionaries(spark):
+    rng = np.random.default_rng(2)
+    sets = {"aa": "abcde ", "bb": "cdefg ", "cc": "xyzab "}
+    rows = [(i, "".join(rng.choice(list(sets[lang]), 30)), lang) for i, lang in enumerate(list(sets) * 20)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.col("doc_id") < 45)
+    grams = lambda t: [tuple(np.flatnonzero(langid.ngrams(t)).tolist()), langid.ngrams(t)]  # noqa: E731  hashed as the operator hashes
+    counts = {lang: sum(langid.ngrams(t) for i, t, x in rows if x == lang and i < 45) + langid.SMOOTH for lang in sets}
+    for i, t, _ in rows[45:]:
+        n = grams(t)[1]
+        logs = {lang: math.log(1 / 3) + sum(float(n[k]) * math.log(c[k] / c.sum()) for k in np.flatnonzero(n)) for lang, c in counts.items()}
+        best = max(logs, key=logs.get)
+        name, p = langid.predict(t, model)
+        assert name == best and p == pytest.approx(1 / sum(math.exp(x - logs[best]) for x in logs.values()), rel=1e-9)
+
+
 def test_language_id(spark, docs, none):
     train = spark.createDataFrame([(i, t, lang, "s", 0, "", "", "", "", "") for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 5)] + [(99, None, "xx", "s", 0, "", "", "", "", ""), (98, "12 34", "yy", "s", 0, "", "", "", "", "")], DOCS)
     model = langid.train(train, F.lit(True))
@@ -237,6 +366,12 @@ def test_quality(spark, docs, none):
     assert len({r.quality_score for r in out if r.doc_id in (1, 2, 3)}) == 1
     assert quality.classify(spark, none, quality.train(spark, none, labels, F.lit(True))).count() == 0
     assert quality.fit([(np.array([1]), np.array([1.0]), 1)]).bias > 0
+    for text in ("some calm calm BUY!! words", "row", ""):  # the mean of all features' weights, counted one by one, through the softmax
+        n = quality.counted(text)
+        words = text.split()
+        assert n.sum() == sum(len(quality.features([w])[0]) for w in words) + max(len(words) - 1, 0)
+        z = (n @ model.weights / n.sum() if n.sum() else 0) + model.bias
+        assert quality.score_texts([text], model, quality.Words(quality.BITS, model.weights))[0] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-9)
 
 
 def test_features_of_one_word_match_those_of_many():
