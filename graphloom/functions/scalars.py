@@ -54,5 +54,55 @@ def equals(text: Column, value: object) -> Column:
     return F.coalesce(truth | F.when(is_integer, same_integer).otherwise(same_double), F.lit(False))
 
 
-def parse_scalar(text: str) -> object:
-    return json.loads(text)
+# Comparison of properties as graph query languages have it: three truth values, kinds that don't mix.
+
+
+def json_of(value: Column | object) -> Column:
+    """A property's JSON text as it is, or that of a Python scalar."""
+    return value if isinstance(value, Column) else F.lit(None if value is None else json.dumps(value)).cast("string")
+
+
+def present(text: Column) -> Column:
+    return text.isNotNull() & (text != "null")
+
+
+def number(text: Column) -> Column:
+    """The number that a JSON text stands for (null for other values)."""
+    return F.when(text.rlike(r"^-?[0-9]"), text.try_cast("double"))
+
+
+def same(a: Column | object, b: Column | object) -> Column:
+    """a = b: null if either is missing, false for values of different kinds ("1" isn't 1, true isn't 1)."""
+    a, b = json_of(a), json_of(b)
+    whole = a.rlike(INTEGER) & b.rlike(INTEGER)
+    numbers = F.when(whole, a.try_cast("decimal(38,0)") == b.try_cast("decimal(38,0)")).otherwise(number(a) == number(b))
+    equal = F.when(a.startswith('"') & b.startswith('"'), as_string(a) == as_string(b)).when(number(a).isNotNull() & number(b).isNotNull(), numbers).otherwise(a == b)
+    return F.when(present(a) & present(b), equal)
+
+
+def less(a: Column | object, b: Column | object, or_equal: bool = False) -> Column:
+    """a < b (or <=): of numbers, strings or truth values; null if either is missing or they are of different kinds."""
+    a, b = json_of(a), json_of(b)
+    how = (lambda x, y: x <= y) if or_equal else (lambda x, y: x < y)
+    truth = lambda x: F.when(x == "true", 1).when(x == "false", 0)
+    return F.when(present(a) & present(b), F.coalesce(how(number(a), number(b)), how(as_string(a), as_string(b)), how(truth(a), truth(b))))
+
+
+def sort_key(text: Column) -> Column:
+    """Orders properties: strings, then false, true, then numbers by value; missing ones last (ascending)."""
+    kind = F.when(~present(text) | text.isNull(), 4).when(text.startswith('"'), 1).when(text.isin("true", "false"), 2).otherwise(3)
+    return F.struct(kind.alias("kind"), number(text).alias("number"), F.coalesce(as_string(text), text).alias("text"))
+
+
+def greatest_of(text: Column) -> Column:
+    """Aggregate: the largest property, as JSON text; missing ones don't count."""
+    return F.max_by(text, F.when(present(text), sort_key(text)))
+
+
+def least_of(text: Column) -> Column:
+    return F.min_by(text, F.when(present(text), sort_key(text)))
+
+
+def shown(text: Column) -> Column:
+    """A property as text: strings without quotes, other values as JSON has them, null if missing."""
+    return F.when(present(text), F.coalesce(as_string(text), text))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..lineage import Checkpoint
+from ..lineage import Checkpoint, shared_writer
 from .trees import without_subtrees
 
 #: Kinds of children that make an edge more than a child; names of severities.
@@ -24,19 +24,25 @@ def in_line_range(nodes: DataFrame, low: int, high: int, checkpoint: Checkpoint
     return without_subtrees(nodes, ~((F.col("start_line") <= high) & (F.col("end_line") >= low)), checkpoint)
 
 
-def with_depth(nodes: DataFrame, max_depth: int) -> DataFrame:
-    """Nodes of at most max_depth steps below a root, with depth: one join a level."""
-    level = nodes.where("parent_id IS NULL").withColumn("depth", F.lit(0))
+def with_depth(nodes: DataFrame, max_depth: int, checkpoint: Checkpoint | None = None) -> DataFrame:
+    """Nodes of at most max_depth steps below a root, with depth: one join a level, of which only keys are written for the next.
+
+    Ends early where no level has nodes any more."""
+    checkpoint = checkpoint or shared_writer(nodes.sparkSession)
+    level = checkpoint(nodes.where("parent_id IS NULL").select("tu", "id", F.lit(0).alias("depth")))
     out = level
     for d in range(1, max_depth + 1):
-        level = nodes.join(level.select("tu", F.col("id").alias("parent_id")), ["tu", "parent_id"]).select(*nodes.columns).withColumn("depth", F.lit(d))
+        above = level.select("tu", F.col("id").alias("parent_id"))
+        level = checkpoint(nodes.select("tu", "id", "parent_id").join(above, ["tu", "parent_id"]).select("tu", "id", F.lit(d).alias("depth")))
+        if level.isEmpty():
+            break
         out = out.union(level)
-    return out
+    return nodes.join(out, ["tu", "id"]).select(*nodes.columns, "depth")
 
 
-def depth_cut(nodes: DataFrame, max_depth: int) -> DataFrame:
+def depth_cut(nodes: DataFrame, max_depth: int, checkpoint: Checkpoint | None = None) -> DataFrame:
     """with_depth and truncated: whether a node at the last level has children in the tree."""
-    kept = with_depth(nodes, max_depth)
+    kept = with_depth(nodes, max_depth, checkpoint)
     parents = nodes.where("parent_id IS NOT NULL").select("tu", F.col("parent_id").alias("id"), F.lit(True).alias("has_child")).distinct()
     return kept.join(parents, ["tu", "id"], "left").withColumn("truncated", (F.col("depth") >= max_depth) & F.coalesce("has_child", F.lit(False))).drop("has_child")
 

@@ -64,18 +64,21 @@ def in_context(cursors: DataFrame, checkpoint: Checkpoint | None = None) -> Data
     Nothing below a parameter or an inclusion is reached.
     """
     checkpoint = checkpoint or shared_writer(cursors.sparkSession)
-    nodes = checkpoint(classified(cursors))
+    nodes = classified(cursors)
     stops = {
         "end": F.col("kind").isin("PARM_DECL", "INCLUSION_DIRECTIVE"),
         "parent": F.col("emits") | ~F.col("own_file"),
         "function": F.col("emits") & F.col("kind").isin(*FUNCTION_KINDS),
     }
-    found = nearest_ancestors(nodes, stops, checkpoint)
-    names = nodes.select("tu", F.col("id").alias("ancestor"), F.col("usr").alias("a_usr"), F.col("kind").alias("a_kind"), F.col("own_file").alias("a_own"))
+    # what the search for ancestors needs is narrow; all other columns are read once, at the end
+    narrow = checkpoint(nodes.select("tu", "id", "parent_id", "usr", "kind", "own_file", *[v.alias(k) for k, v in stops.items()]))
+    found = nearest_ancestors(narrow, {k: F.col(k) for k in stops}, checkpoint)
+    stopping = narrow.where("end OR parent OR function")
+    names = stopping.select("tu", F.col("id").alias("ancestor"), F.col("usr").alias("a_usr"), F.col("kind").alias("a_kind"), F.col("own_file").alias("a_own"))
     at = lambda name, col, when=F.lit(True): F.max(F.when((F.col("stop") == name) & when, F.col(col)))  # noqa: E731  one row at most
     own = F.col("a_own")
     above = found.join(names, ["tu", "ancestor"]).groupBy("tu", "id").agg(F.bool_or(F.col("stop") == "end").alias("cut"), at("parent", "a_usr", own).alias("parent_usr"), at("parent", "a_kind", own).alias("parent_kind"), at("function", "a_usr").alias("func_usr"))
-    return nodes.join(above, ["tu", "id"], "left").where(~F.coalesce("cut", F.lit(False))).drop("cut")
+    return nodes.join(checkpoint(above), ["tu", "id"], "left").where(~F.coalesce("cut", F.lit(False))).drop("cut")
 
 
 def symbol_props() -> Column:

@@ -20,8 +20,9 @@ def transitive_includes(includes: DataFrame) -> DataFrame:
 def missing_includes(diags: DataFrame) -> DataFrame:
     """diags (tu, pos, message) -> (tu, path, pos): files that weren't found, each once, as first reported."""
     message = F.lower("message")
-    named = F.regexp_extract("message", "['\"]([^'\"]+)['\"]", 1)
-    found = diags.where(message.contains("file not found") | message.contains("no such file")).withColumn("path", named).where("path <> ''")
+    quoted = F.get(F.split(F.translate("message", "'", '"'), '"'), F.lit(1))  # what stands between the first two quotation marks of either kind
+    closed = F.length(F.regexp_replace("message", "[^'\"]", "")) > 1
+    found = diags.where((message.contains("file not found") | message.contains("no such file")) & closed).withColumn("path", quoted).where("path <> ''")
     return found.groupBy("tu", "path").agg(F.min("pos").alias("pos"))
 
 

@@ -73,10 +73,12 @@ def with_snippets(hits: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def type_infos(points: DataFrame, cursors: DataFrame) -> DataFrame:
-    """For each point: the type's spelling, canonical spelling, size and alignment (null if unknown), and flags."""
+    """For each point: the type's spelling, canonical spelling, size and alignment (null if unknown), and flags.
+
+    Columns that cursors lack count as unknown and false."""
     here = cursors_at(points, cursors)
     have = set(cursors.columns)
     positive = lambda c: F.when(F.col(c) > 0, F.col(c)) if c in have else F.lit(None).cast("bigint")
     flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in have else F.lit(False)
     canonical = F.coalesce("canonical_type", "type_spelling") if "canonical_type" in have else F.col("type_spelling")
-    return here.select("tu", "file", "p_line", "p_col", F.col("type_spelling").alias("display_type"), canonical.alias("canonical_type"), positive("size_bytes").alias("size_bytes"), positive("align_bytes").alias("align_bytes"), *[flag(c).alias(c) for c in ("is_const", "is_pointer", "is_reference", "is_template")])
+    return here.select("tu", "file", "p_line", "p_col", F.col("type_spelling").alias("display_type"), canonical.alias("canonical_type"), positive("size_bytes").alias("size_bytes"), positive("alignment_bytes").alias("alignment_bytes"), *[flag(c).alias(c) for c in ("is_pod", "is_const", "is_reference", "is_pointer")])

@@ -28,21 +28,32 @@ def has_edge(rows: DataFrame, edges: DataFrame, id_col: str, *, t: str | None =
     return rows.join(found, id_col, "left_anti" if negate else "left_semi")
 
 
-def paths(starts: DataFrame, edges: DataFrame, low: int, high: int, t: str | None = None) -> DataFrame:
-    """starts (id) -> (start_id, end_id, length, edges): paths of low to high edges, no edge twice in a path.
+def paths(starts: DataFrame, steps: DataFrame, low: int, high: int | None, checkpoint) -> DataFrame:
+    """starts (id), steps (a, b, e: the edge's key) -> (start_id, end_id, length, edges): paths of low to high steps, no edge twice in a path.
 
-    One join a step, for a number of steps that the query fixes."""
-    step = (edges if t is None else edges.where(F.col("t") == t)).select("outbound_id", F.col("inbound_id").alias("next"), F.concat_ws("|", "outbound_id", "t", "inbound_id").alias("e"))
+    high None: as long as there are any, which ends because edges aren't used again. One join a step, each step written by
+    checkpoint(df), so that none is computed again for the next.
+    """
     now = starts.select(F.col("id").alias("start_id"), F.col("id").alias("end_id"), F.lit(0).alias("length"), F.array().cast("array<string>").alias("edges"))
     out = now if low == 0 else None
-    for n in range(1, high + 1):
-        now = now.join(step, now["end_id"] == step["outbound_id"]).where(~F.array_contains("edges", F.col("e")))
-        now = now.select("start_id", F.col("next").alias("end_id"), F.lit(n).alias("length"), F.array_append("edges", F.col("e")).alias("edges"))
+    step = steps.select("a", "b", "e")
+    for n in count(1) if high is None else range(1, high + 1):
+        now = now.join(step, now["end_id"] == step["a"]).where(~F.array_contains("edges", F.col("e")))
+        now = now.select("start_id", F.col("b").alias("end_id"), F.lit(n).alias("length"), F.array_append("edges", F.col("e")).alias("edges"))
+        now = checkpoint(now) if high is None or high > 1 else now
         if n >= low:
             out = now if out is None else out.union(now)
+        if high is None and n >= low and now.isEmpty():
+            break
     return out
 
 
+def steps_of(edges: DataFrame, t: str | None = None) -> DataFrame:
+    """Edges (of a type) as steps from source to target."""
+    found = edges if t is None else edges.where(F.col("t") == t)
+    return found.select(F.col("outbound_id").alias("a"), F.col("inbound_id").alias("b"), F.concat_ws("|", "outbound_id", "t", "inbound_id").alias("e"))
+
+
 def closure(spark: SparkSession, links: DataFrame, starts: DataFrame, checkpoint, max_rounds: int | None = None) -> DataFrame:
     """links (src, dst), starts (node) -> (start, node, depth): all that can be reached, with the smallest number of steps.
 

@@ -29,9 +29,13 @@ class Answer:
 
 
 def plain(value: object) -> object:
-    """A value as JSON has it; properties, stored as JSON texts, become their values; times become strings."""
+    """A value as JSON has it; times become strings. Of vertices and edges (patterns.as_node, as_relationship), the properties
+    become values beside _id, _labels or _type, _start, _end."""
     if isinstance(value, Row):
-        return {k: plain(v) for k, v in value.asDict().items()}
+        out = {k: plain(v) for k, v in value.asDict().items()}
+        if {"_labels", "props"} <= set(out) or {"_type", "props"} <= set(out):
+            out |= {k: json.loads(v) for k, v in (out.pop("props") or {}).items()}
+        return out
     if isinstance(value, dict):
         return {k: plain(v) for k, v in value.items()}
     if isinstance(value, list | tuple):

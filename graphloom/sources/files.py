@@ -32,12 +32,19 @@ def source_files(spark: SparkSession, path: str, recursive: bool = True) -> Data
     return found.select("path", F.col("modificationTime").alias("modified"), "length", F.decode("content", "UTF-8").alias("text"))
 
 
-def compile_db(spark: SparkSession, path: str) -> DataFrame:
-    """(file, flags): of each file's first entry, its arguments without compiler and file; null where they can't be told.
+def compile_db(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, flags): of each file's first entry in the folder's compile_commands.json, its arguments without compiler and
+    file; null where they can't be told.
 
-    Entries that can't be read are left out, so a malformed database is an empty one.
+    A folder without the file, or with one that can't be read, is an empty database; a file in place of the folder is refused.
     """
-    text = spark.read.text(guarded(path), wholetext=True)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(guarded(folder))
+    store, database = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), f"{folder.rstrip('/')}/compile_commands.json"
+    if store.exists(path) and not store.getFileStatus(path).isDirectory():
+        raise GraphError("INVALID_ARGUMENT", "the build path must be a folder")
+    if not store.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(database)):
+        return spark.createDataFrame([], "file string, flags array<string>")
+    text = spark.read.text(database, wholetext=True)
     entries = text.select(F.posexplode(F.coalesce(F.from_json("value", f"array<struct<{COMPILE_ENTRY.replace(' ', ':').replace(',:', ',')}>>", {"mode": "PERMISSIVE"}), F.array())).alias("pos", "e"))
     return flags_of(entries.select("pos", "e.*"))
 
@@ -46,7 +53,7 @@ def flags_of(entries: DataFrame) -> DataFrame:
     """entries (pos, directory, command, arguments, file) -> (file, flags)."""
     full = F.when(F.col("file").startswith("/"), F.col("file")).otherwise(F.concat_ws("/", "directory", "file"))
     args = F.coalesce("arguments", F.split(F.trim("command"), r"\s+"))
-    rest = F.array_remove(F.array_remove(F.slice(args, 2, F.greatest(F.size(args) - 1, F.lit(0))), F.col("file")), full)
+    rest = F.slice(args, 2, F.greatest(F.size(args) - 2, F.lit(0)))  # without the compiler, which is first, and the file, which is last
     flags = F.when(F.array_contains(args, "--") | (F.size(args) < 1), F.lit(None)).otherwise(rest)
     return entries.where("file IS NOT NULL").select(full.alias("file"), "pos", flags.alias("flags")).groupBy("file").agg(F.min_by(F.struct("flags"), "pos").alias("r")).select("file", "r.flags")
 
@@ -54,4 +61,4 @@ def flags_of(entries: DataFrame) -> DataFrame:
 def resolve_flags(files: DataFrame, db: DataFrame, defaults: list[str]) -> DataFrame:
     """files (file) with flags and flags_source: those of the database, else the defaults."""
     usual = F.array(*map(F.lit, defaults)) if defaults else F.array().cast("array<string>")
-    return files.join(db, "file", "left").withColumn("flags_source", F.when(F.col("flags").isNotNull(), "compile_db").otherwise("defaults")).withColumn("flags", F.coalesce("flags", usual))
+    return files.join(db, "file", "left").withColumn("flags_source", F.when(F.col("flags").isNotNull(), "compilation_db").otherwise("default")).withColumn("flags", F.coalesce("flags", usual))

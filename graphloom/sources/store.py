@@ -1,67 +1,135 @@
-"""Graph stores: versions of a graph as Parquet, one current; JSON documents; choice of a store by address.
+"""Graph stores: a graph as Parquet files listed by numbered manifests; JSON documents; choice of a store by address.
 
-A write makes a new version next to the old ones and then moves the pointer, which is one small file; readers see either
-version whole, and a failed write leaves none. Vertices and edges are partitioned by type, so a type filter reads only
-its folder.
+Rows are dealt by a hash of their (source) id into a fixed number of buckets, and within these by label or type. A write
+makes new files for the buckets that it touches, and a manifest with the next number that lists these and the older files
+of all others. A manifest comes into being whole, by a rename that never replaces; so readers see the graph before or after
+a write, never between, and of two writers that began from the same graph the second is refused and may start again.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import GraphError
 from ..functions.ids import document_key
+from ..lineage import cut_lineage
 from ..model import EDGE_SCHEMA, VERTEX_SCHEMA, Graph
 from ..operators.upsert import upsert_edges, upsert_vertices
 
+BUCKETS = 16
+KINDS = {"vertices": (VERTEX_SCHEMA, "id"), "edges": (EDGE_SCHEMA, "outbound_id")}
+#: (kind, bucket, label or type, folder)
+Entry = tuple[str, int, str, str]
 
-class ParquetStore:
-    def __init__(self, spark: SparkSession, url: str):
-        self.spark, self.url = spark, url.rstrip("/")
 
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
-    def current(self) -> str | None:
-        fs, p = self._fs(f"{self.url}/CURRENT")
-        return self.spark.read.text(f"{self.url}/CURRENT").first()[0] if fs.exists(p) else None
-
-    def read(self) -> Graph:
-        version = self.current()
-        if version is None:
-            return Graph(self.spark.createDataFrame([], VERTEX_SCHEMA), self.spark.createDataFrame([], EDGE_SCHEMA))
-        parts = [self.spark.read.schema(s).parquet(f"{self.url}/{version}/{n}") for n, s in (("vertices", VERTEX_SCHEMA), ("edges", EDGE_SCHEMA))]
-        return Graph(*parts)
-
-    def write(self, g: Graph) -> str:
-        version = uuid.uuid4().hex
-        # rebalanced by type: a type with most rows is split over files, small ones aren't scattered
-        for name, df in (("vertices", g.vertices), ("edges", g.edges)):
-            df.hint("rebalance", "t").write.partitionBy("t").parquet(f"{self.url}/{version}/{name}")
-        fs, p = self._fs(f"{self.url}/CURRENT.{version}")
-        out = fs.create(p, True)
-        out.write(bytearray(version.encode()))
+class ParquetStore:
+    def __init__(self, spark: SparkSession, url: str, buckets: int = BUCKETS):
+        self.spark, self.url, self.buckets = spark, url.rstrip("/"), buckets
+
+    def _path(self, *parts: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([self.url, *parts]))
+
+    def _list(self, *parts: str) -> list[str]:
+        path = self._path(*parts)
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+    def version(self) -> int:
+        """The latest manifest's number; 0: nothing was written yet."""
+        return max((int(x.removesuffix(".json")) for x in self._list("manifests") if x.endswith(".json")), default=0)
+
+    def entries(self, version: int | None = None) -> list[Entry]:
+        n = self.version() if version is None else version
+        if not n:
+            return []
+        text = self.spark.read.text(f"{self.url}/manifests/{n:012d}.json", wholetext=True).first()[0]
+        return [tuple(x) for x in json.loads(text)]
+
+    def _table(self, kind: str, entries: list[Entry]) -> DataFrame:
+        schema, _ = KINDS[kind]
+        folders = [f"{self.url}/data/{folder}" for k, _, _, folder in entries if k == kind]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def read(self, version: int | None = None, types: set[str] | None = None) -> Graph:
+        """The graph, or of it the vertices and edges of some labels and types only, whose folders alone are then read."""
+        found = [e for e in self.entries(version) if types is None or e[2] in types]
+        return Graph(self._table("vertices", found), self._table("edges", found))
+
+    def _bucket(self, kind: str) -> F.Column:
+        return F.pmod(F.xxhash64(KINDS[kind][1]), F.lit(self.buckets)).cast("int")
+
+    def _write(self, kind: str, df: DataFrame) -> list[Entry]:
+        """New folders with df's rows."""
+        name = f"{kind}-{uuid.uuid4().hex}"
+        # rebalanced: a bucket or type with most rows is split over files, small ones aren't scattered
+        placed = df.withColumn("bucket", self._bucket(kind)).withColumn("part", F.col("t"))
+        placed.hint("rebalance", "bucket", "part").write.partitionBy("bucket", "part").parquet(f"{self.url}/data/{name}")
+        out = []
+        for bucket in (x for x in self._list("data", name) if x.startswith("bucket=")):
+            for part in (x for x in self._list("data", name, bucket) if x.startswith("part=")):
+                label = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(part.removeprefix("part="))
+                out.append((kind, int(bucket.removeprefix("bucket=")), label, f"{name}/{bucket}/{part}"))
+        return out
+
+    def publish(self, version: int, entries: list[Entry]) -> int:
+        """Makes the manifest after version. An error if there is one already: another writer was first."""
+        context = self.spark.sparkContext
+        temporary, target = self._path("manifests", f"{uuid.uuid4().hex}.new"), self._path("manifests", f"{version + 1:012d}.json")
+        out = temporary.getFileSystem(context._jsc.hadoopConfiguration()).create(temporary, False)
+        out.write(bytearray(json.dumps(entries).encode()))
         out.close()
-        target = self._fs(f"{self.url}/CURRENT")[1]
-        fs.delete(target, False)
-        if not fs.rename(p, target):
-            raise GraphError("DB_UNREACHABLE", "the store's pointer can't be moved")
-        return version
+        files = context._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), context._jsc.hadoopConfiguration())
+        never_replace = context._gateway.new_array(getattr(context._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            files.rename(temporary, target, never_replace)
+        except Py4JJavaError as e:
+            files.delete(temporary, False)
+            raise GraphError("DB_UNREACHABLE", "another writer was first; read the graph and write again") from e
+        return version + 1
+
+    def write(self, g: Graph) -> int:
+        """Replaces the whole graph."""
+        version = self.version()
+        return self.publish(version, self._write("vertices", g.vertices) + self._write("edges", g.edges))
 
     def upsert(self, vertices: DataFrame, edges: DataFrame) -> dict[str, int]:
-        """Upserts batches (with seq) and publishes the new version; counts of rows inserted and attempted."""
-        old = self.read()
-        v = upsert_vertices(old.vertices, vertices)
-        e = upsert_edges(old.edges, edges, v.items)
-        counts = {f"{kind}_{what}": df.first().n for kind, u in (("vertices", v), ("edges", e)) for what, df in (("inserted", u.inserted), ("attempted", u.attempted))}
-        self.write(Graph(v.items, e.items))
+        """Upserts batches (with seq) and publishes the new graph; counts of rows inserted and attempted.
+
+        Only the buckets that the batches touch are read for the merge and written again.
+        """
+        version = self.version()
+        old = self.entries(version)
+        kept, counts, now = list(old), {}, {}
+        for kind, batch in (("vertices", vertices), ("edges", edges)):
+            batch = cut_lineage(self.spark, batch, kind)
+            touched = {r[0] for r in batch.select(self._bucket(kind)).distinct().collect()}  # no more than there are buckets
+            before = self._table(kind, [e for e in old if e[1] in touched])
+            ends = None if kind == "vertices" else self._table("vertices", kept).select("id")
+            done = upsert_vertices(before, batch) if ends is None else upsert_edges(before, batch, ends)
+            now[kind] = self._write(kind, done.items)
+            counts |= {f"{kind}_inserted": done.inserted.first().n, f"{kind}_attempted": done.attempted.first().n}
+            kept = [e for e in kept if e[0] != kind or e[1] not in touched] + now[kind]
+        self.publish(version, kept)
         return counts
 
+    def expire(self, keep: int = 2) -> None:
+        """Removes manifests but the latest ones, and the files that only these had."""
+        fs = self._path().getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        latest = self.version()
+        held = {f for n in range(max(1, latest - keep + 1), latest + 1) for *_, f in self.entries(n)}
+        for n in range(1, latest - keep + 1):
+            path = self._path("manifests", f"{n:012d}.json")
+            if fs.exists(path):
+                for *_, folder in self.entries(n):
+                    if folder not in held:
+                        fs.delete(self._path("data", folder), True)
+                fs.delete(path, False)
+
 
 def node_documents(vertices: DataFrame) -> DataFrame:
     """(key, document): a JSON document for each vertex."""
@@ -72,22 +140,39 @@ def edge_documents(edges: DataFrame) -> DataFrame:
     return edges.select(document_key("edge", F.concat_ws("|", "outbound_id", "t", "inbound_id")).alias("key"), F.to_json(F.struct("outbound_id", "inbound_id", "t", "props")).alias("document"))
 
 
+def changed_documents(known: DataFrame, documents: DataFrame) -> DataFrame:
+    """documents (key, document), one row a key, that aren't known as they are, with is_new: whether the key is new."""
+    new = documents.groupBy("key").agg(F.max("document").alias("document"))
+    old = known.select("key", F.col("document").alias("old"))
+    return new.join(old, "key", "left").where(~F.col("document").eqNullSafe(F.col("old"))).select("key", "document", F.col("old").isNull().alias("is_new"))
+
+
 class DocumentStore:
-    """JSON documents by key; new keys are added, known ones are left alone."""
+    """JSON documents by key: new keys are added, and a known key's changed document takes the place of the old one."""
+
+    SCHEMA = "key string, document string, version long"
 
     def __init__(self, spark: SparkSession, url: str):
         self.spark, self.url = spark, url.rstrip("/")
 
-    def upsert(self, documents: DataFrame) -> int:
-        new = documents.groupBy("key").agg(F.min("document").alias("document"))
+    def _rows(self) -> DataFrame:
         try:
-            new = new.join(self.spark.read.schema("key string, document string").json(self.url).select("key"), "key", "left_anti")
+            return self.spark.read.schema(self.SCHEMA).json(self.url)
         except Exception as e:  # no folder yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-        n = new.count()
-        new.write.mode("append").json(self.url)
-        return n
+            return self.spark.createDataFrame([], self.SCHEMA)
+
+    def read(self) -> DataFrame:
+        """(key, document), the latest of each key."""
+        return self._rows().groupBy("key").agg(F.max_by("document", F.coalesce("version", F.lit(0))).alias("document"))
+
+    def upsert(self, documents: DataFrame) -> int:
+        """Writes what is new or changed; the number of new keys."""
+        version = (self._rows().agg(F.max(F.coalesce("version", F.lit(0)))).first()[0] or 0) + 1
+        new = cut_lineage(self.spark, changed_documents(self.read(), documents), "documents")
+        new.select("key", "document", F.lit(version).alias("version")).write.mode("append").json(self.url)
+        return new.where("is_new").count()
 
 
 SCHEMES = {"parquet": ParquetStore, "documents": DocumentStore}

@@ -25,8 +25,6 @@ EDGES = {
 }
 #: Properties of edges: columns of the edge's table.
 EDGE_PROPS = {"LIVES_IN": ["c_mktsegment"], "PLACED_BY": ["o_orderstatus"]}
-#: Columns too long to be copied into properties.
-LONG = {"text"}
 
 
 def usr(table: str, columns: list) -> F.Column:
@@ -47,7 +45,7 @@ def vertices(spark: SparkSession, sf_dir: str, *labels: str) -> DataFrame:
     for t in labels or VERTICES:
         table, key = VERTICES[t]
         df = read(spark, sf_dir, table)
-        props = properties(**{c: F.col(c).cast("string") if kind.startswith("timestamp") else F.col(c) for c, kind in df.dtypes if c not in LONG})
+        props = properties(**{c: F.col(c).cast("string") if kind.startswith("timestamp") else F.col(c) for c, kind in df.dtypes})
         part = vertices_from(df.select(F.lit(t).alias("t"), usr(table, key).alias("usr"), props.alias("props")))
         out = part if out is None else out.unionByName(part)
     return out

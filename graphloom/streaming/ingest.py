@@ -1,4 +1,7 @@
-"""Continuous ingestion: each micro-batch of cursors is extracted and upserted, so a batch that comes again changes nothing."""
+"""Continuous ingestion: each micro-batch of cursors is extracted and upserted, so a batch that comes again changes nothing.
+
+A unit whose cursors make no tree is left out and reported; all others of its batch are ingested.
+"""
 
 from __future__ import annotations
 
@@ -7,17 +10,44 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.ids import vertex_id
+from ..lineage import cut_lineage
 from ..operators.extract import extract
 from ..sources.store import ParquetStore
 
 
+def unit_errors(cursors: DataFrame) -> DataFrame:
+    """(tu, error): units that can't be ingested, with the first of what is wrong with them.
+
+    Partial aggregates and joins by (tu, id): a unit with most rows is never gathered.
+    """
+    ids = cursors.groupBy("tu", "id").agg(F.count("*").alias("n"), F.min("parent_id").alias("parent_id"))
+    lost = ids.where("parent_id IS NOT NULL").join(ids.select("tu", F.col("id").alias("parent_id")), ["tu", "parent_id"], "left_anti")
+    found = [
+        ids.where("tu IS NULL OR id IS NULL").select("tu", F.lit("a cursor without unit or id").alias("error")),
+        ids.where("n > 1").select("tu", F.lit("an id that comes twice").alias("error")),
+        ids.where("parent_id >= id").select("tu", F.lit("a parent that doesn't come before its child").alias("error")),
+        lost.select("tu", F.lit("a parent that isn't in the unit").alias("error")),
+    ]
+    out = found[0]
+    for df in found[1:]:
+        out = out.union(df)
+    return out.groupBy("tu").agg(F.min("error").alias("error"))
+
+
 def upsert_cursors(store: ParquetStore, cursors: DataFrame, **options) -> dict[str, int]:
-    """Extracts all units of cursors and upserts them; a later unit's properties overwrite an earlier one's, by name."""
-    nodes, edges = extract(cursors, **options)
+    """Extracts the sound units of cursors and upserts them; a later unit's properties overwrite an earlier one's, by name.
+
+    Counts of rows, of units and of units that failed (see unit_errors).
+    """
+    spark = cursors.sparkSession
+    errors = cut_lineage(spark, unit_errors(cursors), "unit-errors")
+    failed = errors.count()
+    sound = cursors.where("tu IS NOT NULL").join(errors.select("tu"), "tu", "left_anti") if failed else cursors
+    nodes, edges = extract(sound, **options)
     # units are written in the order of their names
     v = nodes.select(vertex_id(F.col("usr")).alias("id"), "t", "usr", "props", F.col("tu").alias("seq"))
     e = edges.select(vertex_id(F.col("source_usr")).alias("outbound_id"), vertex_id(F.col("target_usr")).alias("inbound_id"), "t", "props", F.col("tu").alias("seq"))
-    return store.upsert(v, e)
+    return store.upsert(v, e) | {"units": sound.select("tu").distinct().count(), "units_failed": failed}
 
 
 def ingest_stream(stream: DataFrame, store: ParquetStore, checkpoint: str, **options) -> StreamingQuery:

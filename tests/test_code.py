@@ -1,17 +1,20 @@
 """Extraction, trees, positions, preprocessor state, sources, stores and streaming over small inputs made by hand."""
 
 import json
+import os
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import lineage
 from graphloom.errors import GraphError
 from graphloom.model import EDGE_SCHEMA, VERTEX_SCHEMA
 from graphloom.operators import astscan, extract, includes, position, preproc, trees
 from graphloom.sources import files
 from graphloom.sources.store import DocumentStore, ParquetStore, node_documents, open_store
-from graphloom.streaming.ingest import ingest_stream, upsert_cursors
+from graphloom.streaming.ingest import ingest_stream, unit_errors, upsert_cursors
 
 T = lambda s, p=False: (s, False, False, p, False, False, "K")
 COLS = "tu string, id long, parent_id long, kind string, usr string, spelling string, displayname string, file string, line int, col int, end_line int, end_col int, is_definition boolean, referenced_usr string, definition_usr string, access string, is_static boolean, tokens array<string>, included_file string, result_type " + extract.CURSOR_COLUMNS["result_type"] + ", args " + extract.CURSOR_COLUMNS["args"]
@@ -156,12 +159,15 @@ def test_sources(spark, tmp_path):
     found = files.source_files(spark, str(tmp_path)).orderBy("path").collect()
     assert [r.path.rpartition("/")[2] for r in found] == ["a.cpp", "b.h", "e.cc"] and found[0].text == "// a.cpp\n"
     db = tmp_path / "compile_commands.json"
-    db.write_text(json.dumps([{"directory": "/d", "command": "g++ -O2 -DX a.cpp", "file": "a.cpp"}, {"directory": "/d", "command": "g++ later a.cpp", "file": "a.cpp"}, {"directory": "/d", "command": "g++ -- b.cpp", "file": "b.cpp"}]))
-    flags = files.compile_db(spark, str(db))
+    db.write_text(json.dumps([{"directory": "/d", "command": "g++ -O2 -DX -include a.cpp a.cpp", "file": "a.cpp"}, {"directory": "/d", "command": "g++ later a.cpp", "file": "a.cpp"}, {"directory": "/d", "command": "g++ -- b.cpp", "file": "b.cpp"}]))
+    flags = files.compile_db(spark, str(tmp_path))
     want = spark.createDataFrame([("/d/a.cpp",), ("/d/b.cpp",), ("/d/c.cpp",)], "file string")
-    assert {r.file: (r.flags, r.flags_source) for r in files.resolve_flags(want, flags, ["-w"]).collect()} == {"/d/a.cpp": (["-O2", "-DX"], "compile_db"), "/d/b.cpp": (["-w"], "defaults"), "/d/c.cpp": (["-w"], "defaults")}
+    assert {r.file: (r.flags, r.flags_source) for r in files.resolve_flags(want, flags, ["-w"]).collect()} == {"/d/a.cpp": (["-O2", "-DX", "-include", "a.cpp"], "compilation_db"), "/d/b.cpp": (["-w"], "default"), "/d/c.cpp": (["-w"], "default")}
     db.write_text("{not json")
-    assert files.compile_db(spark, str(db)).count() == 0
+    assert files.compile_db(spark, str(tmp_path)).count() == 0 and files.compile_db(spark, f"{tmp_path}/sub").count() == 0
+    with pytest.raises(GraphError) as e:
+        files.compile_db(spark, str(db))
+    assert e.value.code == "INVALID_ARGUMENT"
     for bad in ("relative", "/a/../b"):
         with pytest.raises(GraphError):
             files.guarded(bad)
@@ -178,10 +184,83 @@ def test_store_and_stream(spark, cursors, tmp_path):
     assert stored.vertices.count() > 8 and {r.t for r in stored.edges.select("t").distinct().collect()} >= {"MEMBER_OF", "DEFINES", "OF_TYPE", "HAS_PARAM"}
     again = upsert_cursors(store, cursors)
     assert again["vertices_inserted"] == again["edges_inserted"] == 0 and store.read().vertices.count() == stored.vertices.count()
+    assert again["units"] == 1 and again["units_failed"] == 0
     docs = DocumentStore(spark, f"{tmp_path}/d")
     v = spark.createDataFrame([("i", "t", "u", {})], VERTEX_SCHEMA)
     assert docs.upsert(node_documents(v)) == 1 and docs.upsert(node_documents(v)) == 0
+    changed = node_documents(spark.createDataFrame([("i", "t", "u", {"a": "1"}), ("j", "t", "w", {})], VERTEX_SCHEMA))
+    assert docs.upsert(changed) == 1 and {r.document for r in docs.read().collect()} == {r.document for r in changed.collect()}
     for bad in ("nowhere", "bolt://x"):
         with pytest.raises(GraphError):
             open_store(spark, bad)
     assert spark.createDataFrame([], EDGE_SCHEMA).count() == 0
+
+
+def edges_of(spark, *rows):
+    return spark.createDataFrame(list(rows), EDGE_SCHEMA + ", seq int")
+
+
+def vertices_of(spark, *rows):
+    return spark.createDataFrame(list(rows), VERTEX_SCHEMA + ", seq int")
+
+
+def test_readers_and_writers_of_a_store_do_not_meet(spark, tmp_path):
+    store = ParquetStore(spark, f"file://{tmp_path}/g", buckets=4)
+    store.upsert(vertices_of(spark, *[(f"v{i}", "A B", f"v{i}", {"n": str(i)}, 1) for i in range(20)]), edges_of(spark, ("v0", "v1", "R", {}, 1), ("v0", "gone", "R", {}, 2)))
+    assert store.version() == 1 and store.read().vertices.count() == 20 and store.read().edges.count() == 1
+    reader = store.read()  # begins before the next write and reads after it
+    before = {e[3] for e in store.entries()}
+    counts = store.upsert(vertices_of(spark, ("v3", "Other", "v3", {"m": "7"}, 1), ("new", "C", "new", {}, 2)), edges_of(spark, ("new", "v3", "S", {}, 1)))
+    assert counts == {"vertices_inserted": 1, "vertices_attempted": 2, "edges_inserted": 1, "edges_attempted": 1}
+    now = {r.id: (r.t, dict(r.props)) for r in store.read().vertices.collect()}
+    assert reader.vertices.count() == 20 and len(now) == 21 and now["v3"] == ("A B", {"n": "3", "m": "7"}) and now["v4"] == ("A B", {"n": "4"})
+    assert before & {e[3] for e in store.entries()}  # buckets that weren't touched keep their files
+    assert [r.id for r in store.read(types={"C"}).vertices.collect()] == ["new"] and store.read(version=1).vertices.count() == 20
+    entries = store.entries()
+    store.publish(2, entries)
+    with pytest.raises(GraphError):  # a second writer that began from the same version
+        store.publish(2, entries)
+    assert store.version() == 3 and store.read().vertices.count() == 21
+    store.expire(keep=1)
+    assert store.version() == 3 and store.read().vertices.count() == 21 and store.read().edges.count() == 2
+
+
+def test_failing_units_are_left_out(spark, cursors, tmp_path):
+    store = ParquetStore(spark, f"file://{tmp_path}/g")
+    other = lambda tu, where=F.lit(True): cursors.where(where).withColumn("tu", F.lit(tu)).withColumn("file", F.when(F.col("file") == "m.cpp", tu).otherwise(F.col("file")))
+    batch = other("a.cpp").unionByName(other("lost.cpp", F.col("id") != 2)).unionByName(other("twice.cpp")).unionByName(other("twice.cpp", F.col("id") == 4))
+    counts = upsert_cursors(store, batch)
+    assert counts["units"] == 1 and counts["units_failed"] == 2
+    assert {r.tu: r.error for r in unit_errors(batch).collect()} == {"lost.cpp": "a parent that isn't in the unit", "twice.cpp": "an id that comes twice"}
+    assert {r.usr for r in store.read().vertices.where("t = 'File'").collect()} == {"file://a.cpp", "file://x.h"}
+
+
+def test_types_at_points(spark, cursors):
+    typed = cursors.withColumns({"type_spelling": F.when(F.col("id") == 9, "T const &").otherwise("int"), "canonical_type": F.when(F.col("id") == 9, "S const &"), "size_bytes": F.when(F.col("id") == 9, -2).otherwise(4), "is_reference": F.col("id") == 9})
+    points = spark.createDataFrame([("m.cpp", "m.cpp", 9, 5), ("m.cpp", "m.cpp", 7, 5), ("m.cpp", "m.cpp", 99, 1)], "tu string, file string, line int, col int")
+    got = {r.p_line: r for r in position.type_infos(points, typed).collect()}
+    assert set(got) == {7, 9} and (got[9].display_type, got[9].canonical_type, got[9].size_bytes, got[9].alignment_bytes, got[9].is_reference, got[9].is_pod) == ("T const &", "S const &", None, None, True, False)
+    assert (got[7].display_type, got[7].canonical_type, got[7].size_bytes, got[7].is_reference) == ("int", "int", 4, False)
+
+
+def test_macro_uses_stand_in_for_conditionals(spark):
+    rows = [("t", 1, "MACRO_INSTANTIATION", "A", "f", 3), ("t", 2, "MACRO_INSTANTIATION", "B", "f", 3), ("t", 3, "MACRO_INSTANTIATION", None, "f", 4), ("t", 4, "MACRO_INSTANTIATION", "C", None, 5), ("t", 5, "VAR_DECL", "x", "f", 6)]
+    got = preproc.macro_uses(spark.createDataFrame(rows, "tu string, id long, kind string, spelling string, file string, line int")).orderBy("start_line").collect()
+    assert [(r.directive, r.condition, r.start_line, r.end_line, r.evaluated_result) for r in got] == [("#ifdef", "A", 3, 3, True), ("#ifdef", "", 4, 4, True)]
+
+
+def test_nothing_shared_is_left(spark):
+    begun = len(lineage.made())
+    first = lineage.cut_lineage(spark, spark.range(3), "a")
+    second = lineage.cut_lineage(spark, first, "b")
+    old, new = lineage.made(begun)
+    lineage.remove(old)
+    assert lineage.made(begun) == [new] and second.count() == 3 and not os.path.exists(old.removeprefix("file://")) and os.path.exists(new.removeprefix("file://"))
+    lineage.remove(new)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    conf = SimpleNamespace(get=lambda *a: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf))
+    with pytest.raises(GraphError):
+        lineage.shared_dir(cluster)

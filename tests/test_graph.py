@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from graphloom.errors import GraphError, envelope
 from graphloom.functions.ids import vertex_id
-from graphloom.functions.scalars import equals
+from graphloom.functions.scalars import equals, greatest_of, least_of, less, same, shown, sort_key
 from graphloom.model import EDGE_SCHEMA, VERTEX_SCHEMA, Graph
 from graphloom.operators import introspect, traverse, upsert, verbs
+from graphloom.operators.patterns import as_node, as_path, as_relationship, at, edge, match, matching, node, prop
 from graphloom.plans import verbs_json
-from graphloom.plans.cypher import run_cypher
 from graphloom.plans.guard import check
-from graphloom.plans.results import run_json
+from graphloom.plans.results import plain, run_json
 
 A, B, C, D = (f"00000000-0000-5000-8000-00000000000{i}" for i in range(1, 5))
 
@@ -115,7 +115,7 @@ def test_describe_and_notes(spark, graph):
 def test_paths_use_an_edge_once_and_closure_ends(spark):
     e = spark.createDataFrame([("a", "b", "T", {}), ("b", "a", "T", {}), ("b", "c", "T", {})], EDGE_SCHEMA)
     starts = spark.createDataFrame([("a",)], "id string")
-    assert sorted((r.end_id, r.length) for r in traverse.paths(starts, e, 1, 4).collect()) == [("a", 2), ("b", 1), ("c", 2)]
+    assert sorted((r.end_id, r.length) for r in traverse.paths(starts, traverse.steps_of(e), 1, 4, lambda df: df.cache()).collect()) == [("a", 2), ("b", 1), ("c", 2)]
     links = e.select(F.col("outbound_id").alias("src"), F.col("inbound_id").alias("dst"))
     found = traverse.closure(spark, links, starts.select(F.col("id").alias("node")), lambda df: df.cache())
     assert sorted((r.node, r.depth) for r in found.collect()) == [("a", 0), ("b", 1), ("c", 2)]
@@ -124,7 +124,7 @@ def test_paths_use_an_edge_once_and_closure_ends(spark):
 def test_closure_loses_no_far_nodes(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(4)], "src long, dst long").cache()
     starts = spark.createDataFrame([(0,)], "node long")
-    close = lambda **more: sorted(r.depth for r in traverse.closure(spark, links, starts, lambda df: df.localCheckpoint(), **more).collect())
+    close = lambda **more: sorted(r.depth for r in traverse.closure(spark, links, starts, lambda df: df.cache(), **more).collect())
     assert close() == close(max_rounds=4) == [0, 1, 2, 3, 4]
     with pytest.raises(GraphError):
         close(max_rounds=3)
@@ -148,15 +148,69 @@ def test_guard_refuses(spark, text):
     assert e.value.code in ("READ_ONLY_VIOLATION", "QUERY_PARSE_ERROR")
 
 
-def test_cypher(graph):
-    rows = run_cypher(graph, "MATCH (a:Function)-[:REFERENCES]->(b) WHERE a.n = 1 RETURN id(a) AS a, b.name AS b ORDER BY a").collect()
-    assert [(r.a, r.b) for r in rows] == [(A, "x"), (C, "x")]
-    assert run_cypher(graph, "MATCH (a) OPTIONAL MATCH (a)-[r:CALLS]->(x) RETURN count(*) AS n").first().n == 3
-    assert run_cypher(graph, "MATCH (a:Function)-[:REFERENCES*1..2]->(b) RETURN count(DISTINCT b) AS n").first().n == 1
-    for bad in ("MATCH (a) SET a.x = 1 RETURN a", "CREATE (a) RETURN a"):
-        with pytest.raises(GraphError) as e:
-            run_cypher(graph, bad)
-        assert e.value.code == "READ_ONLY_VIOLATION"
+@pytest.fixture(scope="module")
+def chain(spark):
+    v = [(x, t, x, props(**p)) for x, t, p in (("a", "E", dict(n=9, s="x", i=1)), ("b", "E", dict(n=10, i="1")), ("c", "F", dict(n=100, s="y", f=True)))]
+    e = [("a", "b", "R", props(w=1)), ("b", "c", "R", {})]
+    return Graph(spark.createDataFrame(v, VERTEX_SCHEMA).cache(), spark.createDataFrame(e, EDGE_SCHEMA).cache())
+
+
+def test_an_edge_is_used_once_in_a_match(chain):
+    both_ways = (node("x"), edge("R"), node("y"), edge("R", direction="in"), node("z"))
+    assert match(chain, *both_ways).count() == 0
+    assert match(chain, node("x"), edge("R"), node("y"), also=((node("z"), edge("R"), node("y")),)).count() == 0
+    first = match(chain, node("x"), edge("R"), node("y"))
+    assert match(chain, node("y"), edge("R", direction="in"), node("z"), rows=first).count() == 2  # a second MATCH begins anew
+
+
+def test_paths_of_any_length(chain):
+    n = lambda hops, **more: match(chain, node("x"), edge("R", hops=hops, **more), node("y")).count()
+    assert [n(1), n((1, None)), n((2, None)), n(2), n((0, None)), n((0, 1))] == [2, 3, 1, 1, 6, 5]
+    assert n((1, None), direction="both") == 6
+    rows = match(chain, node("x"), edge(name="r", hops=(2, None)), node("y")).select(at("x"), at("y"), at("r", "key")).collect()
+    assert [tuple(r) for r in rows] == [("a", "c", ["a|R|b", "b|R|c"])]
+
+
+def test_optional_keeps_rows_without_a_whole_match(chain):
+    every = match(chain, node("x"))
+    found = lambda *pattern, **more: {(r.x__id, r.y__id) for r in match(chain, *pattern, rows=every, optional=True, **more).collect()}
+    assert found(node("x"), edge("R"), node("y")) == {("a", "b"), ("b", "c"), ("c", None)}
+    assert found(node("x"), edge("R"), node("y", "F")) == {("a", None), ("b", "c"), ("c", None)}
+    assert found(node("x"), edge("R"), node("y"), where=lambda: less(prop("y", "n"), 50)) == {("a", "b"), ("b", None), ("c", None)}
+    assert match(chain, node("x"), edge("R"), node("y", "F"), rows=every, optional=True).groupBy(at("x").alias("x")).agg(F.count(at("y")).alias("n")).where("n = 1").count() == 1
+
+
+def test_properties_compare_by_kind(chain):
+    ids = lambda where: {r.x__id for r in match(chain, node("x"), where=where).collect()}
+    assert ids(lambda: same(prop("x", "i"), 1)) == {"a"} and ids(lambda: same(prop("x", "i"), "1")) == {"b"} and ids(lambda: same(prop("x", "f"), 1)) == set()
+    assert ids(lambda: ~same(prop("x", "s"), "x")) == {"c"}  # a missing property is neither equal nor unequal
+    assert ids(lambda: less(prop("x", "n"), 50)) == {"a", "b"} and ids(lambda: less(prop("x", "s"), 5)) == set() and ids(lambda: less("w", prop("x", "s"))) == {"a", "c"}
+    assert ids(lambda: less(10, prop("x", "n"), or_equal=True)) == {"b", "c"}
+    everything = match(chain, node("x"))
+    assert everything.agg(greatest_of(prop("x", "n")).alias("m"), least_of(prop("x", "s")).alias("s")).first().asDict() == {"m": "100", "s": '"x"'}
+    assert [r.x__id for r in everything.orderBy(sort_key(prop("x", "n"))).collect()] == ["a", "b", "c"]
+    assert [r.x__id for r in everything.orderBy(sort_key(prop("x", "s")), at("x")).collect()] == ["a", "c", "b"]
+    assert [r.x__id for r in everything.orderBy(sort_key(prop("x", "i"))).collect()] == ["b", "a", "c"]
+
+
+def test_patterns_of_types_directions_and_properties(chain, graph):
+    assert match(chain, node("x"), edge(direction="both"), node("y")).count() == 4
+    assert match(chain, node("x"), edge("R", "S", w=1), node("y", "E")).count() == 1 and match(chain, node("x", n=10.0)).count() == 1
+    assert match(chain, node("x"), edge("R"), node("x")).count() == 0 and match(chain, node("x", "E"), also=((node("y", "F"),),)).count() == 2
+    every = match(chain, node("x"))
+    assert {r.x__id for r in matching(chain, every, node("x"), edge("R"), node()).collect()} == {"a", "b"}
+    assert {r.x__id for r in matching(chain, every, node("x"), edge("R"), node("y"), negate=True, where=lambda: same(prop("y", "f"), True)).collect()} == {"a", "c"}
+    assert [(r.a__id, r.name) for r in match(graph, node("a", "Function"), edge("REFERENCES"), node("b"), where=lambda: same(prop("a", "n"), 1)).select(at("a"), shown(prop("b", "name")).alias("name")).orderBy("a__id").collect()] == [(A, "x"), (C, "x")]
+    for bad in (lambda: edge(hops=(3, 2)), lambda: edge(direction="up"), lambda: match(chain, node("x"), edge()), lambda: match(chain, node("x"), optional=True)):
+        with pytest.raises(GraphError):
+            bad()
+
+
+def test_vertices_edges_and_paths_as_results(chain):
+    row = match(chain, node("x"), edge(name="r"), node("y", "F")).select(as_node("x").alias("x"), as_relationship("r").alias("r"), as_path("x", "r", "y").alias("p")).first()
+    out = plain(row)
+    assert out["x"] == {"_id": "b", "_labels": ["E"], "n": 10, "i": "1"} and out["r"] == {"_type": "R", "_start": "b", "_end": "c"}
+    assert [n["_id"] for n in out["p"]["_nodes"]] == ["b", "c"] and len(out["p"]["_rels"]) == 1
 
 
 def test_envelope_hides_folders():
