@@ -81,9 +81,13 @@ def within(spark: SparkSession, seconds: int, action):
 def answer(df: DataFrame, limit: object = None, timeout: object = None, settings: Settings = Settings(), shape=plain, more=None) -> Answer:
     """The first rows and whether there are more; one row beyond the limit is fetched to know."""
     n, began = clamped(limit, settings.row_limit, 1, 500), time.time()
-    rows = within(df.sparkSession, clamped(timeout, settings.timeout_s, 1, 120), lambda: df.limit(n + 1).collect())
-    out = [shape(r) for r in rows[:n]]
-    return Answer(out, len(out), len(rows) > n if more is None else more(n, len(out)), round(1000 * (time.time() - began)), str(uuid.uuid4()))
+
+    def run() -> tuple[list[Row], bool]:
+        rows = df.limit(n + 1).collect()
+        return rows[:n], len(rows) > n if more is None else more(n, min(len(rows), n))
+
+    rows, truncated = within(df.sparkSession, clamped(timeout, settings.timeout_s, 1, 120), run)
+    return Answer([shape(r) for r in rows], len(rows), truncated, round(1000 * (time.time() - began)), str(uuid.uuid4()))
 
 
 def run_json(g: Graph, text: str, limit: object = None, timeout: object = None, settings: Settings = Settings()) -> Answer:
