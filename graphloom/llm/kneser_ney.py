@@ -21,7 +21,6 @@ import os
 import tempfile
 from collections import OrderedDict
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass, field
 from urllib.parse import urlparse
 
@@ -32,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import crc_mod, shared_dir, slices
+from .common import crc_mod, shared_dir, shuffles_removed, slices
 
 BLOCK_WORDS = 1 << 22
 #: Bytes of text for each range of pairs, and ranges of pairs for each range of words.
@@ -42,6 +41,8 @@ NUMBERS = 1 << 20
 #: Keys within a file are stored by their lower 32 bits if it then has at most this many sections of equal upper bits.
 MAX_SECTIONS = 1 << 12
 OPEN_FILES = 256
+#: Text that is scored at once: the more, the fewer times each range is looked at.
+SCORED_BYTES = 8 << 20
 #: Fixed value: an odd factor that mixes a pair's bits.
 MIX = 0x9E3779B97F4A7C15
 END = np.uint64(xxh64_intdigest(b" end"))  # no word has a space
@@ -253,13 +254,20 @@ class Model:
         """Where each of a range's sorted keys stands in the file; -1: nowhere."""
         known, edge = file[f"{name}_key"], file[f"{name}_edge"]
         out = np.full(len(keys), -1, np.int64)
-        shift = self.key_bits - (self.pairs.bit_length() - 1)
-        for k, at in ranges(keys & np.uint64((1 << shift) - 1), shift, self.sections()):
-            a, b = int(edge[k]), int(edge[k + 1])
-            if a < b:
-                q = keys[at].astype(known.dtype)
-                i = np.minimum(np.searchsorted(known[a:b], q), b - a - 1)
-                out[at] = np.where(known[a:b][i] == q, a + i, -1)
+        if not len(keys) or not len(known):
+            return out
+        shift, n = self.key_bits - (self.pairs.bit_length() - 1), self.sections()
+        section = (keys & np.uint64((1 << shift) - 1)) >> np.uint64(shift - (n.bit_length() - 1)) if n > 1 else np.zeros(len(keys), np.uint64)
+        first = np.flatnonzero(np.diff(section, prepend=~section[0]))
+        q = keys.astype(known.dtype)
+        # of each section that has any: from and to which query, from and to which key
+        sides = np.stack((first, np.append(first[1:], len(keys)), edge[section[first]].astype(np.int64), edge[section[first] + np.uint64(1)].astype(np.int64)))
+        for s, e, a, b in sides[:, sides[2] < sides[3]].T.tolist():
+            out[s:e] = known[a:b].searchsorted(q[s:e])
+            out[s:e] += a
+        inside = (out >= 0) & (out < edge[section + np.uint64(1)].astype(np.int64))  # else the next section's first key might look the same
+        out[~inside] = -1
+        out[inside] = np.where(known[out[inside]] == q[inside], out[inside], -1)
         return out
 
     def words_of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -332,18 +340,6 @@ def before(tokens: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return two, one
 
 
-@contextmanager
-def shuffles_removed(spark: SparkSession):
-    """Within, each job's shuffle files go when it is done: what comes after reads the written files only."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    old = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
-
-
 def train(spark: SparkSession, docs: DataFrame, train_where: Column) -> Model:
     """Learns from all texts with train_where; null texts are an end only."""
     texts = docs.where(train_where).select("text")
@@ -493,11 +489,15 @@ def follow(model: Model, key: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
         begin = np.flatnonzero(np.diff(key[at], prepend=~key[at.start]))  # of each distinct pair
         back = np.repeat(np.arange(len(begin)), np.diff(begin, append=at.stop - at.start))
         u, mine = key[at][begin], w[at]
-        i = model.places(file, "once", u)[back]
+        i = model.places(file, "once", u)
+        missing = np.flatnonzero(i < 0)  # a pair is in one of the two lists, or in none
+        j = np.full(len(u), -1, np.int64)
+        j[missing] = model.places(file, "rich", u[missing])
+        i, j = i[back], j[back]
         hit = np.flatnonzero(i >= 0)
         total[at.start + hit] = one[at.start + hit] = 1
         n[at.start + hit] = file["once_w"][i[hit]] == mine[hit]
-        i = model.places(file, "rich", u)[back]
+        i = j
         hit = np.flatnonzero(i >= 0)
         if len(hit):
             i = i[hit]
@@ -529,12 +529,16 @@ def preceded(model: Model, key: np.ndarray) -> np.ndarray:
     """How many different words come before each of sorted, distinct pairs."""
     out = np.zeros(len(key), np.int64)
     for part, at in ranges(key, model.key_bits, model.pairs):
-        q = key[at]
-        if file := model.file(f"pairs-{part}"):
-            out[at] = (model.places(file, "once", q) >= 0) | (model.places(file, "rich", q) >= 0)
+        left = np.arange(at.start, at.stop)
         if file := model.file(f"before-{part}"):
-            i = model.places(file, "pair", q)
-            out[at] = np.where(i >= 0, file["n"][np.maximum(i, 0)], out[at]) if len(file["n"]) else out[at]
+            i = model.places(file, "pair", key[left])
+            out[left[i >= 0]] = file["n"][i[i >= 0]]
+            left = left[i < 0]
+        for name in ("once", "rich"):  # what trigrams begin with, and isn't above, has one
+            if len(left) and (file := model.file(f"pairs-{part}")):
+                i = model.places(file, name, key[left])
+                out[left[i >= 0]] = 1
+                left = left[i < 0]
     return out
 
 
@@ -572,7 +576,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     base_log = np.log10(model.total + 0.1 * (model.vocabulary + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SCORED_BYTES):
             held = [hashes(t) for t in batch.column("text").to_pylist()]
             if not held:
                 continue
