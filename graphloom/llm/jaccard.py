@@ -1,12 +1,15 @@
-"""Near-duplicates by the Jaccard similarity of shingle sets, found exactly by prefix filtering.
-
-Two sets with similarity of at least 4/5 share one of the first |A| - ceil(4/5 |A|) + 1 elements of each in any fixed order
-of all elements (Chaudhuri et al., 2006). Rare shingles come first here: by a table of counts by hash bucket, then by hash.
-The table only sets the order, so its collisions lose no pair. Sets that share such an element and are of similar size
-are candidates, which are compared whole by their texts.
-
-Where few sets share an element, all their pairs are candidates. Where many do (near copies by the thousand), one
-of them is compared with each other first; after that, only pairs that aren't connected already are.
+"""Near-duplicates by the Jaccard similarity of shingle sets: SimHash first, and a complete search for what it can't tell.
+
+Texts whose five-word SimHash fingerprints differ in few bits are found by pigeonring filtering (simhash) and compared; most
+copies are connected by these links. At a similarity of 4/5 some 10 of 64 bits differ, which no segments tell from chance.
+So prefix filtering completes the search: two sets with similarity of at least 4/5 share one of the first
+|A| - ceil(4/5 |A|) + 1 elements of each in any fixed order of all elements (Chaudhuri et al., 2006). Rare shingles come
+first here: by a table of counts by hash bucket, then by hash. The table only sets the order, so its collisions lose no pair.
+
+Sets that share such an element are compared if enough can be left in common: of the first element in common, at place i of
+one set and j of the other, no earlier one is (Xiao et al., 2008). Comparisons are few where many share an element: first each
+set is compared with one leading set, that with the fewest rarer elements before (in a group of copies, the original rather than
+a copy with many edits), then with another one, always leaving out sets that are connected already; then all that are still apart.
 """
 
 from __future__ import annotations
@@ -19,15 +22,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import cut_lineage, slices
+from . import simhash
+from .common import cut_lineage, shuffles_removed, slices
 from .components import connected_components
-from .simhash import keep_first
 
 SHINGLE, SEED = 5, 42
 #: The least similarity, as a fraction.
 PART, WHOLE = 4, 5
-#: An element that more sets than this have in their prefix isn't paired at once.
-LARGE_KEY = 64
+#: Bits in which fingerprints may differ to be compared first, and segments.
+MAX_DIFFERENT, SEGMENTS = 3, 4
+#: Rounds of comparisons with one leading set of each element.
+ROUNDS = 2
 BUCKETS, COUNT_PARTS = 1 << 20, 64
 #: Fixed value: an odd factor that mixes bits.
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -63,7 +68,9 @@ def prefix(own: np.ndarray, rarity: np.ndarray) -> np.ndarray:
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")
+    both = int((both[1:] == both[:-1]).sum())
     return WHOLE * both >= PART * (len(a) + len(b) - both)
 
 
@@ -99,74 +106,92 @@ def _rows(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
 
 def _sets(spark: SparkSession, docs: DataFrame, rarity: np.ndarray) -> DataFrame:
-    """(fp, n, prefix, text_hash) for each distinct set."""
+    """(fp, n, bits, prefix, text_hash) for each distinct set; bits is the SimHash fingerprint of the set."""
     shared = spark.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingles(t) for t in batch.column("text").to_pylist()]
-            ids, sizes = pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())
+            numbers = [pa.array(x, pa.int64()) for x in ([set_id(s) for s in sets], [len(s) for s in sets], [simhash.signed(simhash.majority(s)) for s in sets])]
             heads = pa.array([prefix(s, shared.value).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, sizes, heads, batch.column("text_hash")], ["fp", "n", "prefix", "text_hash"])
+            yield pa.RecordBatch.from_arrays([*numbers, heads, batch.column("text_hash")], ["fp", "n", "bits", "prefix", "text_hash"])
 
-    each = docs.select(F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "fp long, n long, prefix array<long>, text_hash long")
-    return cut_lineage(spark, each.groupBy("fp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("text_hash").alias("text_hash")), "prefixes")
+    # one row of each text before any word is read, one of each set after; equal rows of a task are one before the shuffle
+    each = docs.select(F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "fp long, n long, bits long, prefix array<long>, text_hash long")
+    return cut_lineage(spark, each.groupBy("fp").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"), F.min("text_hash").alias("text_hash")), "prefixes")
 
 
-def _similar(spark: SparkSession, docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose sets are similar."""
-    need = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    need = sets.select("fp", "text_hash").join(need, "fp", "left_semi")
-    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(need, "text_hash").groupBy("fp").agg(F.min("text").alias("text"))
-    texts = cut_lineage(spark, texts, "candidates")
-    whole = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("other")), "b")
+def _whole(spark: SparkSession, docs: DataFrame, sets: DataFrame, need: DataFrame) -> DataFrame:
+    """(fp, own): all shingles of the sets in need (fp), made from one text of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ok = [similar(shingles(x), shingles(y)) for x, y in zip(batch.column("text").to_pylist(), batch.column("other").to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            own = [shingles(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["fp", "own"])
+
+    one = sets.select("fp", "text_hash").join(need.distinct(), "fp", "left_semi").select("text_hash")
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(one, "text_hash", "left_semi").dropDuplicates(["text_hash"])
+    return cut_lineage(spark, texts.select("text").mapInArrow(run, "fp long, own binary"), "candidates")
+
+
+def _compared(spark: SparkSession, whole: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (a, b) with ok: whether the sets are similar."""
+    both = pairs.join(whole.select(F.col("fp").alias("a"), F.col("own").alias("x")), "a").join(whole.select(F.col("fp").alias("b"), F.col("own").alias("y")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "x"):
+            ok = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column("x"), batch.column("y"))]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+
+    return cut_lineage(spark, both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, ok boolean"), "compared")
+
 
-    return cut_lineage(spark, whole.select("a", "b", "text", "other").mapInArrow(run, "a long, b long"), "similar")
+def _first_pairs(spark: SparkSession, sets: DataFrame) -> DataFrame:
+    """(a, b): of the fingerprints that pigeonring filtering links, the leading sets; and each set with its fingerprint's leading one."""
+    leads = sets.groupBy("bits").agg(F.min("fp").alias("lead"))
+    linked = simhash.links(spark, leads.select(F.col("bits").alias("fp")), MAX_DIFFERENT, SEGMENTS)
+    lead = lambda c: leads.select(F.col("bits").alias(c), F.col("lead").alias(f"{c}_lead"))
+    across = linked.join(lead("a"), "a").join(lead("b"), "b").select(F.col("a_lead").alias("a"), F.col("b_lead").alias("b"))
+    within = sets.select("fp", "bits").join(leads, "bits").where("fp <> lead").select(F.col("fp").alias("a"), F.col("lead").alias("b"))
+    return cut_lineage(spark, across.union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "first-pairs")
 
 
-def links(spark: SparkSession, docs: DataFrame, sets: DataFrame, large_key: int = LARGE_KEY) -> DataFrame:
+def links(spark: SparkSession, docs: DataFrame, sets: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(a, b): similar sets; every two similar sets are linked, or both are connected over other links."""
-    entries = sets.select("fp", "n", F.explode("prefix").alias("token"))
-    large = cut_lineage(spark, entries.groupBy("token").agg(F.count("*").alias("c"), F.min_by(F.struct("fp", "n"), F.xxhash64("fp", "token")).alias("lead")).where(F.col("c") > large_key).select("token", "lead"), "large-tokens")
-    low, high = F.least("n", "m"), F.greatest("n", "m")
-    close = (WHOLE * low >= PART * high) & (F.col("fp") != F.col("other"))
-
-    def paired(df: DataFrame) -> DataFrame:
-        pairs = df.where(close).select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
-        return cut_lineage(spark, pairs, "pairs")
-
-    some = not large.isEmpty()
-    usual = entries.join(large, "token", "left_anti") if some else entries
-    others = usual.select("token", F.col("fp").alias("other"), F.col("n").alias("m"))
-    found = usual.join(others, "token").where("fp < other").select("fp", "n", "other", "m")
-    if some:
-        many = cut_lineage(spark, entries.join(large, "token"), "large-entries")
-        found = found.union(many.select("fp", "n", F.col("lead.fp").alias("other"), F.col("lead.n").alias("m")))
-    out = _similar(spark, docs, sets, paired(found))
-    if some:
-        # what a token's sets have in common isn't connected yet: all pairs between different components
-        roots = connected_components(spark, out)
-        named = many.join(roots, many["fp"] == roots["node"], "left").select("token", "fp", "n", F.coalesce("root", "fp").alias("root"))
-        apart = named.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-        named = cut_lineage(spark, named.join(apart, "token", "left_semi"), "apart")
-        if not named.isEmpty():
-            others = named.select("token", F.col("fp").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
-            found = named.join(others, "token").where("fp < other AND root <> other_root").select("fp", "n", "other", "m")
-            out = out.union(_similar(spark, docs, sets, paired(found)))
-    return out
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, large_key: int = LARGE_KEY) -> DataFrame:
-    """(doc_id, text_hash, fp, component_id) for each row of docs: fp is the id of its shingle set, component_id the smallest
-    doc_id that is reachable over similar sets. Null and blank texts are one set. An empty table gives an empty result."""
-    rows, rarity = _rows(spark, docs)
-    sets = _sets(spark, docs, rarity)
-    comps = connected_components(spark, links(spark, docs, sets, large_key))
+    entries = sets.select("fp", "n", F.posexplode("prefix").alias("i", "token"))
+    several = entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    shared = cut_lineage(spark, entries.join(several, "token", "left_semi"), "shared-tokens")
+    first = _first_pairs(spark, sets)
+    whole = _whole(spark, docs, sets, shared.select("fp").union(first.select("a")).union(first.select("b")))
+    compared = _compared(spark, whole, first)
+    # what can be in common from this element on, against what has to be; a similar pair passes by its first common element
+    possible = (WHOLE + PART) * F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= PART * (F.col("n") + F.col("m"))
+    for k in range(rounds + 1):
+        roots = connected_components(spark, compared.where("ok").select("a", "b"))
+        named = shared.join(roots, shared["fp"] == roots["node"], "left").select("token", "fp", "n", "i", F.coalesce("root", "fp").alias("root"))
+        # tokens whose sets aren't all connected
+        lead = F.min_by(F.struct("fp", "n", "i", "root"), F.struct("i", F.xxhash64("fp")) if k == 0 else F.xxhash64("fp", F.lit(k)))
+        apart = named.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), lead.alias("lead")).where("low <> high").select("token", "lead")
+        if k < rounds:
+            found = named.join(apart, "token").select("fp", "n", "i", "root", F.col("lead.fp").alias("other"), F.col("lead.n").alias("m"), F.col("lead.i").alias("j"), F.col("lead.root").alias("other_root"))
+        else:
+            rest = cut_lineage(spark, named.join(apart, "token", "left_semi"), "apart")
+            others = rest.select("token", F.col("fp").alias("other"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("other_root"))
+            found = rest.join(others, "token").where("fp < other")
+        found = found.where((F.col("root") != F.col("other_root")) & possible).select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
+        found = cut_lineage(spark, found.join(compared, ["a", "b"], "left_anti"), "pairs")
+        compared = compared.union(_compared(spark, whole, found))
+    return compared.where("ok").select("a", "b")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(doc_id, text_hash, fp, component_id) for each row of docs: component_id is the smallest doc_id that is reachable over
+    similar sets, fp a hash that the rows of one component share. Null and blank texts are one set. Repeated rows are rows of
+    one component. An empty table gives an empty result; extra columns are ignored."""
+    with shuffles_removed(spark):
+        rows, rarity = _rows(spark, docs)
+        sets = _sets(spark, docs, rarity)
+        comps = connected_components(spark, links(spark, docs, sets, rounds))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     of = nodes.join(comps, nodes["fp"] == comps["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = of.join(of.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "root", "component_id")
@@ -176,4 +201,4 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, large_key: int = LARGE
 
 def keep_one(spark: SparkSession, docs: DataFrame, **options: int) -> DataFrame:
     """docs with one row of each component: that with the smallest doc_id."""
-    return keep_first(docs, near_duplicates(spark, docs, **options))
+    return simhash.keep_first(docs, near_duplicates(spark, docs, **options))
