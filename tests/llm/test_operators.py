@@ -426,3 +426,28 @@ def test_a_long_conversation_is_formatted_in_chunks(spark):
         assert r.n_turns == len(turns) and r.loss_chars == len(loss) and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
         assert r.turns_sha256 == hashlib.sha256("".join(f"{role}\n{text}\n" for role, text in turns).encode()).hexdigest()
         assert r.formatted_chars == sum(len(f"<|im_start|>{role}\n<|im_end|>\n") + len(text) + 1 for role, text in turns)
+
+
+def test_the_split_is_by_the_ids_text(spark):
+    from graphloom.llm.common import crc_mod
+
+    ids = [0, 7, -3, 10**15, None]
+    rows = spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", *[crc_mod(F.col("doc_id"), n).alias(f"m{n}") for n in (3, 4, 10)]).collect()
+    for r in rows:
+        crc = zlib.crc32(b"" if r.doc_id is None else str(r.doc_id).encode())
+        assert (r.m3, r.m4, r.m10) == (crc % 3, crc % 4, crc % 10)
+
+
+def test_thresholds_of_a_first_cell_lose_nothing(spark):
+    """Many cells, ties everywhere, and queries whose first cell has fewer than k candidates."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(400)] + [(1000 + i, [float(i)] * 3) for i in range(4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for candidates, queries in ((7, 3), (50, 100), (1000, 5)):
+        got = {}
+        for r in topk.top_k(df, F.col("vec_id") % 10 == 0, scale=1, candidates=candidates, queries=queries).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        for q, v in rows:
+            if q % 10 == 0:
+                best = sorted((-int(sum(a * b for a, b in zip(v, w))), i) for i, w in rows if i != q and len(w) == len(v))[:5]
+                assert sorted(got.get(q, [])) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]

@@ -1,12 +1,18 @@
 """The pipeline's stages on the smallest tables: columns, decisions, agreement with the operators."""
 
+import hashlib
+import math
 import os
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphloom.llm import jaccard
+from graphloom import lineage
+from graphloom.llm import jaccard, langid, mixing, quality
+from graphloom.llm.tokens import default_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,12 +32,64 @@ def test_stages(spark, tmp_path):
     assert all(n == 4096 or n & (n - 1) == 0 for _, n in packed)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 def test_stages_on_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
-    for name, stage in corpus_pipeline.STAGES[2:]:
+    for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0, name
 
 
+def poisson_copies(rate, source, key):
+    pieces = max(1, math.ceil(rate / mixing.MAX_PIECE_RATE))
+    copies = 0
+    for j in range(pieces):
+        u = int(hashlib.md5(f"{mixing.SEED}|{source}|{key}|{j}".encode()).hexdigest()[:13], 16) / 2**52
+        k, term, total = 0, math.exp(-rate / pieces), 0.0
+        while (total := total + term) <= u:
+            k += 1
+            term *= rate / pieces / k
+        copies += k
+    return copies
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_run_against_plain_python(spark):
+    """All stages in plain Python, with the learned models' weights: the same documents, as often, with all their ids."""
+    from tokenizers import Tokenizer
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    q = quality.train(spark, docs, labels, quality.in_training(F.col("doc_id")))
+    lang = langid.train(docs, langid.in_training(F.col("doc_id")))
+    rows = sorted((r.doc_id, r.text or "", r.source or "") for r in docs.collect())
+
+    def quality_of(text):
+        n = quality.counted(text)
+        return 1 / (1 + math.exp(-((n @ q.weights / n.sum() if n.sum() else 0) + q.bias)))
+
+    rows = [r for r in rows if quality_of(r[1]) >= 0.5]
+    rows = [r for r in rows if (x := langid.predict(r[1], lang))[0] != "und" and x[1] >= 0.5]
+    sets, root = [shingle_set(t) for _, t, _ in rows], list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if root[a] != root[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    rows = [r for i, r in enumerate(rows) if root[i] == i]
+    sizes = Counter(s for *_, s in rows)
+    plain, want = Tokenizer.from_file(default_path()), Counter()
+    for key, text, source in rows:
+        copies = poisson_copies(len(rows) / len(sizes) / sizes[source], source, key)
+        if copies:
+            want[key] = copies * (len(plain.encode(text, add_special_tokens=False).ids) + 1)
+    begun = len(lineage.made())
+    got, pieces = Counter(), Counter()
+    for r in corpus_pipeline.run(spark, SF).collect():
+        got[r.doc_id] += r.length
+        pieces[r.sequence_id] += r.length
+    assert got == want and all(n == 4096 or n & (n - 1) == 0 for n in pieces.values())
+    assert len(lineage.made(begun)) == 1  # only what the last stage reads is still there
+
+
 def shingle_set(text):
     words = text.lower().split()
     return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))}
