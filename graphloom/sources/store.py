@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -72,7 +73,7 @@ class ParquetStore:
         out = []
         for bucket in (x for x in self._list("data", name) if x.startswith("bucket=")):
             for part in (x for x in self._list("data", name, bucket) if x.startswith("part=")):
-                label = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(part.removeprefix("part="))
+                label = unquote(part.removeprefix("part="))
                 out.append((kind, int(bucket.removeprefix("bucket=")), label, f"{name}/{bucket}/{part}"))
         return out
 
