@@ -156,8 +156,17 @@ def _first_pairs(spark: SparkSession, sets: DataFrame) -> DataFrame:
     return cut_lineage(spark, across.union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "first-pairs")
 
 
-def links(spark: SparkSession, docs: DataFrame, sets: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(a, b): similar sets; every two similar sets are linked, or both are connected over other links."""
+def _joined(spark: SparkSession, roots: DataFrame, more: DataFrame) -> DataFrame:
+    """Components (node, root) with further links (a, b): only roots and nodes that had no component are connected anew."""
+    known = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    between = more.join(known("a"), "a", "left").join(known("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    new = connected_components(spark, between.where("a <> b"))
+    above = new.select(F.col("node").alias("root"), F.col("root").alias("higher"))
+    return cut_lineage(spark, roots.join(above, "root", "left").select("node", F.coalesce("higher", "root").alias("root")).union(new), "components")
+
+
+def components(spark: SparkSession, docs: DataFrame, sets: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(node, root) of all sets that are similar to another: root is the component's smallest set id."""
     entries = sets.select("fp", "n", F.posexplode("prefix").alias("i", "token"))
     several = entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     shared = cut_lineage(spark, entries.join(several, "token", "left_semi"), "shared-tokens")
@@ -166,8 +175,8 @@ def links(spark: SparkSession, docs: DataFrame, sets: DataFrame, rounds: int = R
     compared = _compared(spark, whole, first)
     # what can be in common from this element on, against what has to be; a similar pair passes by its first common element
     possible = (WHOLE + PART) * F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= PART * (F.col("n") + F.col("m"))
+    roots = cut_lineage(spark, connected_components(spark, compared.where("ok").select("a", "b")), "components")
     for k in range(rounds + 1):
-        roots = connected_components(spark, compared.where("ok").select("a", "b"))
         named = shared.join(roots, shared["fp"] == roots["node"], "left").select("token", "fp", "n", "i", F.coalesce("root", "fp").alias("root"))
         # tokens whose sets aren't all connected
         lead = F.min_by(F.struct("fp", "n", "i", "root"), F.struct("i", F.xxhash64("fp")) if k == 0 else F.xxhash64("fp", F.lit(k)))
@@ -180,8 +189,10 @@ def links(spark: SparkSession, docs: DataFrame, sets: DataFrame, rounds: int = R
             found = rest.join(others, "token").where("fp < other")
         found = found.where((F.col("root") != F.col("other_root")) & possible).select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
         found = cut_lineage(spark, found.join(compared, ["a", "b"], "left_anti"), "pairs")
-        compared = compared.union(_compared(spark, whole, found))
-    return compared.where("ok").select("a", "b")
+        if not found.isEmpty():
+            new = _compared(spark, whole, found)
+            roots, compared = _joined(spark, roots, new.where("ok").select("a", "b")), compared.union(new)
+    return roots
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -191,7 +202,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, rounds: int = ROUNDS)
     with shuffles_removed(spark):
         rows, rarity = _rows(spark, docs)
         sets = _sets(spark, docs, rarity)
-        comps = connected_components(spark, links(spark, docs, sets, rounds))
+        comps = components(spark, docs, sets, rounds)
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     of = nodes.join(comps, nodes["fp"] == comps["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = of.join(of.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "root", "component_id")
