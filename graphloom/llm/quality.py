@@ -188,7 +188,7 @@ def classify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words(len(shared.value.weights).bit_length() - 1, shared.value.weights)
-        for batch in slices(batches, limit=1 << 20):
+        for batch in slices(batches, limit=1 << 19):
             found = score_texts(batch.column("text").to_pylist(), shared.value, known)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "quality_score"])
 
