@@ -123,8 +123,8 @@ def pack(docs: DataFrame, path: str | None = None, *, length: int = LENGTH, end_
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
         for batch in slices(batches, limit=1 << 20):
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                packer.add(key, np.concatenate([tok.ids(text), end]))
+            for key, ids in zip(batch.column("doc_id").to_pylist(), tok.ids_of(batch.column("text").to_pylist())):
+                packer.add(key, np.concatenate([ids, end]))
                 seen += 1
                 if seen % group_docs == 0 or packer.held > GROUP_IDS:
                     packer.close()

@@ -23,6 +23,7 @@ from tokenizers import Tokenizer
 #: Fixed value: how the vocabulary's tokenizer file splits words.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 END, END_OF_WORD = "\x01", "</w>"
+MARKED = r"\g<0>" + END
 CONTROLS = "[\x01\x1c-\x1f]"
 #: Words that a worker remembers at most; then it begins anew.
 REMEMBERED = 100_000
@@ -49,32 +50,43 @@ class WordTokenizer:
                 body = token[: -len(END_OF_WORD)] if ends else token
                 ranks[bytes(chars[c] for c in body) + END.encode() * ends] = rank
         self.fast = tiktoken.Encoding("word_bpe", pat_str=f"[^{END}]*{END}", mergeable_ranks=ranks, special_tokens={})
+        self.last = np.zeros(max(ranks.values()) + 1, bool)  # ids that end a word
+        self.last[[i for token, i in ranks.items() if token.endswith(END.encode())]] = True
         del spec, ranks
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes | None] = {}
 
-    def part(self, part: str) -> bytes | None:
-        """Ids of a part that isn't remembered; None if only tokenizers can tell."""
-        if not part.isascii() and any(unicodedata.category(c) == "Cn" for c in part):
-            return None
-        low = unicodedata.normalize("NFC", part)
+    def learn(self, parts: list[str]) -> None:
+        """Remembers the ids of parts, of all by one call of the encoder; None for those that only tokenizers can tell."""
+        low = unicodedata.normalize("NFC", "\n".join(parts))
         low = "".join(map(str.lower, low)) if "Σ" in low else low.lower()
-        words = WORD.findall(low)
-        got = np.array(self.fast.encode_ordinary(END.join(words) + END) if words else [], "<u4").tobytes()
-        if len(self.known) >= REMEMBERED:
+        marked = WORD.sub(MARKED, low)  # each word with its end
+        ids = np.array(self.fast.encode_ordinary(marked.replace("\n", "")), "<u4")
+        edge = np.concatenate(([0], np.flatnonzero(self.last[ids]) + 1))  # where words begin
+        counts = np.array([x.count(END) for x in marked.split("\n")], np.int64)
+        at = (4 * edge[np.concatenate(([0], np.cumsum(counts)))]).tolist()
+        data = ids.tobytes()
+        self.known.update(zip(parts, [data[i:j] for i, j in zip(at, at[1:])]))
+        if not low.isascii() and (odd := {c for c in set("".join(parts)) if unicodedata.category(c) == "Cn"}):
+            self.known.update((x, None) for x in parts if not odd.isdisjoint(x))
+
+    def ids_of(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Each text's ids as little-endian unsigned 32-bit numbers; null: none."""
+        apart = [bool(t and self.apart.search(t)) for t in texts]
+        split = [t.split() if t and not a else [] for t, a in zip(texts, apart)]
+        if len(self.known) > REMEMBERED:
             self.known.clear()
-        self.known[part] = got
-        return got
+        known = self.known
+        if new := list(dict.fromkeys(x for parts in split for x in parts if x not in known)):
+            self.learn(new)
+        out = []
+        for text, parts, a in zip(texts, split, apart):
+            found = [known[x] for x in parts]
+            whole = a or None in found
+            out.append(np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4") if whole else np.frombuffer(b"".join(found), "<u4"))
+        return out
 
     def ids(self, text: str | None) -> np.ndarray:
-        """The text's ids as little-endian unsigned 32-bit numbers; null: none."""
-        if not text:
-            return np.empty(0, "<u4")
-        if not self.apart.search(text):
-            known = self.known.get
-            found = [known(x) or self.part(x) for x in text.split()]
-            if None not in found:
-                return np.frombuffer(b"".join(found), "<u4")
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
+        return self.ids_of([text])[0]
 
 
 @lru_cache(maxsize=2)
