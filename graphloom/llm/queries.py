@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, extraction, kneser_ney, langid, line_rules, mixing, packing, quality, simhash, topk
+from . import chat, extraction, kneser_ney, langid, line_rules, mixing, packing, quality, repair, simhash, topk
 from .common import crc_mod, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,9 +65,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(chat.with_probe(spark, read(spark, sf_dir, "conversations"))))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digests(repair.repair(repair.damage(read(spark, sf_dir, "conversations")), "lost"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_line_rules, op3_simhash, op4_pack, op5_kneser_ney, op6_extract, op7_language_id, op8_quality_classifier, op9_top_k, op10_chat_format)}
+    ops = (op1_mix_sources, op2_line_rules, op3_simhash, op4_pack, op5_kneser_ney, op6_extract, op7_language_id, op8_quality_classifier, op9_top_k, op10_chat_format, op11_repair)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.MIX_SQL, "op2_line_rules": line_rules.RULES_SQL, "op9_top_k": topk.TOP_K_SQL, "op10_chat_format": chat.CHAT_SQL}
+    return {"op1_mix_sources": mixing.MIX_SQL, "op2_line_rules": line_rules.RULES_SQL, "op9_top_k": topk.TOP_K_SQL, "op10_chat_format": chat.CHAT_SQL, "op11_repair": repair.REPAIR_SQL}
