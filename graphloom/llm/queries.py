@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, extraction, kneser_ney, langid, line_rules, mixing, packing, quality, repair, simhash, topk
+from . import chat, extraction, kneser_ney, langid, line_rules, mixing, packing, pieces, quality, repair, simhash, topk
 from .common import crc_mod, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,8 +69,12 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digests(repair.repair(repair.damage(read(spark, sf_dir, "conversations")), "lost"))
 
 
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(pieces.decode(pieces.encode(read(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Query]:
-    ops = (op1_mix_sources, op2_line_rules, op3_simhash, op4_pack, op5_kneser_ney, op6_extract, op7_language_id, op8_quality_classifier, op9_top_k, op10_chat_format, op11_repair)
+    ops = (op1_mix_sources, op2_line_rules, op3_simhash, op4_pack, op5_kneser_ney, op6_extract, op7_language_id, op8_quality_classifier, op9_top_k, op10_chat_format, op11_repair, op12_pieces)
     return {f.__name__: f for f in ops}
 
 
