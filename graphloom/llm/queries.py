@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, extraction, kneser_ney, langid, line_rules, mixing, packing, pieces, quality, repair, simhash, topk
+from . import chat, extraction, kneser_ney, langid, line_rules, mining, mixing, packing, pieces, quality, repair, simhash, topk
 from .common import crc_mod, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,10 +73,14 @@ def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.decode(pieces.encode(read(spark, sf_dir, "documents"))))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.mine(spark, mining.relabelled(read(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Query]:
-    ops = (op1_mix_sources, op2_line_rules, op3_simhash, op4_pack, op5_kneser_ney, op6_extract, op7_language_id, op8_quality_classifier, op9_top_k, op10_chat_format, op11_repair, op12_pieces)
+    ops = (op1_mix_sources, op2_line_rules, op3_simhash, op4_pack, op5_kneser_ney, op6_extract, op7_language_id, op8_quality_classifier, op9_top_k, op10_chat_format, op11_repair, op12_pieces, op13_hard_negatives)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.MIX_SQL, "op2_line_rules": line_rules.RULES_SQL, "op9_top_k": topk.TOP_K_SQL, "op10_chat_format": chat.CHAT_SQL, "op11_repair": repair.REPAIR_SQL}
+    return {"op1_mix_sources": mixing.MIX_SQL, "op2_line_rules": line_rules.RULES_SQL, "op9_top_k": topk.TOP_K_SQL, "op10_chat_format": chat.CHAT_SQL, "op11_repair": repair.REPAIR_SQL, "op13_hard_negatives": mining.MINE_SQL}

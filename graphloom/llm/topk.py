@@ -28,14 +28,14 @@ BLOCK, CANDIDATES, QUERIES = 128, 8192, 2048
 EXACT = 2.0**53
 
 
-def quantized(df: DataFrame, vector: str, scale: float) -> DataFrame:
-    """(vec_id, x): floor(scale * component) as doubles; without vectors that are null or hold null, NaN or infinity."""
+def quantized(df: DataFrame, vector: str, scale: float, *more: Column) -> DataFrame:
+    """(vec_id, x) and more: floor(scale * component) as doubles; without vectors that are null or hold null, NaN or infinity."""
     def whole(v: Column) -> Column:
         y = v.cast("double") * scale
         return F.when(F.abs(y) >= 2.0**52, y).otherwise(F.floor(y).cast("double"))  # the larger ones are whole already
 
     bad = F.exists(vector, lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) == float("inf")))
-    return df.where(F.col(vector).isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(vector, whole).alias("x"))
+    return df.where(F.col(vector).isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(vector, whole).alias("x"), *more)
 
 
 def cell(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, least: list[int | None] | None = None, block: int = BLOCK) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
