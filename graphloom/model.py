@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions.ids import vertex_id
+from .functions.scalars import equals
 
 #: The vocabulary of code graphs and its version. Stores accept other labels and types as well.
 LABELS = ("File", "Namespace", "Class", "Function", "Variable", "GlobalVariable", "Field", "Parameter", "Type", "Macro", "TypeAlias")
@@ -26,9 +27,29 @@ EDGE_KEY = ("outbound_id", "t", "inbound_id")
 
 @dataclass
 class Graph:
+    """Look-ups are filters here; a stored graph (sources/store.py) answers them from few files."""
+
     vertices: DataFrame
     edges: DataFrame
 
+    def vertices_of(self, ids: list[str]) -> DataFrame:
+        return self.vertices.where(F.col("id").isin(ids))
+
+    def edges_at(self, ids: list[str], direction: str = "outbound", t: str | None = None) -> DataFrame:
+        """Edges whose end on that side is one of ids."""
+        found = self.edges.where(F.col(f"{direction}_id").isin(ids))
+        return found if t is None else found.where(F.col("t") == t)
+
+    def vertices_with(self, name: str, value: object) -> DataFrame:
+        return self.vertices.where(equals(F.try_element_at("props", F.lit(name)), value))
+
+    def edges_with(self, name: str, value: object) -> DataFrame:
+        return self.edges.where(equals(F.try_element_at("props", F.lit(name)), value))
+
+    def neighbours(self, ends: DataFrame, few: int | None) -> DataFrame:
+        """Vertices by the ids of ends (id), one row for each of its rows; few: how many there are at most."""
+        return self.vertices.join(ends, "id")
+
 
 def empty_props() -> Column:
     return F.create_map().cast(PROPS)

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import equals
 from ..model import EDGE_KEY, Graph, empty_props
 
 OUTBOUND, INBOUND = "outbound", "inbound"
@@ -36,17 +35,15 @@ def edge_with_type(g: Graph, t: str, limit: int | None = None) -> DataFrame:
 
 
 def vertex_with_property_equal(g: Graph, name: str, value: object, limit: int | None = None) -> DataFrame:
-    return first_rows(g.vertices.where(equals(F.try_element_at("props", F.lit(name)), value)), ("id",), limit)
+    return first_rows(g.vertices_with(name, value), ("id",), limit)
 
 
 def edge_with_property_equal(g: Graph, name: str, value: object, limit: int | None = None) -> DataFrame:
-    return first_rows(g.edges.where(equals(F.try_element_at("props", F.lit(name)), value)), EDGE_KEY, limit)
+    return first_rows(g.edges_with(name, value), EDGE_KEY, limit)
 
 
 def pipe_edges(g: Graph, vertex_id: str, direction: str, t: str | None = None, limit: int | None = None) -> DataFrame:
-    here = f"{direction}_id"
-    found = g.edges.where(F.col(here) == vertex_id)
-    return first_rows(found if t is None else found.where(F.col("t") == t), EDGE_KEY, limit)
+    return first_rows(g.edges_at([vertex_id], direction, t), EDGE_KEY, limit)
 
 
 def pipe(g: Graph, vertex_id: str, direction: str, t: str | None = None, limit: int | None = None) -> DataFrame:
@@ -56,7 +53,7 @@ def pipe(g: Graph, vertex_id: str, direction: str, t: str | None = None, limit:
     """
     there = "inbound_id" if direction == OUTBOUND else "outbound_id"
     ends = pipe_edges(g, vertex_id, direction, t, limit).select(F.col(there).alias("id"))
-    return g.vertices.join(ends, "id")
+    return g.neighbours(ends, limit)
 
 
 def specific_vertices(g: Graph, ids: DataFrame) -> DataFrame:

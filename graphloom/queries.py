@@ -13,7 +13,7 @@ from .errors import GraphError
 from .functions import tokens as T
 from .functions.ids import file_usr, type_usr, vertex_id, vertex_id_sql
 from .functions.scalars import as_string, greatest_of, less, nested_text, properties, same, shown, sort_key
-from .lineage import shared_writer
+from .lineage import shared_dir, shared_writer
 from .model import EDGE_KEY, PROPS, Graph, empty_props, vertices_from
 from .operators import astscan, extract, includes, introspect, position, preproc, traverse, upsert, verbs
 from .operators.patterns import as_node, as_path, as_relationship, at, edge, match, matching, node, prop
@@ -22,7 +22,7 @@ from .plans.guard import check, read_only_sql
 from .sources import tables
 from .sources.cursor_view import CURSORS_SQL, cursors
 from .sources.files import flags_of, resolve_flags
-from .sources.store import changed_documents, edge_documents, node_documents
+from .sources.store import ParquetStore, changed_documents, edge_documents, node_documents
 from .streaming.ingest import unit_errors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -306,6 +306,65 @@ def edge_document_count(spark, sf_dir):
     return edge_documents(tables.edges(spark, sf_dir, "IN_REGION")).select("key").distinct().agg(F.count("*").alias("n"))
 
 
+# ---------------------------------------------------------------- stores
+
+
+def stored(spark, sf_dir, split_rows: int = 400):
+    """Customers, nations and where customers live in a new store, a third of the customers by a later upsert, opened anew with another setting."""
+    url = shared_dir(spark, "store")
+    customers = tables.vertices(spark, sf_dir, "Customer")
+    late = F.element_at(F.split("usr", ":"), 2).cast("long") % 3 == 0
+    first = customers.where(~late).unionByName(tables.vertices(spark, sf_dir, "Nation"))
+    ids = first.select(F.col("id").alias("outbound_id"))
+    lives = tables.edges(spark, sf_dir, "LIVES_IN")
+    ParquetStore(spark, url, buckets=4, split_rows=split_rows).write(Graph(first, lives.join(ids, "outbound_id", "left_semi")))
+    store = ParquetStore(spark, url, buckets=16, split_rows=split_rows)
+    store.upsert(customers.where(late).withColumn("seq", F.lit(1)), lives.withColumn("seq", F.lit(1)))
+    return store
+
+
+@query(UPSERTED)
+def store_upsert(spark, sf_dir):
+    """An upsert into a store that has rows, opened with another number of buckets than it was written with."""
+    store, batch = upsert_inputs(spark, sf_dir)
+    url, none = shared_dir(spark, "store"), tables.edges(spark, sf_dir, "LIVES_IN").where(F.lit(False))
+    ParquetStore(spark, url, buckets=8).write(Graph(store, none))
+    again = ParquetStore(spark, url, buckets=2, share=0.5)
+    again.upsert(batch, none.withColumn("seq", F.lit(0)))
+    return flat(again.read().vertices)
+
+
+@query(f"SELECT * FROM ({v_sql('Customer', 'Nation')})")
+def store_vertices(spark, sf_dir):
+    return stored(spark, sf_dir).read().vertices.select("id", "t", "usr")
+
+
+@query(f"SELECT outbound_id, inbound_id, t FROM ({e_sql('LIVES_IN')}) WHERE inbound_id IN ('{id_of('nation:3')}', '{id_of('nation:11')}')")
+def store_edges_at(spark, sf_dir):
+    """A look-up of edges by the end they come in at: the second copy of the edges is dealt by it."""
+    return stored(spark, sf_dir).read().edges_at([id_of("nation:3"), id_of("nation:11")], "inbound", "LIVES_IN").select("outbound_id", "inbound_id", "t")
+
+
+@query(f"SELECT v.* FROM ({e_sql('LIVES_IN')}) e JOIN ({v_sql('Customer')}) v ON e.outbound_id = v.id WHERE e.inbound_id = '{id_of('nation:3')}' ORDER BY v.id")
+def store_pipe(spark, sf_dir):
+    return verb(stored(spark, sf_dir).read(), "pipe", vertex_id=id_of("nation:3"), direction="inbound", t="LIVES_IN")
+
+
+@query(f"SELECT {vertex_id_sql('usr')} AS id, 'Customer' AS t, usr FROM (SELECT 'customer:' || c_custkey AS usr FROM customer WHERE c_mktsegment = 'BUILDING')")
+def store_property_equal(spark, sf_dir):
+    """The filter is pushed to a column of the property's own."""
+    return verb(stored(spark, sf_dir).read(), "vertex_with_property_equal", name="c_mktsegment", value="BUILDING")
+
+
+@query("""SELECT 'vertices' AS kind, 'Customer' AS name, count(*) AS count, 'c_acctbal,c_custkey,c_mktsegment,c_name,c_nationkey' AS property_keys FROM customer
+UNION ALL SELECT 'vertices', 'Nation', count(*), 'n_name,n_nationkey,n_regionkey' FROM nation UNION ALL SELECT 'edges', 'LIVES_IN', count(*), 'c_mktsegment' FROM customer""")
+def store_description(spark, sf_dir):
+    """Counts and names of properties from the manifest, after an upsert; no data file is read."""
+    store = stored(spark, sf_dir)
+    rows = [(kind, t, n, ",".join(keys)) for kind in ("vertices", "edges") for t, n, keys in store.describe(kind)]
+    return spark.createDataFrame(rows, "kind string, name string, count long, property_keys string")
+
+
 # ---------------------------------------------------------------- patterns
 
 

@@ -1,136 +1,336 @@
-"""Graph stores: a graph as Parquet files listed by numbered manifests; JSON documents; choice of a store by address.
+"""Graph stores: a graph as Parquet files listed by numbered manifests (manifest.py), merged on read; JSON documents; choice of
+a store by address.
 
-Rows are dealt by a hash of their (source) id into a fixed number of buckets, and within these by label or type. A write
-makes new files for the buckets that it touches, and a manifest with the next number that lists these and the older files
-of all others. A manifest comes into being whole, by a rename that never replaces; so readers see the graph before or after
-a write, never between, and of two writers that began from the same graph the second is refused and may start again.
+A write appends small delta files with the new versions of the rows that it touches, and a manifest that lists them beside the
+files that were there. A reader takes, of each key, the version of the latest delta, else that of the base; as deltas
+are small, their keys are broadcast and the base isn't shuffled. Where the deltas of a bucket exceed a share of it, or are many, the same write
+compacts it: its rows are written anew as sorted base files, and it is split if it has grown. Readers see the graph before or
+after a write, never between, and of two writers that began from the same graph the second is refused and may start again.
+
+Edges are kept twice, dealt by either end, so that a look-up from either side opens few files. Properties that most rows of a type
+have get columns of their own beside the map, on which filters are pushed to the scan.
 """
 
 from __future__ import annotations
 
-import json
+import math
+import re
 import uuid
+from collections import Counter
+from collections.abc import Iterable
+from dataclasses import dataclass
+from functools import reduce
 from urllib.parse import unquote
 
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import GraphError
 from ..functions.ids import document_key
+from ..functions.scalars import as_string, equals
 from ..lineage import cut_lineage
-from ..model import EDGE_SCHEMA, VERTEX_SCHEMA, Graph
-from ..operators.upsert import upsert_edges, upsert_vertices
-
-BUCKETS = 16
-KINDS = {"vertices": (VERTEX_SCHEMA, "id"), "edges": (EDGE_SCHEMA, "outbound_id")}
-#: (kind, bucket, label or type, folder)
-Entry = tuple[str, int, str, str]
+from ..model import EDGE_KEY, EDGE_SCHEMA, VERTEX_SCHEMA, Graph
+from ..operators.introspect import SAFE_NAME
+from ..operators.upsert import merged
+from .manifest import BLOOM_HASHES, Bucket, Entry, Manifest, Manifests, bloom_of, bloom_positions, bucket_index, split, whole
+
+#: kind: (columns, the id by which rows are dealt, key)
+KINDS = {
+    "vertices": (VERTEX_SCHEMA, "id", ("id",)),
+    "edges": (EDGE_SCHEMA, "outbound_id", EDGE_KEY),
+    "inbound": (EDGE_SCHEMA, "inbound_id", EDGE_KEY),
+}
+#: Buckets of a new store (a power of two), rows above which a bucket is split, and what makes a bucket be compacted: deltas of
+#: more than a share of its base rows, or in more files than this.
+BUCKETS, SPLIT_ROWS, SHARE, MAX_DELTAS = 16, 1 << 20, 0.25, 16
+#: Ids up to which a look-up goes by them one by one; and properties with columns of their own, at most.
+FEW, TYPED = 1000, 16
+
+
+def typed_columns(names: list[str]) -> list[Column]:
+    """Two columns for each property: its string, and its number (a truth value counts as 1 or 0, as filters have it)."""
+    out = []
+    for k in names:
+        text = F.try_element_at("props", F.lit(k))
+        number = F.when(text == "true", 1.0).when(text == "false", 0.0).when(~text.startswith('"'), text.try_cast("double"))
+        out += [as_string(text).alias(f"s${k}"), F.when(number == 0.0, 0.0).otherwise(number).alias(f"n${k}")]
+    return out
+
+
+def pushed(name: str, value: object) -> Column | None:
+    """A filter on a property's own columns that holds wherever the property equals the value; None if there is none."""
+    s, n = F.col(f"`s${name}`"), F.col(f"`n${name}`")
+    if value is None:
+        return s.isNull() & n.isNull()
+    if isinstance(value, str):
+        return s == value
+    try:
+        number = float(value)
+    except OverflowError:
+        return None
+    return n == number if math.isfinite(number) else F.lit(False)
+
+
+def frequent(counts: Iterable[tuple[str, int, int]]) -> list[str]:
+    """Of properties (name, rows of a type that have it, rows of the type), those to get columns of their own: the ones most
+    often in at least half of a type's rows."""
+    sums: dict[str, int] = {}
+    for k, c, n in counts:
+        if re.match(SAFE_NAME, k):
+            sums[k] = sums.get(k, 0) + (c if 2 * c >= n else 0)
+    return sorted(sorted((k for k, c in sums.items() if c), key=lambda k: (-sums[k], k))[:TYPED])
 
 
 class ParquetStore:
-    def __init__(self, spark: SparkSession, url: str, buckets: int = BUCKETS):
-        self.spark, self.url, self.buckets = spark, url.rstrip("/"), buckets
-
-    def _path(self, *parts: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([self.url, *parts]))
+    """buckets: their number in a store that is new; an old one's manifest says how it is dealt, whatever is asked here."""
 
-    def _list(self, *parts: str) -> list[str]:
-        path = self._path(*parts)
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+    def __init__(self, spark: SparkSession, url: str, buckets: int = BUCKETS, *, split_rows: int = SPLIT_ROWS, share: float = SHARE, max_deltas: int = MAX_DELTAS):
+        if buckets < 1 or buckets & (buckets - 1):
+            raise GraphError("INVALID_ARGUMENT", "the number of buckets must be a power of two")
+        self.spark, self.url = spark, url.rstrip("/")
+        self.depth, self.split_rows, self.share, self.max_deltas = buckets.bit_length() - 1, split_rows, share, max_deltas
+        self.manifests = Manifests(spark, self.url)
 
     def version(self) -> int:
-        """The latest manifest's number; 0: nothing was written yet."""
-        return max((int(x.removesuffix(".json")) for x in self._list("manifests") if x.endswith(".json")), default=0)
-
-    def entries(self, version: int | None = None) -> list[Entry]:
-        n = self.version() if version is None else version
-        if not n:
+        return self.manifests.version()
+
+    def manifest(self, version: int | None = None) -> Manifest:
+        return self.manifests.load(version)
+
+    # ------------------------------------------------------------ reading
+
+    def _files(self, kind: str, entries: list[Entry], typed: list[str] = []) -> DataFrame:
+        schema = KINDS[kind][0] + ", seq long" + "".join(f", `s${k}` string, `n${k}` double" for k in typed)
+        return self.spark.read.schema(schema).parquet(*[f"{self.url}/data/{e.path}" for e in entries])
+
+    def _rows(self, kind: str, entries: list[Entry], where: Column | None = None, prop: tuple[str, object] | None = None) -> DataFrame:
+        """The latest version of each row in these files. where: over the key, for rows that are asked for; prop: a property and its
+        value, asked of the latest versions."""
+        schema, _, key = KINDS[kind]
+        names = [x.split()[0] for x in schema.split(", ")]
+        if not entries:
+            return self.spark.createDataFrame([], schema)
+        equal = None if prop is None else equals(F.try_element_at("props", F.lit(prop[0])), prop[1])
+        base, deltas = [e for e in entries if e.base], [e for e in entries if not e.base]
+        parts = []
+        typed = [e for e in base if prop is not None and prop[0] in e.typed]
+        for own, columns in ((typed, [prop[0]] if typed else []), ([e for e in base if e not in typed], [])):
+            if own:
+                rows = self._files(kind, own, columns)
+                first = pushed(*prop) if columns else None
+                rows = rows if first is None else rows.where(first)
+                rows = rows if where is None else rows.where(where)
+                parts.append((rows if equal is None else rows.where(equal)).select(*names))
+        if deltas:
+            newer = self._files(kind, deltas)
+            newer = newer if where is None else newer.where(where)
+            if parts:
+                parts = [p.join(newer.select(*key).distinct(), list(key), "left_anti").select(*names) for p in parts]
+            latest = newer.groupBy(*key).agg(F.max_by(F.struct(*names), "seq").alias("v")).select("v.*")
+            parts.append(latest if equal is None else latest.where(equal))
+        return reduce(DataFrame.unionByName, parts)
+
+    def read(self, version: int | None = None, types: set[str] | None = None) -> StoredGraph:
+        """The graph, or of it the vertices and edges of some labels and types only, whose files alone are then read."""
+        m = self.manifest(version)
+        return StoredGraph(self._rows("vertices", m.of("vertices", types)), self._rows("edges", m.of("edges", types)), self, m, types)
+
+    # ------------------------------------------------------------ writing
+
+    def _write(self, kind: str, df: DataFrame, buckets: list[Bucket], seq: int, base: bool, typed: list[str]) -> list[Entry]:
+        """New files with df's rows (the kind's columns, and fresh), sorted by key within bucket and type."""
+        _, routed, key = KINDS[kind]
+        name = f"{kind}-{seq:012d}-{uuid.uuid4().hex[:12]}"
+        order = ["bucket", "part", routed, *[k for k in key if k != routed]]
+        placed = df.select("*", F.lit(seq).cast("long").alias("seq"), *typed_columns(typed), bucket_index(F.col(routed), buckets).alias("bucket"), F.col("t").alias("part"))
+        # by ranges: files of like size, each with few ids between its first and last, also where one bucket holds most rows
+        placed.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket", "part").parquet(f"{self.url}/data/{name}")
+        written = self.spark.read.schema(f"{routed} string, fresh boolean, props map<string,string>").parquet(f"{self.url}/data/{name}") if self._has_files(name) else None
+        if written is None:
             return []
-        text = self.spark.read.text(f"{self.url}/manifests/{n:012d}.json", wholetext=True).first()[0]
-        return [tuple(x) for x in json.loads(text)]
-
-    def _table(self, kind: str, entries: list[Entry]) -> DataFrame:
-        schema, _ = KINDS[kind]
-        folders = [f"{self.url}/data/{folder}" for k, _, _, folder in entries if k == kind]
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
-
-    def read(self, version: int | None = None, types: set[str] | None = None) -> Graph:
-        """The graph, or of it the vertices and edges of some labels and types only, whose folders alone are then read."""
-        found = [e for e in self.entries(version) if types is None or e[2] in types]
-        return Graph(self._table("vertices", found), self._table("edges", found))
-
-    def _bucket(self, kind: str) -> F.Column:
-        return F.pmod(F.xxhash64(KINDS[kind][1]), F.lit(self.buckets)).cast("int")
-
-    def _write(self, kind: str, df: DataFrame) -> list[Entry]:
-        """New folders with df's rows."""
-        name = f"{kind}-{uuid.uuid4().hex}"
-        # rebalanced: a bucket or type with most rows is split over files, small ones aren't scattered
-        placed = df.withColumn("bucket", self._bucket(kind)).withColumn("part", F.col("t"))
-        placed.hint("rebalance", "bucket", "part").write.partitionBy("bucket", "part").parquet(f"{self.url}/data/{name}")
+        rows = written.select(F.col("_metadata.file_path").alias("path"), F.col(routed).alias("id"), "fresh", "props")
+        # bits of the filter and names of properties are counted by one aggregation, and meet in a row for each file
+        marks = F.concat(F.transform(bloom_positions(F.xxhash64("id")), lambda p: F.struct(F.lit(True).alias("bit"), p.cast("string").alias("value"))), F.transform(F.map_keys("props"), lambda k: F.struct(F.lit(False).alias("bit"), k.alias("value"))))
+        counted = rows.select("path", "id", "fresh", F.inline(marks)).groupBy("path", "bit", "value").agg(F.count("*").alias("n"), F.count_if("fresh").alias("fresh"), F.min("id").alias("low"), F.max("id").alias("high"))
+        bit, rows_of = F.col("bit"), lambda c: (F.sum(F.when(F.col("bit"), F.col(c)).otherwise(0)) / BLOOM_HASHES).cast("long").alias(f"{c}_rows")
+        found = counted.groupBy("path").agg(rows_of("n"), rows_of("fresh"), F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list(F.when(bit, F.col("value").cast("int"))).alias("bits"), F.collect_list(F.when(~bit, F.struct("value", "n"))).alias("keys")).collect()
         out = []
-        for bucket in (x for x in self._list("data", name) if x.startswith("bucket=")):
-            for part in (x for x in self._list("data", name, bucket) if x.startswith("part=")):
-                label = unquote(part.removeprefix("part="))
-                out.append((kind, int(bucket.removeprefix("bucket=")), label, f"{name}/{bucket}/{part}"))
-        return out
+        for r in found:
+            bucket, part, file = unquote(r.path).split("/")[-3:]  # a URI; names of folders are quoted once more
+            label = unquote(part.removeprefix("part="))
+            out.append(Entry(kind, buckets[int(bucket.removeprefix("bucket="))], None if label == "__HIVE_DEFAULT_PARTITION__" else label, f"{name}/{bucket}/{part}/{file}", base, seq, r.n_rows, r.fresh_rows, r.low, r.high, bloom_of(r.bits), dict(sorted((k.value, k.n) for k in r["keys"])), typed))
+        return sorted(out, key=lambda e: e.path)
 
-    def publish(self, version: int, entries: list[Entry]) -> int:
-        """Makes the manifest after version. An error if there is one already: another writer was first."""
-        context = self.spark.sparkContext
-        temporary, target = self._path("manifests", f"{uuid.uuid4().hex}.new"), self._path("manifests", f"{version + 1:012d}.json")
-        out = temporary.getFileSystem(context._jsc.hadoopConfiguration()).create(temporary, False)
-        out.write(bytearray(json.dumps(entries).encode()))
-        out.close()
-        files = context._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), context._jsc.hadoopConfiguration())
-        never_replace = context._gateway.new_array(getattr(context._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-        try:
-            files.rename(temporary, target, never_replace)
-        except Py4JJavaError as e:
-            files.delete(temporary, False)
-            raise GraphError("DB_UNREACHABLE", "another writer was first; read the graph and write again") from e
-        return version + 1
+    def _has_files(self, name: str) -> bool:
+        fs = self.manifests.file_system()
+        return any(s.isDirectory() for s in fs.listStatus(self.manifests.path("data", name)))
 
     def write(self, g: Graph) -> int:
-        """Replaces the whole graph."""
-        version = self.version()
-        return self.publish(version, self._write("vertices", g.vertices) + self._write("edges", g.edges))
+        """Replaces the whole graph. How a store is dealt stays as it is."""
+        m = self.manifest()
+        new = Manifest(m.version, dict(m.buckets), [])
+        for kind, df in (("vertices", g.vertices), ("edges", g.edges)):
+            self._write_whole(new, kind, cut_lineage(self.spark, df.withColumn("fresh", F.lit(True)), kind))
+        return self.manifests.publish(new)
+
+    def _write_whole(self, m: Manifest, kind: str, rows: DataFrame) -> None:
+        counts = rows.groupBy("t").agg(F.count("*").alias("n"))
+        keys = rows.select("t", F.explode(F.map_keys("props")).alias("k")).groupBy(F.col("t").alias("kt"), "k").agg(F.count("*").alias("c"))
+        typed = frequent((r.k, r.c, r.n) for r in keys.join(counts, F.col("kt").eqNullSafe(F.col("t"))).where(F.col("c") * 2 >= F.col("n")).collect())
+        for k in (kind, "inbound") if kind == "edges" else (kind,):
+            m.buckets.setdefault(k, whole(self.depth))
+            m.entries += self._write(k, rows, m.buckets[k], m.version + 1, True, typed)
+
+    def _known(self, m: Manifest, kind: str, wanted: DataFrame, column: str) -> DataFrame:
+        """The stored rows of kind whose id (by which they are dealt) is in wanted's column."""
+        routed = KINDS[kind][1]
+        ids = wanted.select(F.col(column).alias("id")).where("id IS NOT NULL").distinct()
+        few = [r.id for r in ids.limit(FEW + 1).collect()]
+        if len(few) <= FEW:
+            return self._rows(kind, m.holding(kind, few), F.col(routed).isin(few))
+        buckets = m.buckets.get(kind, [])
+        touched = {buckets[r.b] for r in ids.select(bucket_index(F.col("id"), buckets).alias("b")).distinct().collect()} if buckets else set()  # no more than there are buckets
+        return self._rows(kind, [e for e in m.of(kind) if e.bucket in touched]).join(ids.select(F.col("id").alias(routed)), routed, "left_semi")
 
     def upsert(self, vertices: DataFrame, edges: DataFrame) -> dict[str, int]:
         """Upserts batches (with seq) and publishes the new graph; counts of rows inserted and attempted.
 
-        Only the buckets that the batches touch are read for the merge and written again.
+        The first label and usr of an id stay; of a property the last value stays. Edges need both ends stored. What is written are the
+        rows of the batches only, and the buckets that this makes due for compaction.
         """
-        version = self.version()
-        old = self.entries(version)
-        kept, counts, now = list(old), {}, {}
+        m = self.manifest()
+        new, counts = Manifest(m.version, dict(m.buckets), list(m.entries)), {}
         for kind, batch in (("vertices", vertices), ("edges", edges)):
             batch = cut_lineage(self.spark, batch, kind)
-            touched = {r[0] for r in batch.select(self._bucket(kind)).distinct().collect()}  # no more than there are buckets
-            before = self._table(kind, [e for e in old if e[1] in touched])
-            ends = None if kind == "vertices" else self._table("vertices", kept).select("id")
-            done = upsert_vertices(before, batch) if ends is None else upsert_edges(before, batch, ends)
-            now[kind] = self._write(kind, done.items)
-            counts |= {f"{kind}_inserted": done.inserted.first().n, f"{kind}_attempted": done.attempted.first().n}
-            kept = [e for e in kept if e[0] != kind or e[1] not in touched] + now[kind]
-        self.publish(version, kept)
-        return counts
+            counts[f"{kind}_attempted"] = batch.count()
+            if kind == "edges":
+                for end in ("outbound_id", "inbound_id"):
+                    batch = batch.join(self._known(new, "vertices", batch, end).select(F.col("id").alias(end)), end, "left_semi")
+            delta = cut_lineage(self.spark, self._versions(new, kind, batch), f"{kind}-delta")
+            written = self._append(new, kind, delta)
+            counts[f"{kind}_inserted"] = sum(e.fresh for e in written)
+        self._compact(new)
+        self.manifests.publish(new)
+        return {k: counts[k] for k in ("vertices_inserted", "vertices_attempted", "edges_inserted", "edges_attempted")}
+
+    def _versions(self, m: Manifest, kind: str, batch: DataFrame) -> DataFrame:
+        """The new versions of the batch's rows, with fresh: whether the key is new."""
+        schema, routed, key = KINDS[kind]
+        first = ("t", "usr") if kind == "vertices" else ()
+        folded = merged(batch, key, first)
+        old = self._known(m, kind, folded, routed).select(*[F.col(k).alias(f"o_{k}") for k in key], *[F.col(c).alias(f"old_{c}") for c in first], F.col("props").alias("old_props"), F.lit(True).alias("stored"))
+        both = folded.join(old, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"o_{k}")) for k in key]), "left")
+        fresh = F.col("stored").isNull()
+        kept = F.filter(F.map_entries("old_props"), lambda e: ~F.map_contains_key("props", e["key"]))
+        props = F.when(fresh, F.col("props")).otherwise(F.map_from_entries(F.array_sort(F.concat(kept, F.map_entries("props")))))
+        names = [x.split()[0] for x in schema.split(", ")]
+        return both.withColumn("props", props).withColumns({c: F.when(fresh, F.col(c)).otherwise(F.col(f"old_{c}")) for c in first}).select(*names, fresh.alias("fresh"))
+
+    def _append(self, m: Manifest, kind: str, delta: DataFrame) -> list[Entry]:
+        if not m.of(kind):
+            before = len(m.entries)
+            self._write_whole(m, kind, delta)
+            return [e for e in m.entries[before:] if e.kind == kind]
+        out = []
+        for k in (kind, "inbound") if kind == "edges" else (kind,):
+            written = self._write(k, delta, m.buckets[k], m.version + 1, False, [])
+            m.entries += written
+            out += written if k == kind else []
+        return out
+
+    def _due(self, m: Manifest, kind: str) -> set[Bucket]:
+        sums: dict[Bucket, list[int]] = {}
+        for e in m.of(kind):
+            s = sums.setdefault(e.bucket, [0, 0, 0])
+            s[0] += e.rows if e.base else 0
+            s[1] += 0 if e.base else e.rows
+            s[2] += 0 if e.base else 1
+        return {b for b, (base, delta, files) in sums.items() if files and (delta > self.share * base or files > self.max_deltas)}
+
+    def _compact(self, m: Manifest, all_of_them: bool = False) -> None:
+        """Writes buckets anew that are due, as base files, split where they have grown."""
+        for kind in KINDS:
+            due = {b for b in m.buckets.get(kind, []) if all_of_them} or self._due(m, kind)
+            if not due:
+                continue
+            old = [e for e in m.of(kind) if e.bucket in due]
+            for bucket in due:
+                size, made = sum(e.rows if e.base else e.fresh for e in old if e.bucket == bucket), [bucket]
+                while size > self.split_rows:
+                    made, size = [half for b in made for half in split(b)], size / 2
+                at = m.buckets[kind].index(bucket)
+                m.buckets[kind] = [*m.buckets[kind][:at], *made, *m.buckets[kind][at + 1 :]]
+            rows = cut_lineage(self.spark, self._rows(kind, old).withColumn("fresh", F.lit(True)), f"{kind}-compacted")
+            rows_of, keys_of = Counter(), Counter()
+            for e in old:
+                rows_of[e.t] += e.rows
+                keys_of.update({(e.t, k): c for k, c in e.keys.items()})
+            counts = [(k, c, rows_of[t]) for (t, k), c in keys_of.items()]
+            m.entries = [e for e in m.entries if e not in old] + self._write(kind, rows, m.buckets[kind], m.version + 1, True, frequent(counts))
+
+    def compact(self) -> int:
+        """Compacts all buckets."""
+        m = self.manifest()
+        new = Manifest(m.version, dict(m.buckets), list(m.entries))
+        self._compact(new, True)
+        return self.manifests.publish(new)
 
     def expire(self, keep: int = 2) -> None:
         """Removes manifests but the latest ones, and the files that only these had."""
-        fs = self._path().getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        latest = self.version()
-        held = {f for n in range(max(1, latest - keep + 1), latest + 1) for *_, f in self.entries(n)}
+        fs, latest = self.manifests.file_system(), self.version()
+        held = {e.path for n in range(max(1, latest - keep + 1), latest + 1) for e in self.manifest(n).entries}
         for n in range(1, latest - keep + 1):
-            path = self._path("manifests", f"{n:012d}.json")
+            path = self.manifests.path("manifests", f"{n:012d}.json")
             if fs.exists(path):
-                for *_, folder in self.entries(n):
-                    if folder not in held:
-                        fs.delete(self._path("data", folder), True)
+                for e in self.manifest(n).entries:
+                    if e.path not in held:
+                        fs.delete(self.manifests.path("data", e.path), False)
                 fs.delete(path, False)
 
+    # ------------------------------------------------------------ description
+
+    def describe(self, kind: str = "vertices", version: int | None = None) -> list[tuple[str | None, int, list[str]]]:
+        """(type, rows, names of properties) of vertices or edges, the most frequent first; from the manifest alone."""
+        counts: dict[str | None, int] = {}
+        keys: dict[str | None, set[str]] = {}
+        for e in self.manifest(version).of(kind):
+            counts[e.t] = counts.get(e.t, 0) + (e.rows if e.base else e.fresh)
+            keys.setdefault(e.t, set()).update(e.keys)  # properties are never taken away, so older versions add no other names
+        return [(t, n, sorted(keys[t])) for t, n in sorted(counts.items(), key=lambda x: (-x[1], x[0] or ""))]
+
+    def totals(self, version: int | None = None) -> dict[str, int]:
+        return {kind: sum(n for _, n, _ in self.describe(kind, version)) for kind in ("vertices", "edges")}
+
+
+@dataclass
+class StoredGraph(Graph):
+    """A store's graph as of one version; look-ups by id or property open few files."""
+
+    store: ParquetStore
+    manifest: Manifest
+    types: set[str] | None = None
+
+    def vertices_of(self, ids: list[str]) -> DataFrame:
+        return self.store._rows("vertices", self.manifest.holding("vertices", ids, self.types), F.col("id").isin(ids))
+
+    def edges_at(self, ids: list[str], direction: str = "outbound", t: str | None = None) -> DataFrame:
+        kind = "edges" if direction == "outbound" else "inbound"
+        types = self.types if t is None else {t} if self.types is None or t in self.types else set()
+        return self.store._rows(kind, self.manifest.holding(kind, ids, types), F.col(f"{direction}_id").isin(ids))
+
+    def vertices_with(self, name: str, value: object) -> DataFrame:
+        return self.store._rows("vertices", self.manifest.of("vertices", self.types), prop=(name, value))
+
+    def edges_with(self, name: str, value: object) -> DataFrame:
+        return self.store._rows("edges", self.manifest.of("edges", self.types), prop=(name, value))
+
+    def neighbours(self, ends: DataFrame, few: int | None) -> DataFrame:
+        """Vertices by the ids of ends (id), one row for each of its rows; few: how many there are at most."""
+        if few is None or few > FEW:
+            return self.vertices.join(ends, "id")
+        ids = [r.id for r in ends.collect()]
+        return self.vertices_of(sorted(set(ids))).join(self.store.spark.createDataFrame([(i,) for i in ids], "id string"), "id")
+
 
 def node_documents(vertices: DataFrame) -> DataFrame:
     """(key, document): a JSON document for each vertex."""

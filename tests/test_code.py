@@ -209,17 +209,17 @@ def test_readers_and_writers_of_a_store_do_not_meet(spark, tmp_path):
     store.upsert(vertices_of(spark, *[(f"v{i}", "A B", f"v{i}", {"n": str(i)}, 1) for i in range(20)]), edges_of(spark, ("v0", "v1", "R", {}, 1), ("v0", "gone", "R", {}, 2)))
     assert store.version() == 1 and store.read().vertices.count() == 20 and store.read().edges.count() == 1
     reader = store.read()  # begins before the next write and reads after it
-    before = {e[3] for e in store.entries()}
+    before = {e.path for e in store.manifest().entries}
     counts = store.upsert(vertices_of(spark, ("v3", "Other", "v3", {"m": "7"}, 1), ("new", "C", "new", {}, 2)), edges_of(spark, ("new", "v3", "S", {}, 1)))
     assert counts == {"vertices_inserted": 1, "vertices_attempted": 2, "edges_inserted": 1, "edges_attempted": 1}
     now = {r.id: (r.t, dict(r.props)) for r in store.read().vertices.collect()}
     assert reader.vertices.count() == 20 and len(now) == 21 and now["v3"] == ("A B", {"n": "3", "m": "7"}) and now["v4"] == ("A B", {"n": "4"})
-    assert before & {e[3] for e in store.entries()}  # buckets that weren't touched keep their files
+    assert before & {e.path for e in store.manifest().entries}  # buckets that weren't touched keep their files
     assert [r.id for r in store.read(types={"C"}).vertices.collect()] == ["new"] and store.read(version=1).vertices.count() == 20
-    entries = store.entries()
-    store.publish(2, entries)
+    m = store.manifest()
+    store.manifests.publish(m)
     with pytest.raises(GraphError):  # a second writer that began from the same version
-        store.publish(2, entries)
+        store.manifests.publish(m)
     assert store.version() == 3 and store.read().vertices.count() == 21
     store.expire(keep=1)
     assert store.version() == 3 and store.read().vertices.count() == 21 and store.read().edges.count() == 2
