@@ -1,9 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
 A text's words (split at white space) each have hashed features: the word and its character n-grams; each two neighbours
-have one more, the word pair. A pair's hash is the exclusive or of its words' hashes, so the order doesn't matter, and all
-pairs of a word with itself are one feature. Vectors learned for the features are averaged over the text and go through a softmax. Training is stochastic gradient descent in numpy on the driver, over a sample with a documented bound (MAX_PER_CLASS texts of each class, those with the lowest
-hashes of their ids); features are counted on the executors.
+have one more, the word pair, by a hash in which both words and their order count. Vectors learned for the features are averaged over the text and go through a softmax. Training is stochastic gradient descent in numpy on the driver, over a sample with a documented bound (MAX_PER_CLASS texts of each class, those with the lowest
+hashes of their ids, and of each its MAX_FEATURES most frequent features); features are counted on the executors.
 
 For scoring, each feature's vector times the output weights is one number, and a word's sum of these is remembered.
 """
@@ -26,9 +25,11 @@ BITS, GRAMS, SIZE = 16, (3, 4), 8
 MAX_PER_CLASS = 2000
 EPOCHS, RATE, SEED = 4, 1.0, 8
 MIN_STEPS = 12_000
+#: Features of a training text that are learned from: the most frequent ones of a longer list. A bound of what the driver gathers.
+MAX_FEATURES = 8192
 REMEMBERED = 100_000
 #: Multipliers of the feature hashes, and their number of powers (positions in very long words go round).
-FACTOR, POWERS = 0x9E3779B97F4A7C15, 4096
+FACTOR, FIRST, POWERS = 0x9E3779B97F4A7C15, 0x632BE59BD9B4E019, 4096
 
 
 @lru_cache(maxsize=1)
@@ -90,7 +91,7 @@ class Words:
     def pairs(self, at: np.ndarray) -> np.ndarray:
         """Buckets of the neighbours in a text, given its words' places."""
         h = self.hash[at]
-        return bucket_of(h[1:] ^ h[:-1], self.bits)
+        return bucket_of(h[:-1] * np.uint64(FIRST) + h[1:], self.bits)
 
     def places(self, words: list[str]) -> np.ndarray:
         place = self.place
@@ -152,6 +153,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_where:
             for text in batch.column("text").to_pylist():
                 total = counted(text, bits)
                 i = np.flatnonzero(total)
+                i = i if len(i) <= MAX_FEATURES else np.sort(i[np.argsort(-total[i], kind="stable")[:MAX_FEATURES]])
                 at.append(i.astype(np.int32).tobytes())
                 share.append((total[i] / max(total.sum(), 1)).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(at, pa.binary()), pa.array(share, pa.binary())], ["doc_id", "quality", "at", "share"])
