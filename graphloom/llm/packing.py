@@ -3,9 +3,9 @@
 Each task packs the documents that it reads; nothing is shuffled and no state is shared. A document's whole windows are
 sequences by themselves; its rest goes, as it comes, into the open sequence at the fill level for which the sum of the
 squared numbers of partly filled sequences per level becomes smallest (Csirik et al., 2006), a level array holding
-these numbers. After GROUP_DOCS documents, and at a task's end, the sequences still open are emptied into full ones, in
-order, documents being cut at their ends; what is left then is cut into sequences whose lengths are powers of two, which
-need no padding.
+these numbers. At a task's end, and when the open sequences hold more than HELD_IDS ids (a bound of its memory), each open
+sequence is cut where it is into sequences whose lengths are powers of two, the binary digits of its fill, which need no padding;
+no piece is moved from where the method has put it.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from .common import slices
 from .tokens import default_path, tokenizer
 
 LENGTH, END_ID = 4096, 2
-#: Documents after which a task's open sequences are closed, and the ids they may hold meanwhile: a bound of its memory.
-GROUP_DOCS, GROUP_IDS = 20_000, 1 << 23
+#: Ids that a task's open sequences may hold.
+HELD_IDS = 1 << 24
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 Piece = tuple[int, int, int, np.ndarray]  # index of the document, its tokens, start, ids
@@ -69,26 +69,24 @@ class Packer:
             self.open.setdefault(fill + size, []).append(pieces)
 
     def close(self) -> None:
-        """Empties all open sequences, the fullest first, into full ones and then into powers of two."""
-        rest = [p for fill in sorted(self.open, reverse=True) for pieces in self.open[fill] for p in pieces]
-        left = sum(len(p[3]) for p in rest)
-        room, out = 0, []
-        for key, total, start, ids in rest:
-            at = 0
-            while at < len(ids):
-                if not room:
-                    room = min(self.length, 1 << (left.bit_length() - 1))
-                take = min(room, len(ids) - at)
-                out.append((key, total, start + at, ids[at : at + take]))
-                at, room, left = at + take, room - take, left - take
-                if not room:
-                    self.done(out)
-                    out = []
+        """Cuts each open sequence, in place, into powers of two: the largest first."""
+        for fill in sorted(self.open, reverse=True):
+            for pieces in self.open[fill]:
+                room, left, out = 1 << fill.bit_length() - 1, fill, []
+                for key, total, start, ids in pieces:
+                    at = 0
+                    while at < len(ids):
+                        take = min(room, len(ids) - at)
+                        out.append((key, total, start + at, ids[at : at + take]))
+                        at, room, left = at + take, room - take, left - take
+                        if not room:
+                            self.done(out)
+                            room, out = 1 << max(left.bit_length() - 1, 0), []
         self.open, self.held = {}, 0
         self.level[:] = 0
 
 
-def pack(docs: DataFrame, path: str | None = None, *, length: int = LENGTH, end_id: int = END_ID, group_docs: int = GROUP_DOCS) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, *, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     length must be a power of two. path: the tokenizer's file, which each worker opens. Each document ends with end_id;
@@ -114,7 +112,7 @@ def pack(docs: DataFrame, path: str | None = None, *, length: int = LENGTH, end_
                 at += len(ids)
             sequence += 1
 
-        packer, seen = Packer(done, length), 0
+        packer = Packer(done, length)
         names = [x.split()[0] for x in SCHEMA.split(", ")]
 
         def emit() -> pa.RecordBatch:
@@ -125,8 +123,7 @@ def pack(docs: DataFrame, path: str | None = None, *, length: int = LENGTH, end_
         for batch in slices(batches, limit=1 << 20):
             for key, ids in zip(batch.column("doc_id").to_pylist(), tok.ids_of(batch.column("text").to_pylist())):
                 packer.add(key, np.concatenate([ids, end]))
-                seen += 1
-                if seen % group_docs == 0 or packer.held > GROUP_IDS:
+                if packer.held > HELD_IDS:
                     packer.close()
             yield emit()
         packer.close()
