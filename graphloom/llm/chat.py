@@ -50,12 +50,23 @@ def bytes_of(a: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8), at[:-1], np.diff(at)
 
 
+#: Segments above so many bytes are copied one by one; of shorter ones, so many bytes at once by indices.
+LONG, AT_ONCE = 4096, 1 << 20
+
+
 def scatter(out: np.ndarray, to: np.ndarray, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
-    """Copies data[start : start + length] to out[to :], for all segments at once."""
-    total = int(length.sum())
-    if total:
-        within = np.arange(total) - np.repeat(np.cumsum(length) - length, length)
-        out[np.repeat(to, length) + within] = data[np.repeat(start, length) + within]
+    """Copies data[start : start + length] to out[to :], for all segments. Indices take 24 bytes for each byte, so they are made for
+    bounded runs of short segments only."""
+    for t, s, n in zip(*(x[length > LONG].tolist() for x in (to, start, length))):
+        out[t : t + n] = data[s : s + n]
+    to, start, length = (x[(length > 0) & (length <= LONG)] for x in (to, start, length))
+    ends, at = np.cumsum(length), 0
+    while at < len(length):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, side="right")))
+        n = length[at:stop]
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(to[at:stop], n) + within] = data[np.repeat(start[at:stop], n) + within]
+        at = stop
 
 
 def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
