@@ -7,7 +7,9 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,11 +63,16 @@ def release_memory() -> None:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches with at most ~limit bytes of text each, so that a worker's memory stays bounded."""
+    """The same rows in batches of at most limit bytes in the column, or of one row, so that a worker's memory stays bounded."""
     for batch in batches:
-        at, size = 0, batch.column(column).nbytes
-        step = max(1, int(batch.num_rows * limit / max(size, 1)))
+        values = batch.column(column)
+        if pa.types.is_list(values.type):
+            size = pc.multiply(pc.cast(pc.list_value_length(values), pa.int64()), values.type.value_type.bit_width // 8)
+        else:
+            size = pc.cast(pc.binary_length(values), pa.int64())
+        ends, at = np.cumsum(pc.fill_null(size, 0).to_numpy()), 0
         while at < batch.num_rows:
-            yield batch.slice(at, step)
-            at += step
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
         release_memory()

@@ -188,8 +188,25 @@ def test_sum_of_squares_choice():
                 costs[h] = int((m**2).sum())
         p.place((k, size, 0, np.zeros(size, "<u4")))
         assert int((p.level**2).sum()) == min(costs.values())
+    held, before = {fill: [[x[0] for x in pieces] for pieces in found] for fill, found in p.open.items()}, len(out)
+    closed = []
+    p.done = lambda pieces: closed.append(pieces)
     p.close()
-    assert all(x & (x - 1) == 0 for x in out)
+    assert all(x & (x - 1) == 0 for x in out[:before] + [sum(len(x[3]) for x in pieces) for pieces in closed])
+    # each open sequence is cut by itself: what was together stays together, in order
+    assert sum(map(len, closed)) >= sum(map(len, (k for found in held.values() for k in found)))
+    assert sorted(sum(len(x[3]) for x in pieces) for pieces in closed) == sorted(1 << b for fill, found in held.items() for _ in found for b in range(5) if fill >> b & 1)
+
+
+def test_packed_in_one_task_little_is_left_open():
+    """How much of a stream the method's choices decide: what closes full, as against what is cut at the end."""
+    rng, full, rest = np.random.default_rng(2), [0], [0]
+    p = packing.Packer(lambda pieces: full.__setitem__(0, full[0] + sum(len(x[3]) for x in pieces)))
+    for k in range(20_000):
+        p.add(k, np.zeros(int(rng.lognormal(5.5, 1.2)) + 1, "<u4"))
+    p.done = lambda pieces: rest.__setitem__(0, rest[0] + sum(len(x[3]) for x in pieces))
+    p.close()
+    assert rest[0] < 0.05 * full[0]
 
 
 def brute_discounts(counts):
@@ -344,6 +361,23 @@ def test_language_id_against_dictionaries(spark):
         assert name == best and p == pytest.approx(1 / sum(math.exp(x - logs[best]) for x in logs.values()), rel=1e-9)
 
 
+def test_more_languages_than_a_matrix_holds(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    names = [f"l{i}" for i in range(7)]
+    sets = {x: "".join(rng.choice(list("abcdefghijklmnop"), 5)) + " " for x in names}
+    rows = [(i, "".join(rng.choice(list(sets[names[i % 7]]), 25)), names[i % 7]) for i in range(70)] + [(99, None, "l1"), (98, "12", "l2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one = {r.doc_id: (r.lang_pred, r.lang_score) for r in langid.identify(spark, df, langid.train(df, F.col("doc_id") < 50)).collect()}
+    for most in (3, 7, 1):
+        monkeypatch.setattr(langid, "MAX_LANGUAGES", most)
+        model = langid.train(df, F.col("doc_id") < 50)
+        out = langid.identify(spark, df.withColumn("lang_sum", F.lit("own")), model)
+        assert out.columns == ["doc_id", "text", "lang", "lang_sum", "lang_pred", "lang_score"]
+        for r in out.collect():
+            assert r.lang_pred == one[r.doc_id][0] and r.lang_score == pytest.approx(one[r.doc_id][1], rel=1e-9) and r.lang_sum == "own"
+            assert langid.predict(r.text, model) == (r.lang_pred, pytest.approx(r.lang_score, rel=1e-9))
+
+
 def test_language_id(spark, docs, none):
     train = spark.createDataFrame([(i, t, lang, "s", 0, "", "", "", "", "") for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 5)] + [(99, None, "xx", "s", 0, "", "", "", "", ""), (98, "12 34", "yy", "s", 0, "", "", "", "", "")], DOCS)
     model = langid.train(train, F.lit(True))
@@ -374,6 +408,44 @@ def test_quality(spark, docs, none):
         assert quality.score_texts([text], model, quality.Words(quality.BITS, model.weights))[0] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-9)
 
 
+def test_repeated_words_have_no_bucket_in_common():
+    words = [f"w{i}" for i in range(400)]
+    buckets = set()
+    for w in words:
+        seen = quality.Words(quality.BITS)
+        seen.learn([[w, w]])
+        buckets.add(int(seen.pairs(seen.places([w, w]))[0]))
+    assert len(buckets) > 380
+    seen = quality.Words(quality.BITS)
+    seen.learn([["a", "b"]])
+    assert seen.pairs(seen.places(["a", "b"]))[0] != seen.pairs(seen.places(["b", "a"]))[0]
+
+
+def test_training_against_plain_python():
+    """Two steps of gradient descent on softmax over the mean vector, written out."""
+    rows = [(np.array([1, 5]), np.array([0.25, 0.75]), 1), (np.array([5, 6]), np.array([0.5, 0.5]), 0)]
+    own = quality.fit(rows, bits=3, size=2, epochs=1, rate=0.5)
+    rng = np.random.default_rng(quality.SEED)
+    v = rng.uniform(-0.5, 0.5, (8, 2)).tolist()
+    out, bias = [[0.0, 0.0], [0.0, 0.0]], [0.0, 0.0]
+    epochs = -(-quality.MIN_STEPS // 2)
+    for epoch in range(epochs):
+        rate = 0.5 * (1 - epoch / epochs)
+        for k in rng.permutation(np.array([0, 1])):
+            at, share, y = rows[k]
+            h = [sum(s * v[a][j] for a, s in zip(at, share)) for j in range(2)]
+            z = [h[0] * out[0][c] + h[1] * out[1][c] + bias[c] for c in range(2)]
+            e = [math.exp(x - max(z)) for x in z]
+            g = [x / sum(e) - (c == y) for c, x in enumerate(e)]
+            back = [sum(out[j][c] * g[c] for c in range(2)) for j in range(2)]
+            for a, s in zip(at, share):
+                v[a] = [v[a][j] - rate * s * back[j] for j in range(2)]
+            out = [[out[j][c] - rate * h[j] * g[c] for c in range(2)] for j in range(2)]
+            bias = [bias[c] - 0.1 * rate * g[c] for c in range(2)]
+    want = [x[0] * (out[0][1] - out[0][0]) + x[1] * (out[1][1] - out[1][0]) for x in v]
+    assert own.weights == pytest.approx(want, rel=1e-6) and own.bias == pytest.approx(bias[1] - bias[0], rel=1e-6)
+
+
 def test_features_of_one_word_match_those_of_many():
     words = ["a", "Ab9", "漢字", "😀x", "x" * 9000]
     b, o = quality.features(words)
@@ -411,6 +483,33 @@ def test_chat(spark):
     assert chat.digests(chat.format_conversations(df.limit(0))).count() == 0
 
 
+def test_a_long_turn_beside_short_ones_takes_few_copies():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = ["short"] * 1000 + ["x<|" * (8 << 20)] + ["end"] * 1000
+    tracemalloc.start()
+    out, size, at, n = chat.assemble(pa.array(["user"] * len(texts)), pa.array(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * len(out) and bytes(out[at[1001] : at[1001] + n[1001]]) == b"end" and n[1000] == 4 * (8 << 20)
+
+
+def test_slices_hold_at_most_the_limit_or_one_row():
+    import pyarrow as pa
+
+    from graphloom.llm.common import slices
+
+    texts = ["a" * 10] * 50 + ["b" * 500] * 3 + [None, ""] + ["c" * 10] * 50
+    for batch in (pa.record_batch({"text": texts}), pa.record_batch({"text": ["x"] * 7 + texts}).slice(7), pa.record_batch({"text": [[1] * len(t or "") for t in texts]})):
+        wide = 8 if pa.types.is_list(batch.column("text").type) else 1
+        got = list(slices(iter([batch]), limit=100 * wide))
+        assert [v for b in got for v in b.column("text").to_pylist()] == batch.column("text").to_pylist()
+        assert all(b.num_rows == 1 or sum(len(v or "") for v in b.column("text").to_pylist()) <= 100 for b in got)
+    assert list(slices(iter([pa.record_batch({"text": pa.array([], pa.string())})]))) == []
+
+
 def test_a_long_conversation_is_formatted_in_chunks(spark):
     rows = [(c, t, ("user", "assistant")[t % 2], f"<|{c} {t} é " + "x" * 900) for c, n in ((1, 3), (2, 30_000), (3, 2)) for t in range(n)]
     formatted = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
