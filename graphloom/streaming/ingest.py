@@ -5,13 +5,14 @@ A unit whose cursors make no tree is left out and reported; all others of its ba
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.ids import vertex_id
 from ..lineage import cut_lineage
-from ..operators.extract import extract
+from ..operators.extract import CURSOR_COLUMNS, extract
+from ..sources.files import EXTENSIONS, guarded
 from ..sources.store import ParquetStore
 
 
@@ -53,3 +54,33 @@ def upsert_cursors(store: ParquetStore, cursors: DataFrame, **options) -> dict[s
 def ingest_stream(stream: DataFrame, store: ParquetStore, checkpoint: str, **options) -> StreamingQuery:
     """stream: a streaming DataFrame of cursors, whole units a micro-batch (a unit's file is one row group of its producer)."""
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: upsert_cursors(store, batch, **options)).start()
+
+
+CORRUPT = "_corrupt"
+
+
+def ingest_files(spark: SparkSession, folder: str, store: ParquetStore, errors: str, checkpoint: str, files_per_batch: int = 1000, **options) -> StreamingQuery:
+    """Streams files of cursors (JSON lines, a unit or more a file) from a folder into a store, each file once, across restarts.
+
+    A file with a line that can't be read is left out whole and is one row of the errors table (path, tu, error, batch), as is each unit
+    whose cursors make no tree; all else of the batch is ingested. A batch that runs again overwrites its own errors.
+    """
+    schema = ", ".join(f"{c} {t}" for c, t in CURSOR_COLUMNS.items())
+    reader = spark.readStream.schema(f"{schema}, {CORRUPT} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("maxFilesPerTrigger", files_per_batch)
+    stream = reader.json(folder).withColumn("path", F.col("_metadata.file_path"))
+
+    def ingest(batch: DataFrame, number: int) -> None:
+        rows = cut_lineage(spark, batch, "batch")
+        bad = rows.where(F.col(CORRUPT).isNotNull()).groupBy("path").agg(F.concat(F.lit("a line that can't be read: "), F.min(F.substring(CORRUPT, 1, 200))).alias("error"))
+        sound = rows.join(bad.select("path"), "path", "left_anti").drop("path", CORRUPT)
+        wrong = bad.select("path", F.lit(None).cast("string").alias("tu"), "error").unionByName(unit_errors(sound).select(F.lit(None).cast("string").alias("path"), "tu", "error"))
+        wrong.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{errors.rstrip('/')}/batch={number}")
+        upsert_cursors(store, sound, **options)
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(ingest).start()
+
+
+def stream_sources(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """A stream of (file, modified, text) of a folder's source files, each once; for source_lines and directives in foreachBatch."""
+    found = spark.readStream.format("text").option("wholetext", "true").option("pathGlobFilter", "*.{" + ",".join(EXTENSIONS) + "}").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(guarded(folder))
+    return found.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("text"))
