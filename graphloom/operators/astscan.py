@@ -98,11 +98,28 @@ def failed_units(nodes: DataFrame, diags: DataFrame) -> DataFrame:
     return diags.groupBy("tu").agg(F.max("severity").alias("s")).where("s >= 4").select("tu").join(nodes.where("parent_id IS NOT NULL").select("tu"), "tu", "left_anti")
 
 
-def nested(rows: list[dict]) -> list[dict]:
-    """Result rows (with id, parent_id) of one unit as trees; done where the result is, not in Spark."""
-    by_id = {r["id"]: {**{k: v for k, v in r.items() if k not in ("parent_id", "tu")}, "children": []} for r in sorted(rows, key=lambda r: r["id"])}
-    roots = []
-    for r in sorted(rows, key=lambda r: r["id"]):
-        holder = by_id.get(r.get("parent_id"))
-        (holder["children"] if holder else roots).append(by_id[r["id"]])
-    return roots
+def tree_texts(nodes: DataFrame, max_depth: int, checkpoint: Checkpoint | None = None) -> DataFrame:
+    """(tu, id, tree): each root as one JSON text of its fields and children, these in preorder, down to max_depth.
+
+    A fold from the leaves up: a level's texts, in the order of ids, become the children of the level above. A node whose parent
+    isn't in nodes (after in_line_range, say) is a root. The text of a unit is one value, so nodes should be within a budget
+    (budget_cut) before.
+    """
+    checkpoint = checkpoint or shared_writer(nodes.sparkSession)
+    here = nodes.select("tu", F.col("id").alias("parent_id"))
+    lost = nodes.where("parent_id IS NOT NULL").join(here, ["tu", "parent_id"], "left_anti").select("tu", "id", F.lit(True).alias("lost"))
+    rooted = nodes.join(lost, ["tu", "id"], "left").withColumn("parent_id", F.when(F.col("lost").isNull(), F.col("parent_id"))).drop("lost")
+    levels = checkpoint(with_depth(rooted, max_depth, checkpoint))
+    deepest = levels.agg(F.max("depth")).first()[0]
+    own = F.to_json(F.struct(*FIELDS), {"ignoreNullFields": "false"})
+    below = None
+    for depth in range(-1 if deepest is None else deepest, -1, -1):
+        level = levels.where(F.col("depth") == depth).select("tu", "id", "parent_id", own.alias("own"))
+        if below is None:
+            level = level.withColumn("children", F.lit(""))
+        else:
+            texts = below.groupBy("tu", F.col("parent_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "tree"))), lambda c: c["tree"]), ",").alias("children"))
+            level = level.join(texts, ["tu", "id"], "left")
+        tree = F.concat(F.expr("left(own, length(own) - 1)"), F.lit(',"children":['), F.coalesce("children", F.lit("")), F.lit("]}"))
+        below = checkpoint(level.select("tu", "id", "parent_id", tree.alias("tree")))
+    return nodes.sparkSession.createDataFrame([], "tu string, id long, tree string") if below is None else below.select("tu", "id", "tree")

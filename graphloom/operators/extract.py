@@ -36,6 +36,7 @@ MEMBER_KINDS = ("FIELD_DECL", "CXX_METHOD", "CONSTRUCTOR", "DESTRUCTOR")
 BASE_KINDS = ("CLASS_DECL", "STRUCT_DECL", "CLASS_TEMPLATE")
 REFERENCE_KINDS = ("DECL_REF_EXPR", "MEMBER_REF_EXPR", "TYPE_REF")
 FUNCTION_KINDS = ("FUNCTION_DECL", "CXX_METHOD", "CONSTRUCTOR", "DESTRUCTOR", "FUNCTION_TEMPLATE")
+FINAL_KIND = "CXX_FINAL_ATTR"
 RECORD_KINDS = {"CLASS_DECL": "class", "CLASS_TEMPLATE": "class", "STRUCT_DECL": "struct", "UNION_DECL": "union"}
 
 
@@ -93,14 +94,17 @@ def symbol_props() -> Column:
         "signature": text("displayname"), "is_constexpr": constexpr, "is_noexcept": T.is_noexcept(c("exception_specification")), "is_deleted": F.coalesce("is_deleted", lit(False)),
         "is_defaulted": F.coalesce("is_defaulted", lit(False)), "cv_qualifiers": T.cv_qualifiers(c("is_const"), c("tokens")), "ref_qualifier": text("ref_qualifier"),
     }
-    record = {"is_final": T.has_token(c("tokens"), "final"), "is_abstract": F.coalesce("is_abstract", lit(False)), "record_kind": F.coalesce(mapping(RECORD_KINDS, c("kind")), lit("class"))}
+    record = {"is_final": F.coalesce("has_final", lit(False)), "is_abstract": F.coalesce("is_abstract", lit(False)), "record_kind": F.coalesce(mapping(RECORD_KINDS, c("kind")), lit("class"))}
     of = lambda **more: properties(**base, **more)
     return F.when(c("label").isin("Field", "GlobalVariable"), of(**variable)).when(c("label") == "Function", of(**function)).when(c("label") == "Class", of(**record)).otherwise(of())
 
 
-def symbol_nodes(context: DataFrame, final: DataFrame | None = None) -> DataFrame:
-    """(tu, t, usr, props, seq): the first cursor of each usr of a unit; later ones give edges only."""
-    ranked = context.where("emits").select("tu", F.col("label").alias("t"), "usr", symbol_props().alias("props"), F.col("id").alias("seq"))
+def symbol_nodes(context: DataFrame) -> DataFrame:
+    """(tu, t, usr, props, seq): the first cursor of each usr of a unit; later ones give edges only. A class is final if a child of it
+    is the attribute; that a member function is final says nothing of the class."""
+    finals = context.where(F.col("kind") == FINAL_KIND).select("tu", F.col("parent_id").alias("id"), F.lit(True).alias("has_final")).distinct()
+    marked = context.where("emits").join(finals, ["tu", "id"], "left")
+    ranked = marked.select("tu", F.col("label").alias("t"), "usr", symbol_props().alias("props"), F.col("id").alias("seq"))
     first = ranked.groupBy("tu", "usr").agg(F.min_by(F.struct("t", "props"), "seq").alias("r"), F.min("seq").alias("seq"))
     return first.select("tu", "r.t", "usr", "r.props", "seq")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,9 +20,21 @@ def macros(cursors: DataFrame) -> DataFrame:
     return defined.groupBy("tu", "name").agg(F.min_by("r", "id").alias("r")).select("tu", "name", "r.*")
 
 
-def source_lines(files: DataFrame) -> DataFrame:
-    """files (file, text) -> (file, line, text), lines from 1."""
-    return files.select("file", F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
+#: What ends a line in files read line by line, and in texts cut into lines; white space as strings are stripped of it.
+LINE_ENDS, TEXT_ENDS = r"\r\n|\r|\n", r"\r\n|[\r\n\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+BLANK = r"[\p{IsWhite_Space}\x1c-\x1f]"
+
+
+def source_lines(files: DataFrame, ends: str = LINE_ENDS) -> DataFrame:
+    """files (file, text) -> (file, line, text), lines from 1, without their ends. What follows the last end is a line only if
+    there is something; an empty or null text has none."""
+    parts = F.split(F.coalesce("text", F.lit("")), ends, -1)
+    whole = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return files.select("file", F.posexplode(whole).alias("line", "text")).withColumn("line", F.col("line") + 1)
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+\\z", "")
 
 
 def directives(lines: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import GraphError
 from ..lineage import Checkpoint, shared_writer
 
 
@@ -29,12 +30,14 @@ def nearest_ancestors(nodes: DataFrame, stops: dict[str, F.Column], checkpoint:
         now = checkpoint(now.where("done").union(moved))
         if now.where(~F.col("done")).isEmpty():
             break
+    else:
+        raise GraphError("INTERNAL_ERROR", f"ancestors lie deeper than 2 ** {max_rounds}")
     return now.select("tu", "id", "stop", F.col("ptr").alias("ancestor"))
 
 
-def nearest_ancestor(nodes: DataFrame, stop: F.Column, checkpoint: Checkpoint | None = None) -> DataFrame:
+def nearest_ancestor(nodes: DataFrame, stop: F.Column, checkpoint: Checkpoint | None = None, max_rounds: int = 40) -> DataFrame:
     """(tu, id, ancestor) for one condition; nodes without such an ancestor are left out."""
-    return nearest_ancestors(nodes, {"it": stop}, checkpoint).drop("stop")
+    return nearest_ancestors(nodes, {"it": stop}, checkpoint, max_rounds).drop("stop")
 
 
 def without_subtrees(nodes: DataFrame, bad: F.Column, checkpoint: Checkpoint | None = None) -> DataFrame:

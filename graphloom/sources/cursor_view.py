@@ -30,6 +30,10 @@ SELECT {TU}, (c_custkey + 1) * 10000000000 + 5, (c_custkey + 1) * 10000000000, '
   CASE WHEN c_custkey % 11 = 0 THEN 'h.hpp' ELSE {TU} END, CAST(c_custkey % 1000000 * 100 AS INT), 50, CAST(c_custkey % 1000000 * 100 AS INT), 60, false, NULL, concat('c:', CAST(c_custkey % 7 AS {{string}})), NULL, NULL
 FROM customer WHERE c_custkey % 3 = 0
 UNION ALL
+SELECT {TU}, (c_custkey + 1) * 10000000000 + 6, (c_custkey + 1) * 10000000000, 'CXX_FINAL_ATTR', '', 'final',
+  CASE WHEN c_custkey % 11 = 0 THEN 'h.hpp' ELSE {TU} END, CAST(c_custkey % 1000000 * 100 AS INT), 30, CAST(c_custkey % 1000000 * 100 AS INT), 34, false, NULL, NULL, NULL, NULL
+FROM customer WHERE c_custkey % 5 = 0
+UNION ALL
 SELECT {TU}, (c_custkey + 1) * 10000000000 + (o_orderkey + 1) * 10, (c_custkey + 1) * 10000000000, {MEMBER_KIND}, concat('m:', CAST(o_orderkey AS {{string}})), o_orderpriority,
   CASE WHEN o_orderkey % 7 = 0 THEN 'h.hpp' ELSE {TU} END, {MEMBER_LINE}, 1, {MEMBER_LINE}, 200, o_orderkey % 2 = 1, NULL, NULL,
   CASE o_orderkey % 3 WHEN 0 THEN 'PUBLIC' WHEN 1 THEN 'PROTECTED' END, NULL

@@ -62,9 +62,85 @@ def test_positions(cursors):
     assert [r.id for r in position.cursors_at(points, cursors).collect()] == [9]
     hits = position.references_to(cursors.sparkSession.createDataFrame([("h",)], "usr string"), cursors)
     rows, summary = position.capped(hits, 1)
-    assert rows.count() == 1 and summary.first().asDict() == {"total": 2, "truncated": True, "omitted_count": 1}
+    assert [r.seq for r in rows.collect()] == [11] and summary.first().asDict() == {"usr": "h", "tu": "m.cpp", "total": 2, "truncated": True, "omitted_count": 1}
+    other = hits.unionByName(hits.withColumn("usr", F.lit("k")))
+    assert position.capped(other, 1)[0].count() == 2  # the cap is each symbol's own
+
+
+def test_position_checks(spark, cursors):
+    lines = preproc.source_lines(spark.createDataFrame([("m.cpp", "\n".join(["x" * 10] * 60) + "\n"), ("none.cpp", "")], "file string, text string"))
+    wrong = {(0, 1): "lines and columns count from 1", (1, 0): "lines and columns count from 1", (61, 1): "the line is beyond the end of the file", (9, 12): "the column is beyond the end of the line", (50, 11): "there is no symbol"}
+    points = spark.createDataFrame([("m.cpp", "m.cpp", a, b) for a, b in [*wrong, (9, 5), (9, 11)]] + [("m.cpp", "gone.cpp", 1, 1)], "tu string, file string, line int, col int")
+    found, errors = position.checked(points, cursors, lines)
+    assert sorted((r.p_line, r.p_col, r.id) for r in found.collect()) == [(9, 5, 9), (9, 11, 9)]
+    assert {(r.line, r.col): r.error for r in errors.where("file = 'm.cpp'").collect()} == wrong
+    assert [r.error for r in errors.where("file = 'gone.cpp'").collect()] == ["the file can't be read"]
+
+
+def test_many_points_and_cursors_in_one_line(spark):
+    """3,000 points and 3,000 cursors that all share a line, half of them with one extent: no pairs of them are made."""
+    n = 3000
+    rows = [("t", "f", i, 0, 1, i if i % 2 else 1, 1, 10_000 if i % 2 == 0 else i + 1) for i in range(1, n + 1)]
+    cur = spark.createDataFrame(rows, "tu string, file string, id long, parent_id long, line int, col int, end_line int, end_col int")
+    points = spark.createDataFrame([("t", "f", 1, i) for i in range(1, n + 1)], "tu string, file string, line int, col int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.p_col: r.id for r in position.cursors_at(points, cur).select("p_col", "id").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == n and all(i == (p if p % 2 else p - 1) or p < 2 for p, i in got.items())
+
+
+def test_lines_and_white_space(spark):
+    texts = {"a": "#if A\nint x;\n", "b": "one\r\n\t two \u2003\rthree\u2028more", "c": "", "d": None, "e": "\n\n", "f": "x\x0by"}
+    df = spark.createDataFrame(list(texts.items()), "file string, text string")
+    lines = {}
+    for r in preproc.source_lines(df).orderBy("file", "line").collect():
+        lines.setdefault(r.file, []).append(r.text)
+    assert lines == {"a": ["#if A", "int x;"], "b": ["one", "\t two \u2003", "three\u2028more"], "e": ["", ""], "f": ["x\x0by"]}
+    cut = preproc.source_lines(df, preproc.TEXT_ENDS).groupBy("file").count().collect()
+    assert {r.file: r["count"] for r in cut} == {k: len(t.replace("\r\n", "\n").splitlines()) for k, t in texts.items() if t}
+    odd = spark.createDataFrame([("\t foo();\r",), ("\u2003 x\u00a0y \x85\x1f",), ("",)], "text string")
+    assert [r[0] for r in odd.select(preproc.stripped(F.col("text"))).collect()] == ["foo();", "x\u00a0y", ""]
+    # an unclosed branch ends at the last line, not one after it
+    source = preproc.source_lines(spark.createDataFrame([("u", "#if A\nint x;\n")], "file string, text string"))
+    branch = preproc.conditionals(preproc.directives(source), source.groupBy("file").agg(F.max("line").alias("last_line"))).first()
+    assert (branch.start_line, branch.end_line, branch.closed) == (1, 2, False)
+
+
+def test_a_class_is_final_by_its_attribute(spark, cursors):
+    words = F.when(F.col("kind") == "CLASS_DECL", F.array(F.lit("class"), F.lit("void"), F.lit("m"), F.lit("final"))).otherwise(F.col("tokens"))
+    get = lambda df: {r.usr: r.props["is_final"] for r in extract.symbol_nodes(extract.in_context(df)).where("t = 'Class'").collect()}
+    assert get(cursors.withColumn("tokens", words)) == {"C": "false"}
+    attribute = spark.createDataFrame([cursor(19, 2, "CXX_FINAL_ATTR")], COLS)
+    assert get(cursors.unionByName(attribute)) == {"C": "true"}
+
+
+def test_trees_as_text(spark):
+    rng = random.Random(4)
+    rows = [("t", i, rng.randrange(i) if i else None, "K", 'é"\n', None if i % 3 else "u", "int", "NONE", i, 1, 20, 2) for i in range(30)] + [("u", 5, 3, "K", "", "", "", "", 1, 1, 1, 1)]
+    nodes = spark.createDataFrame(rows, "tu string, id long, parent_id long, kind string, spelling string, usr string, type string, storage_class string, start_line int, start_col int, end_line int, end_col int")
+
+    def nested(rows, depth):
+        by = {r["id"]: {f: r[f] for f in astscan.FIELDS} | {"children": []} for r in rows}
+        roots = []
+        for r in sorted(rows, key=lambda r: r["id"]):
+            (by[r["parent_id"]]["children"] if r["parent_id"] in by else roots).append(by[r["id"]])
+        cut = lambda n, d: n | {"children": [cut(c, d - 1) for c in n["children"]] if d else []}
+        return [cut(r, depth) for r in roots]
+
+    for kept in (nodes, astscan.budget_cut(nodes, 12, 10**6), astscan.in_line_range(nodes, 10, 12)):
+        for depth in (0, 2, 30):
+            rows = [r.asDict() for r in kept.collect()]
+            got = {}
+            for r in sorted(astscan.tree_texts(kept, depth).collect(), key=lambda r: (r.tu, r.id)):
+                got.setdefault(r.tu, []).append(json.loads(r.tree))
+            assert got == {t: nested([r for r in rows if r["tu"] == t], depth) for t in {r["tu"] for r in rows}}
+            if kept is not nodes:
+                break
+    assert astscan.tree_texts(nodes.limit(0), 3).count() == 0
     with pytest.raises(GraphError):
-        position.check_position(0, 1)
+        trees.nearest_ancestor(nodes.where("tu = 't'"), F.col("id") == 0, max_rounds=1)
 
 
 def test_positions_against_all_pairs(spark):
@@ -82,8 +158,15 @@ def test_positions_against_all_pairs(spark):
         if inside:
             want[line, col] = max(inside)[1]
     assert {(r.p_line, r.p_col): r.id for r in position.cursors_at(df, cur).collect()} == want
-    named = df.distinct().withColumnsRenamed({"line": "p_line", "col": "p_col"})
-    assert position.candidates(named, cur).count() == sum(b <= p[2] <= e for p in set(points) for _, _, _, _, b, _, e, _ in rows)
+    for parts in ("1", "7"):  # whatever the ranges
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            assert {(r.p_line, r.p_col): r.id for r in position.cursors_at(df, cur).collect()} == want
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_nearest_ancestor_against_a_walk(spark):
@@ -115,7 +198,6 @@ def test_budgets(spark):
         assert sorted(r.id for r in rows) == kept and any(r.truncated for r in rows) == cut
     assert {r.id: r.truncated for r in astscan.depth_cut(nodes, 2).collect()} == {0: False, 1: False, 2: True}
     assert astscan.in_line_range(nodes, 0, 3).count() == 4
-    assert astscan.nested([r.asDict() for r in nodes.collect()])[0]["children"][0]["id"] == 1
 
 
 def test_conditionals_against_a_stack(spark):
