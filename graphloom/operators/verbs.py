@@ -6,7 +6,7 @@ pushed to the scan; a limit over an order is a top-k in each task and one merge.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..model import EDGE_KEY, Graph, empty_props
@@ -42,17 +42,19 @@ def edge_with_property_equal(g: Graph, name: str, value: object, limit: int | No
     return first_rows(g.edges_with(name, value), EDGE_KEY, limit)
 
 
-def pipe_edges(g: Graph, vertex_id: str, direction: str, t: str | None = None, limit: int | None = None) -> DataFrame:
-    return first_rows(g.edges_at([vertex_id], direction, t), EDGE_KEY, limit)
+def pipe_edges(g: Graph, vertex_id: str, direction: str, t: str | None = None, limit: int | None = None, seen: Observation | None = None) -> DataFrame:
+    """seen: gets n, the number of edges before the limit, from the job that runs anyway."""
+    found = g.edges_at([vertex_id], direction, t)
+    return first_rows(found if seen is None else found.observe(seen, F.count(F.lit(1)).alias("n")), EDGE_KEY, limit)
 
 
-def pipe(g: Graph, vertex_id: str, direction: str, t: str | None = None, limit: int | None = None) -> DataFrame:
+def pipe(g: Graph, vertex_id: str, direction: str, t: str | None = None, limit: int | None = None, seen: Observation | None = None) -> DataFrame:
     """One hop: neighbours over the vertex's edges, of which the limit is taken first.
 
     Parallel edges give a row each. A neighbour that isn't stored gives none, though its edge counts for the limit.
     """
     there = "inbound_id" if direction == OUTBOUND else "outbound_id"
-    ends = pipe_edges(g, vertex_id, direction, t, limit).select(F.col(there).alias("id"))
+    ends = pipe_edges(g, vertex_id, direction, t, limit, seen).select(F.col(there).alias("id"))
     return g.neighbours(ends, limit)
 
 

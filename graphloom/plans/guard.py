@@ -1,12 +1,13 @@
 """Read-only SQL: a statement runs only if every node of its parsed plan is on a list of what may run.
 
-The text is parsed, not run. The walk enters children, common table expressions and subqueries, so nothing hides behind
-a harmless root.
+The text is parsed, not run. The walk goes over the plans and expressions of the parsed statement, subqueries within
+expressions included. Functions must be built-in ones that don't run code or reach outside; relations must be names that the
+statement defines, views of the session, or tables that the catalog has, so nothing is read by path.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import ParseException
@@ -19,25 +20,59 @@ ALLOWED = frozenset(
     "OneRowRelation$ OneRowRelation Join LateralJoin Union Intersect Except UnresolvedWith Window WindowExpression WithWindowDefinition UnresolvedHaving Generate Expand Pivot Unpivot UnresolvedPivot UnresolvedTableValuedFunction "
     "UnresolvedTVFAliases Tail Sample ParameterizedQuery NameParameterizedQuery PosParameterizedQuery UnresolvedHint ResolvedHint UnionLoop UnionLoopRef Range CTERelationDef CTERelationRef WithCTE View GroupingSets UnresolvedOrdinal RecursiveCTE AsOfJoin".split()
 )
-#: Functions that run code of the caller's choice or reach outside the query.
-DENIED_FUNCTIONS = frozenset("reflect java_method try_reflect read_files from_avro input_file_name current_database".split()) - {"current_database", "input_file_name"}
-FORMATS = frozenset("parquet json csv orc text avro binaryfile delta jdbc".split())
-
-
-def nodes(plan):
-    """All logical plans in a plan, wherever they are held."""
-    yield plan
-    name = plan.getClass().getSimpleName()
-    for part in ("children", "innerChildren"):
-        found = getattr(plan, part)()
-        for i in range(found.length()):
-            child = found.apply(i)
-            if hasattr(child, "getClass") and "logical" in child.getClass().getName() or "analysis" in child.getClass().getName():
-                yield from nodes(child)
-    if name == "UnresolvedWith":
-        relations = plan.cteRelations()
-        for i in range(relations.length()):
-            yield from nodes(relations.apply(i)._2())
+#: Built-in functions that run code of the caller's choice or reach outside the query, and what stands for names made at run time.
+DENIED_FUNCTIONS = frozenset("reflect java_method try_reflect read_files from_avro to_avro input_file_name input_file_block_start input_file_block_length python_worker_logs".split())
+DENIED_EXPRESSIONS = ("ExpressionWithUnresolvedIdentifier", "PlanWithUnresolvedIdentifier", "UnresolvedIdentifier")
+
+
+def each(seq) -> Iterator:
+    return (seq.apply(i) for i in range(seq.length()))
+
+
+def refused(message: str) -> GraphError:
+    return GraphError("READ_ONLY_VIOLATION", message)
+
+
+def nodes(plan) -> Iterator[tuple[str, object]]:
+    """('plan', node) and ('expression', node) for all that a parsed plan holds, wherever it is held."""
+    yield "plan", plan
+    for child in each(plan.children()):
+        yield from nodes(child)
+    for inner in each(plan.innerChildren()):
+        if "LogicalPlan" in ancestry(inner):
+            yield from nodes(inner)
+    if plan.getClass().getSimpleName() == "UnresolvedWith":
+        for relation in each(plan.cteRelations()):
+            yield from nodes(relation._2())
+    for e in each(plan.expressions()):
+        yield from expressions(e)
+
+
+def expressions(e) -> Iterator[tuple[str, object]]:
+    yield "expression", e
+    if "PlanExpression" in ancestry(e):
+        yield from nodes(e.plan())
+    for child in each(e.children()):
+        yield from expressions(child)
+
+
+def ancestry(x) -> set[str]:
+    """Simple names of an object's classes."""
+    found, kind = set(), x.getClass()
+    while kind is not None:
+        found.add(kind.getSimpleName())
+        kind = kind.getSuperclass()
+    return found
+
+
+def built_in(spark: SparkSession, tables: bool) -> frozenset[str]:
+    analysis = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.analysis
+    registry = analysis.TableFunctionRegistry.builtin() if tables else analysis.FunctionRegistry.builtin()
+    return frozenset(f.funcName() for f in each(registry.listFunction())) - DENIED_FUNCTIONS
+
+
+def names_of(parts) -> list[str]:
+    return [str(x) for x in each(parts)]
 
 
 def check(spark: SparkSession, text: str) -> None:
@@ -47,24 +82,39 @@ def check(spark: SparkSession, text: str) -> None:
         plan = parser.parsePlan(text)
     except (ParseException, Py4JJavaError) as e:
         raise GraphError("QUERY_PARSE_ERROR", str(e).splitlines()[0]) from e
-    shown = []
-    for p in nodes(plan):
+    found = list(nodes(plan))
+    defined = {str(r._1()).lower() for kind, p in found if kind == "plan" and p.getClass().getSimpleName() == "UnresolvedWith" for r in each(p.cteRelations())}
+    functions = table_functions = None
+    for kind, p in found:
         name = p.getClass().getSimpleName()
-        if name not in ALLOWED:
-            raise GraphError("READ_ONLY_VIOLATION", f"{name} isn't allowed")
-        shown.append(p)
+        if kind == "plan" and name not in ALLOWED or name in DENIED_EXPRESSIONS:
+            raise refused(f"{name} isn't allowed")
         if name == "UnresolvedRelation":
-            parts = p.multipartIdentifier()
-            if parts.length() > 1 and str(parts.apply(0)).lower() in FORMATS:
-                raise GraphError("READ_ONLY_VIOLATION", "files can't be read by path")
-    # expressions, subqueries in them included, are in the plan's text: function calls by name, nested statements by node
-    tree = plan.toString()
-    for name in re.findall(r"'?`?([A-Za-z_]+)`?\(", tree) + re.findall(r"([A-Za-z_]+)\s*\(", text):
-        if name.lower() in DENIED_FUNCTIONS:
-            raise GraphError("READ_ONLY_VIOLATION", f"{name} isn't allowed")
-    for node in re.findall(r"(?m)^[\s:+-]*'?([A-Z][A-Za-z]+)\b", tree):
-        if re.match(r"(Insert|Merge|Create|Drop|Delete|Update|Alter|Set|Truncate|Load|Replace|Refresh|Cache|Uncache|AddJar|AddFile|Overwrite|Append|Analyze|Msck|Repair)", node) and node not in ALLOWED:
-            raise GraphError("READ_ONLY_VIOLATION", f"{node} isn't allowed")
+            known_relation(spark, names_of(p.multipartIdentifier()), defined)
+        elif name == "UnresolvedTableValuedFunction":
+            table_functions = table_functions or built_in(spark, True)
+            known_function(names_of(p.name()), table_functions)
+        elif name == "UnresolvedFunction":
+            functions = functions or built_in(spark, False)
+            known_function(names_of(p.nameParts()), functions)
+
+
+def known_function(parts: list[str], known: frozenset[str]) -> None:
+    if [x.lower() for x in parts[:-1]] not in ([], ["builtin"], ["system", "builtin"]) or parts[-1].lower() not in known:
+        raise refused(f"{'.'.join(parts)} isn't a function that may be called")
+
+
+def known_relation(spark: SparkSession, parts: list[str], defined: set[str]) -> None:
+    """A name that the statement defines, a view of the session, or a table of the catalog; never a path or a data source."""
+    if len(parts) == 1 and parts[0].lower() in defined:
+        return
+    quoted = ".".join("`" + x.replace("`", "``") + "`" for x in parts)
+    try:
+        if spark.catalog.tableExists(quoted):
+            return
+    except Exception:  # not a name that a catalog can have
+        pass
+    raise refused(f"{quoted} isn't a table or view of this session")
 
 
 def read_only_sql(spark: SparkSession, text: str, args: dict | list | None = None) -> DataFrame:

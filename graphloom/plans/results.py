@@ -10,7 +10,7 @@ import time
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 
 from ..config import Settings, clamped
 from ..errors import GraphError
@@ -95,9 +95,15 @@ def run_json(g: Graph, text: str, limit: object = None, timeout: object = None,
     verb = verbs_json.parse(text)
     n = clamped(limit, settings.row_limit, 1, 500)
     if verb.name == "pipe":
-        edges = verbs.pipe_edges(g, **verb.args).count
-        df = verbs.pipe(g, **verb.args, limit=n)
-        return answer(df.orderBy("id"), n, timeout, settings, graph_row, lambda _, got: got < edges())
+        seen = Observation()
+        df = verbs.pipe(g, **verb.args, limit=n, seen=seen)
+
+        def more(_: int, got: int) -> bool:
+            # a plan that found the vertices empty needn't have read the edges
+            edges = seen.get.get("n")
+            return got < (verbs.pipe_edges(g, **verb.args).count() if edges is None else edges)
+
+        return answer(df.orderBy("id"), n, timeout, settings, graph_row, more)
     return answer(verbs_json.plan(verb, g, n + 1), n, timeout, settings, graph_row)
 
 

@@ -7,7 +7,10 @@ import re
 import uuid
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..errors import GraphError
 from ..model import EDGE_KEY, Graph
@@ -66,6 +69,20 @@ def parse(text: str) -> Verb:
     return Verb(name, out)
 
 
+@F.pandas_udf(StringType())
+def code_of(texts: pd.Series) -> pd.Series:
+    """Each text's error code as parse() has it; the empty text if there is none."""
+
+    def code(text: str | None) -> str:
+        try:
+            parse(text or "")
+        except GraphError as e:
+            return e.code
+        return ""
+
+    return texts.map(code)
+
+
 def plan(verb: Verb, g: Graph, limit: int | None = None) -> DataFrame:
     return getattr(verbs, verb.name)(g, **verb.args, limit=limit)
 

@@ -1,6 +1,7 @@
 """Verbs, equality, introspection, upserts and patterns over small graphs made by hand."""
 
 import json
+import uuid
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -130,7 +131,7 @@ def test_closure_loses_no_far_nodes(spark):
         close(max_rounds=3)
 
 
-@pytest.mark.parametrize("text", ["SELECT 1", "WITH a AS (SELECT 1 AS x) SELECT * FROM a WHERE x IN (SELECT 1)", "SELECT id FROM range(3) GROUP BY id HAVING count(*) > 0 ORDER BY id LIMIT 2"])
+@pytest.mark.parametrize("text", ["SELECT 1", "WITH a AS (SELECT 1 AS x) SELECT * FROM a WHERE x IN (SELECT 1)", "SELECT upper('a'), transform(array(1, 2), x -> x + 1), sum(id) OVER (ORDER BY id) FROM range(3) LATERAL VIEW explode(array(1)) t AS c", "SELECT CASE WHEN 'INSERT INTO t' = 'reflect(x)' THEN 1 END", "SELECT id FROM range(3) GROUP BY id HAVING count(*) > 0 ORDER BY id LIMIT 2"])
 def test_guard_accepts(spark, text):
     check(spark, text)
 
@@ -139,6 +140,9 @@ def test_guard_accepts(spark, text):
     "text",
     [
         "DROP TABLE t", "CREATE TABLE t (a INT)", "INSERT INTO t SELECT 1", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "SET x = 1", "CACHE TABLE t", "SELECT reflect('java.lang.System', 'exit', 1)",
+        "SELECT * FROM `org.apache.spark.sql.execution.datasources.text.TextFileFormat`.`/etc/hosts`", "SELECT * FROM text.`/etc/hosts`", "SELECT * FROM binaryFile.`/etc`", "SELECT 1 WHERE 1 IN (SELECT length(value) FROM text.`/etc/hosts`)",
+        "SELECT (SELECT max(reflect('java.lang.System', 'exit', 1)))", "SELECT transform(array(1), x -> reflect('java.lang.System', 'exit', x))", "SELECT id FROM range(1) ORDER BY java_method('java.lang.System', 'nanoTime')", "SELECT * FROM IDENTIFIER('text.`/etc/hosts`')",
+        "SELECT IDENTIFIER('ref' || 'lect')('java.lang.System', 'exit', 1)", "SELECT * FROM no_such_table", "SELECT my_own_function(1)", "SELECT * FROM no_such_function(1)", "WITH a AS (SELECT * FROM text.`/etc/hosts`) SELECT * FROM a", "SELECT * FROM a.b.c.`/etc`", "SELECT * FROM range(1) JOIN LATERAL (SELECT * FROM csv.`/etc/hosts`)",
         "SELECT * FROM parquet.`/etc`", "MERGE INTO t USING s ON t.a = s.a WHEN MATCHED THEN DELETE", "SELECT java_method('java.lang.Math', 'abs', 1)", "nonsense",
     ],
 )
@@ -221,3 +225,39 @@ def test_envelope_hides_folders():
 def test_limit_and_specific(spark, graph):
     assert verbs.all_vertices(graph, 2).count() == 2
     assert verbs.specific_vertices(graph, spark.createDataFrame([(B,)], "id string")).first().id == B
+
+
+def test_unnamed_vertices_in_chained_matches(spark):
+    v = spark.createDataFrame([(x, t, x, {}) for x, t in (("c1", "C"), ("c2", "C"), ("n1", "N"), ("o1", "O"), ("o2", "O"))], VERTEX_SCHEMA)
+    e = spark.createDataFrame([("c1", "n1", "IN", {}), ("c2", "n1", "IN", {}), ("o1", "c1", "BY", {}), ("o2", "c1", "BY", {})], EDGE_SCHEMA)
+    g = Graph(v, e)
+    rows = match(g, node("c", "C"), edge("IN"), node(label="N"))
+    assert rows.columns == ["c__id", "c__t", "c__props"]
+    more = match(g, node("c"), edge("BY", direction="in"), node(label="O"), rows=rows)
+    assert sorted(r.c__id for r in more.collect()) == ["c1", "c1"]
+    assert sorted(r.c__id for r in match(g, node("c"), edge("BY", direction="in"), node(), rows=rows, optional=True).collect()) == ["c1", "c1", "c2"]
+    assert [r.c__id for r in matching(g, rows, node("c"), edge("BY", direction="in"), node()).collect()] == ["c1"]
+    assert [r.c__id for r in matching(g, rows, node("c"), edge("BY", direction="in"), node(), negate=True).collect()] == ["c2"]
+
+
+def test_a_pipes_flag_comes_with_its_own_job(spark):
+    v = spark.createDataFrame([(str(uuid.UUID(int=i)), "T", f"u{i}", {}) for i in range(6)], VERTEX_SCHEMA)
+    e = spark.createDataFrame([(str(uuid.UUID(int=0)), str(uuid.UUID(int=i)), "R", {}) for i in (1, 2, 3, 9)], EDGE_SCHEMA)
+    g, counted = Graph(v, e), []
+    plain = verbs.pipe_edges
+
+    def counting(*args, **more):
+        counted.append("seen" not in more and len(args) < 6)
+        return plain(*args, **more)
+
+    verbs.pipe_edges = counting
+    try:
+        for limit, rows, flag in ((5, 3, True), (4, 3, True), (3, 3, True), (2, 2, True), (1, 1, True)):
+            out = run_json(g, json.dumps({"query": "pipe", "args": {"vertex_id": str(uuid.UUID(int=0)), "direction": "outbound"}}), limit)
+            assert (out.rows_returned, out.truncated) == (rows, flag), limit
+        whole = Graph(v, e.where(F.col("inbound_id") != str(uuid.UUID(int=9))))
+        for limit, flag in ((4, False), (3, False), (2, True)):
+            assert run_json(whole, json.dumps({"query": "pipe", "args": {"vertex_id": str(uuid.UUID(int=0)), "direction": "outbound"}}), limit).truncated == flag
+    finally:
+        verbs.pipe_edges = plain
+    assert not any(counted)  # no second count of the edges
