@@ -23,7 +23,8 @@ from .sources import tables
 from .sources.cursor_view import CURSORS_SQL, cursors
 from .sources.files import flags_of, resolve_flags
 from .sources.store import ParquetStore, changed_documents, edge_documents, node_documents
-from .streaming.ingest import unit_errors
+from .sources.units import UnitCache, unit_rows
+from .streaming.ingest import ingest_files, unit_errors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -403,7 +404,7 @@ def var_length_paths(spark, sf_dir):
 
 CLOSURE = """
 WITH RECURSIVE r(start, node, depth) AS (
-  SELECT p_partkey, p_partkey, 0 FROM part WHERE p_size = 1
+  SELECT p_partkey, p_partkey, 0 FROM part
   UNION ALL SELECT start, node // 2, depth + 1 FROM r WHERE node > 1)
 SELECT start, node, min(depth)::INT AS depth FROM r GROUP BY ALL"""
 
@@ -411,9 +412,9 @@ SELECT start, node, min(depth)::INT AS depth FROM r GROUP BY ALL"""
 @query(CLOSURE)
 def include_closure(spark, sf_dir):
     """Transitive inclusion: part p includes part p / 2."""
-    parts = tables.read(spark, sf_dir, "part").select("p_partkey", "p_size")
+    parts = tables.read(spark, sf_dir, "part").select("p_partkey")
     links = parts.where("p_partkey > 1").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).cast("long").alias("dst"))
-    return traverse.closure(spark, links, parts.where("p_size = 1").select(F.col("p_partkey").alias("node")), shared_writer(spark))
+    return traverse.closure(spark, links, parts.select(F.col("p_partkey").alias("node")), shared_writer(spark))
 
 
 @query("SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)")
@@ -475,9 +476,10 @@ def relationship_types(spark, sf_dir):
     return traverse.relationship_types(tables.graph(spark, sf_dir))
 
 
-@query("SELECT column_name AS \"propertyKey\" FROM (DESCRIBE SELECT r.*, n.*, (SELECT min(c_mktsegment) FROM customer) AS c_mktsegment FROM region r, nation n)")
+@query(" UNION ".join(f'SELECT column_name AS "propertyKey" FROM (DESCRIBE {t})' for t in sorted({t for t, _ in tables.VERTICES.values()})))
 def property_keys(spark, sf_dir):
-    return traverse.property_keys(Graph(tables.vertices(spark, sf_dir, "Region", "Nation"), tables.edges(spark, sf_dir, "LIVES_IN")))
+    """Names of properties of all vertices and edges; each column of the tables has a value somewhere."""
+    return traverse.property_keys(tables.graph(spark, sf_dir))
 
 
 @query("SELECT n_name AS nation, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' GROUP BY n_name ORDER BY customers DESC, nation LIMIT 5")
@@ -560,6 +562,18 @@ def pattern_without_match(spark, sf_dir):
     return found.select(prop("c", "c_custkey").cast("long").alias("c_custkey"))
 
 
+@query("SELECT c_custkey, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE NOT EXISTS (SELECT 1 FROM orders x WHERE x.o_custkey = c_custkey AND x.o_orderstatus = 'P') UNION ALL SELECT c_custkey, NULL FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def pattern_chained(spark, sf_dir):
+    """MATCH (c:Customer)-[:LIVES_IN]->(:Nation) OPTIONAL MATCH (c)<-[:PLACED_BY]-(o:Orders), (c)-[:LIVES_IN]->(:Nation)-[:IN_REGION]->(:Region)
+    WHERE NOT EXISTS { (c)<-[:PLACED_BY {o_orderstatus: 'P'}]-() } RETURN c, o: unnamed vertices in each part."""
+    g = tables.graph(spark, sf_dir)
+    rows = match(g, node("c", "Customer"), edge("LIVES_IN"), node(label="Nation"))
+    rows = matching(g, rows, node("c"), edge("PLACED_BY", direction="in", o_orderstatus="P"), node(), negate=True)
+    rows = match(g, node("c"), edge("LIVES_IN"), node(label="Nation"), edge("IN_REGION"), node(label="Region"), rows=rows)
+    rows = match(g, node("c"), edge("PLACED_BY", direction="in"), node("o", "Orders"), rows=rows, optional=True)
+    return rows.select(prop("c", "c_custkey").cast("long").alias("c_custkey"), prop("o", "o_orderkey").cast("long").alias("o_orderkey"))
+
+
 @query(f"""SELECT {vertex_id_sql("'nation:' || n_nationkey")} AS id, 'Nation' AS label, n_name AS name, 'IN_REGION' AS type, {vertex_id_sql("'region:' || n_regionkey")} AS target, 2 AS nodes FROM nation""")
 def pattern_results(spark, sf_dir):
     """MATCH p = (n:Nation)-[r:IN_REGION]->(:Region) RETURN n, r, p: vertices, edges and paths as results."""
@@ -620,14 +634,17 @@ def extract_includes(spark, sf_dir):
 
 @query(f"""{CTX}, n AS (SELECT tu, usr, min(id) AS id FROM ctx WHERE mine AND label IS NOT NULL AND usr <> '' GROUP BY tu, usr)
 SELECT c.tu, c.usr, c.label AS t, c.spelling, c.file, c.line, c.col, CASE c.kind WHEN 'CLASS_DECL' THEN 'class' WHEN 'STRUCT_DECL' THEN 'struct' WHEN 'UNION_DECL' THEN 'union' END AS record_kind,
-  CASE WHEN label = 'Function' THEN 'false' END AS is_deleted, CASE WHEN label IN ('Field', 'GlobalVariable') THEN 'none' END AS storage_class
+  CASE WHEN label = 'Function' THEN 'false' END AS is_deleted, CASE WHEN label IN ('Field', 'GlobalVariable') THEN 'none' END AS storage_class,
+  CASE WHEN label = 'Class' THEN CASE WHEN EXISTS (SELECT 1 FROM ctx a WHERE a.tu = c.tu AND a.parent_id = c.id AND a.kind = 'CXX_FINAL_ATTR') THEN 'true' ELSE 'false' END END AS is_final
 FROM ctx c JOIN n ON n.tu = c.tu AND n.id = c.id""")
 def extract_properties(spark, sf_dir):
     """Properties by label: those of all, of classes, of functions and of variables."""
-    nodes = extract.symbol_nodes(context(spark, sf_dir))
+    # tokens of a class hold those of its members: a final member function among them makes no class final
+    tokens = F.array(F.lit("struct"), F.lit("void"), F.lit("f"), F.lit("final"))
+    nodes = extract.symbol_nodes(extract.in_context(cursors(spark, sf_dir).withColumn("tokens", tokens), shared_writer(spark)))
     get = lambda k: F.try_element_at("props", F.lit(k))
     text = [as_string(get(k)).alias(k) for k in ("spelling", "file", "record_kind", "storage_class")]
-    return nodes.select("tu", "usr", "t", *text, get("line").cast("int").alias("line"), get("col").cast("int").alias("col"), get("is_deleted").alias("is_deleted"))
+    return nodes.select("tu", "usr", "t", *text, get("line").cast("int").alias("line"), get("col").cast("int").alias("col"), get("is_deleted").alias("is_deleted"), get("is_final").alias("is_final"))
 
 
 @query(f"{CUR} SELECT DISTINCT 'file://' || f AS usr, f AS path FROM (SELECT tu AS f FROM cur UNION SELECT included_file FROM cur WHERE included_file IS NOT NULL)")
@@ -659,6 +676,57 @@ def failing_units(spark, sf_dir):
     return unit_errors(cursors(spark, sf_dir).where("kind <> 'CLASS_DECL'"))
 
 
+def refreshed(spark, sf_dir):
+    """Units extracted in an earlier state, in which every third unit was another and one wasn't there, and then as they are."""
+    cur, nations = cursors(spark, sf_dir), tables.read(spark, sf_dir, "nation")
+    late = F.col("n_nationkey") % 3 == 0
+    unit = F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.lit(".cpp"))
+    files = lambda old: nations.select(unit.alias("tu"), F.concat("n_name", F.when(late & F.lit(old), " then").otherwise("")).alias("text"), F.when(late & ~F.lit(old), F.lit("2024-01-02")).otherwise("2024-01-01").cast("timestamp").alias("modified"))
+    changed = cur.withColumn("spelling", F.concat("spelling", F.lit("?")))
+    third = nations.where(late).select(unit.alias("tu"))
+    cache = UnitCache(spark, shared_dir(spark, "units"))
+    cache.refresh(unit_rows(files(True).where("tu <> 'n4.cpp'")), changed.join(third, "tu", "left_semi").unionByName(cur.join(third, "tu", "left_anti")).where("tu <> 'n4.cpp'"))
+    # the cursors of units that are unchanged aren't asked for: without them the result is the same
+    return cache.refresh(unit_rows(files(False)), cur.join(nations.where(late | (F.col("n_nationkey") == 4)).select(unit.alias("tu")), "tu", "left_semi"))
+
+
+@query(f"{CTX} SELECT tu, arg_min(label, id) AS t, usr, min(id) AS seq, arg_min(spelling, id) AS spelling FROM ctx WHERE mine AND label IS NOT NULL AND usr <> '' GROUP BY tu, usr")
+def incremental_nodes(spark, sf_dir):
+    """Only changed units are extracted, and the graph is that of a full run."""
+    nodes = refreshed(spark, sf_dir).nodes.where("t <> 'File'")
+    return nodes.select("tu", "t", "usr", "seq", as_string(F.try_element_at("props", F.lit("spelling"))).alias("spelling"))
+
+
+@query("SELECT count(*) FILTER (n_nationkey % 3 <> 0 AND n_nationkey <> 4) AS hits, count(*) FILTER (n_nationkey % 3 = 0 OR n_nationkey = 4) AS misses, count(*) FILTER (n_nationkey % 3 = 0) AS evictions FROM nation")
+def incremental_counts(spark, sf_dir):
+    done = refreshed(spark, sf_dir)
+    return spark.createDataFrame([(done.hits, done.misses, done.evictions)], "hits long, misses long, evictions long")
+
+
+@query(f"{CTX} SELECT tu, usr FROM ctx WHERE mine AND label IS NOT NULL AND usr <> '' AND tu <> 'n2.cpp' AND tu <> 'n5.cpp' GROUP BY tu, usr")
+def streamed_files(spark, sf_dir):
+    """Files of cursors, one for each unit, streamed into a store; one has a line that can't be read, another makes no tree."""
+    from pyspark.sql import Window as W
+
+    cur = cursors(spark, sf_dir)
+    lost = (F.col("tu") == "n5.cpp") & (F.col("kind") == "TRANSLATION_UNIT")
+    text = F.to_json(F.struct(*cur.columns))
+    lines = cur.where(~lost).withColumn("own", F.row_number().over(W.partitionBy("tu").orderBy("id"))).select("tu", F.when((F.col("tu") == "n2.cpp") & (F.col("own") == 3), F.lit("{broken")).otherwise(text).alias("value"))
+    folder, state = shared_dir(spark, "cursor-files"), shared_dir(spark, "stream")
+    lines.repartition("tu").withColumn("unit", F.col("tu")).select("value", "unit").write.partitionBy("unit").text(folder)
+    store = ParquetStore(spark, shared_dir(spark, "store"), buckets=4)
+    for _ in range(2):  # started again, it reads nothing twice
+        stream = ingest_files(spark, f"{folder}/unit=*", store, f"{state}/errors", f"{state}/checkpoint")
+        stream.processAllAvailable()
+        stream.stop()
+    vertices = store.read().vertices.where(~F.col("t").isin("File", "Type", "Parameter"))
+    own = cur.select("tu", "usr").distinct()
+    errors = spark.read.schema("path string, tu string, error string, batch long").parquet(f"{state}/errors")
+    failed = errors.select(F.coalesce("tu", F.regexp_extract("path", r"unit=([^/]*)/", 1)).alias("tu"))
+    emitted = extract.classified(cur).where("emits").select("tu", "usr").distinct()
+    return emitted.join(failed, "tu", "left_anti").join(vertices.select("usr"), "usr", "left_semi").select("tu", "usr")
+
+
 def typed_cursors(spark, sf_dir):
     """Parts as variables of type '<brand> *', with functions returning it that have parameters."""
     part = tables.read(spark, sf_dir, "part")
@@ -718,13 +786,13 @@ def point_in_extent(spark, sf_dir):
 
 
 @query(f"""{CUR}, u AS (SELECT DISTINCT usr FROM cur WHERE kind = 'CXX_METHOD')
-SELECT DISTINCT c.referenced_usr AS usr, c.tu, c.file, c.line, c.col, CASE WHEN l.line IS NULL THEN '' ELSE 'line ' || l.line END AS context_snippet
+SELECT DISTINCT c.referenced_usr AS usr, c.tu, c.file, c.line, c.col, CASE WHEN l.line IS NULL THEN '' ELSE 'line  ' || l.line END AS context_snippet
 FROM cur c JOIN u ON u.usr = c.referenced_usr LEFT JOIN (SELECT DISTINCT file, line FROM cur WHERE kind = 'CXX_METHOD') l ON l.file = c.file AND l.line = c.line""")
 def references_with_snippet(spark, sf_dir):
     cur = cursors(spark, sf_dir)
     hits = position.references_to(cur.where("kind = 'CXX_METHOD'").select("usr"), cur)
-    lines = cur.where("kind = 'CXX_METHOD'").select("file", "line", F.concat(F.lit("  line "), F.col("line").cast("string"), F.lit(" ")).alias("text")).distinct()
-    return position.with_snippets(hits, lines)
+    lines = cur.where("kind = 'CXX_METHOD'").select("file", "line", F.concat(F.lit("\t\u2003line  "), F.col("line").cast("string"), F.lit(" \r\x0b")).alias("text")).distinct()
+    return position.with_snippets(hits, lines).drop("seq")
 
 
 @query(f"""{CUR}, pts AS (SELECT tu, file, line AS p_line, 25 AS p_col, id FROM cur WHERE kind = 'DECL_REF_EXPR'),
@@ -738,13 +806,16 @@ def definition_lookup(spark, sf_dir):
     return position.definitions(points, cur).select("tu", "file", "p_line", "p_col", "found", "usr", "def_line")
 
 
-@query(f"""{CUR}, h AS (SELECT DISTINCT c.referenced_usr AS usr, tu, file, line, col FROM cur c WHERE referenced_usr IN (SELECT usr FROM cur WHERE kind = 'CXX_METHOD'))
-SELECT count(*) AS total, count(*) > 1000 AS truncated, greatest(count(*) - 1000, 0)::BIGINT AS omitted_count, least(count(*), 1000)::BIGINT AS shown FROM h""")
+CAP = """h AS (SELECT c.referenced_usr AS usr, tu, file, line, col, min(id) AS seq FROM cur c WHERE referenced_usr IN (SELECT usr FROM cur WHERE kind = 'CXX_METHOD') GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY usr, tu ORDER BY seq) AS n FROM h)"""
+
+
+@query(f"{CUR}, {CAP} SELECT usr, tu, count(*) AS total, count(*) > 2 AS truncated, greatest(count(*) - 2, 0)::BIGINT AS omitted_count, max(seq) FILTER (n <= 2) AS last_shown FROM k GROUP BY usr, tu")
 def references_capped(spark, sf_dir):
-    """The cap is the feature: the first 1000 references, and how many there are besides."""
+    """The cap is the feature: of each symbol and unit the first two references in preorder, and how many there are besides."""
     cur = cursors(spark, sf_dir)
-    rows, summary = position.capped(position.references_to(cur.where("kind = 'CXX_METHOD'").select("usr"), cur), 1000)
-    return summary.crossJoin(rows.agg(F.count("*").alias("shown")))
+    rows, summary = position.capped(position.references_to(cur.where("kind = 'CXX_METHOD'").select("usr"), cur), 2)
+    return summary.join(rows.groupBy("usr", "tu").agg(F.max("seq").alias("last_shown")), ["usr", "tu"])
 
 
 TYPED = "kind AS type_spelling, CASE WHEN kind = 'VAR_DECL' THEN 'int' END AS canonical_type, id % 100 - 1 AS size_bytes, kind = 'FIELD_DECL' AS is_const"
@@ -770,7 +841,8 @@ def ast(spark, sf_dir):
 AST_BYTES = "(length(id::VARCHAR) + length(kind) + length(spelling) + length(usr) + length('int') + length('NONE') + length(line::VARCHAR) + length(col::VARCHAR) + length(end_line::VARCHAR) + length(end_col::VARCHAR) + 10 + 2 + 18 + 68 + 40)"
 
 
-@query(f"{CUR} SELECT c.tu, c.id FROM cur c LEFT JOIN cur p ON p.tu = c.tu AND p.id = c.parent_id LEFT JOIN cur g ON g.tu = p.tu AND g.id = p.parent_id WHERE c.line <= 50000 AND c.end_line >= 20000 AND (p.id IS NULL OR p.line <= 50000 AND p.end_line >= 20000) AND (g.id IS NULL OR g.line <= 50000 AND g.end_line >= 20000)")
+@query(f"""{CUR}, f AS MATERIALIZED (SELECT tu, id, parent_id, id // 10000000000 * 10000000000 AS class_id, line <= 50000 AND end_line >= 20000 AS fits FROM cur), bad AS MATERIALIZED (SELECT tu, id FROM f WHERE NOT fits)
+SELECT f.tu, f.id FROM f LEFT JOIN bad p ON p.tu = f.tu AND p.id = f.parent_id LEFT JOIN bad c ON c.tu = f.tu AND c.id = f.class_id WHERE f.fits AND p.id IS NULL AND c.id IS NULL""")
 def range_overlap(spark, sf_dir):
     return astscan.in_line_range(ast(spark, sf_dir), 20000, 50000, shared_writer(spark)).select("tu", "id")
 
@@ -895,16 +967,8 @@ def macro_uses_as_conditionals(spark, sf_dir):
     return preproc.macro_uses(used).select("tu", "start_line", "condition")
 
 
-#: (text, whether it may run)
-STATEMENTS = (
-    ("SELECT 1", True), ("WITH a AS (SELECT 1 AS x) SELECT * FROM a", True), ("DROP TABLE t", False), ("INSERT INTO t SELECT 1", False), ("SELECT reflect('java.lang.Runtime', 'exit')", False), ("SELECT * FROM parquet.`/x`", False),
-)
-#: (JSON verb, the error's code or '')
-VERB_TEXTS = (('{"query": "all_edges"}', ""), ("nope", "QUERY_PARSE_ERROR"), ("[]", "QUERY_PARSE_ERROR"), ('{"query": "drop"}', "QUERY_UNSUPPORTED"), ('{"query": "vertex_with_type", "args": {}}', "QUERY_PARSE_ERROR"))
-
-
-def literal(rows) -> str:
-    return ", ".join("(" + ", ".join(str(x).lower() if isinstance(x, bool) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
+def quoted(text: F.Column) -> F.Column:
+    return F.concat(F.lit("'"), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
 
 
 def code_of(action) -> str:
@@ -915,20 +979,78 @@ def code_of(action) -> str:
     return ""
 
 
-@query(f"SELECT * FROM (VALUES {literal(STATEMENTS)}) AS t(statement, allowed)")
+#: Statements about a text, with {t} for its literal and {p} for a path; the first ones may run.
+STATEMENTS = (
+    "SELECT {t} AS t", "WITH a AS (SELECT {t} AS x) SELECT upper(x) FROM a WHERE EXISTS (SELECT 1 FROM nation)", "INSERT INTO nation SELECT {t}", "SELECT reflect('java.lang.String', 'valueOf', {t})",
+    "SELECT 1 WHERE {t} IN (SELECT value FROM text.`/{p}`)", "SELECT * FROM `org.apache.spark.sql.execution.datasources.text.TextFileFormat`.`/{p}`", "SELECT (SELECT max(java_method('java.lang.String', 'valueOf', {t})) FROM nation)",
+)
+
+
+@query(f"SELECT doc_id, doc_id % {len(STATEMENTS) + 1} < 2 AS allowed FROM documents")
 def read_only_guard(spark, sf_dir):
-    return spark.createDataFrame([(text, not code_of(lambda: check(spark, text))) for text, _ in STATEMENTS], "statement string, allowed boolean")
+    """Documents' texts as statements, and statements about them; a statement is parsed by the driver, one after another."""
+    with_views(spark, sf_dir, "nation")
+    text = F.coalesce("text", F.lit(""))
+    forms = [F.replace(F.replace(F.lit(x), F.lit("{t}"), quoted(text)), F.lit("{p}"), F.col("doc_id").cast("string")) for x in STATEMENTS] + [text]
+    rows = tables.read(spark, sf_dir, "documents").select("doc_id", F.get(F.array(*forms), (F.col("doc_id") % len(forms)).cast("int")).alias("statement"))
+    found = [(r.doc_id, not code_of(lambda r=r: check(spark, r.statement))) for r in rows.toLocalIterator()]
+    return spark.createDataFrame(found, "doc_id long, allowed boolean")
+
+
+#: JSON verbs about an event, with {e} for its type, and their errors' codes.
+VERB_TEXTS = (
+    ('{"query": "all_edges"}', ""), ('{"query": "vertex_with_type", "args": {"t": "{e}"}}', ""), ('{"query": "vertex_with_property_equal", "args": {"name": "{e}", "value": {n}}}', ""), ("{e}", "QUERY_PARSE_ERROR"), ("[{n}]", "QUERY_PARSE_ERROR"),
+    ('{"query": "{e}"}', "QUERY_UNSUPPORTED"), ('{"query": "vertex_with_type", "args": {"{e}": 1}}', "QUERY_PARSE_ERROR"), ('{"query": "pipe", "args": {"vertex_id": "{n}", "direction": "outbound"}}', "QUERY_PARSE_ERROR"), ('{"query": "vertex_with_type", "args": {"t": "{e}-{n}"}}', "QUERY_PARSE_ERROR"),
+)
 
 
-@query(f"SELECT * FROM (VALUES {literal(VERB_TEXTS)}) AS t(query, code)")
+@query(f"SELECT event_id, [{', '.join(repr(code) for _, code in VERB_TEXTS)}][1 + event_id % {len(VERB_TEXTS)}] AS code FROM events")
 def verb_errors(spark, sf_dir):
-    return spark.createDataFrame([(text, code_of(lambda: verbs_json.parse(text))) for text, _ in VERB_TEXTS], "query string, code string")
+    """Verbs made from events, checked as they come."""
+    forms = [F.replace(F.replace(F.lit(x), F.lit("{e}"), F.col("event_type")), F.lit("{n}"), F.col("event_id").cast("string")) for x, _ in VERB_TEXTS]
+    return tables.read(spark, sf_dir, "events").select("event_id", verbs_json.code_of(F.get(F.array(*forms), (F.col("event_id") % len(forms)).cast("int"))).alias("code"))
+
+
+WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+PLANTED = "replace(replace(coalesce(text, ''), '. ', '.' || chr(9) || chr(13) || chr(10) || chr(8195)), 'a', 'a')"
+LINES = f"(SELECT doc_id, CASE WHEN l[len(l)] = '' THEN l[:len(l) - 1] ELSE l END AS l FROM (SELECT doc_id, string_split_regex({PLANTED}, '\\r\\n|\\r|\\n') AS l FROM documents))"
+
+
+def planted_lines(spark, sf_dir):
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(".\t\r\n\u2003"))
+    return preproc.source_lines(tables.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), text.alias("text")))
 
 
-@query("SELECT doc_id, i::INT AS line, trim(l, ' ' || chr(9)) AS snippet FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)")
+@query(f"SELECT doc_id, i::INT AS line, regexp_replace(l[i], '^{WHITE}+|{WHITE}+$', '', 'g') AS snippet FROM {LINES}, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)")
 def source_line_snippets(spark, sf_dir):
-    lines = preproc.source_lines(tables.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), "text"))
-    return lines.select(F.col("file").alias("doc_id"), "line", F.btrim("text", F.lit(" \t")).alias("snippet"))
+    """Lines that end in CR LF too, without tabs, CR and wide spaces around them."""
+    return planted_lines(spark, sf_dir).select(F.col("file").alias("doc_id"), "line", preproc.stripped(F.col("text")).alias("snippet"))
+
+
+@query(f"""WITH p AS (SELECT doc_id, (doc_id % 6)::INT AS line, (doc_id % 90)::INT AS col, l FROM {LINES}) SELECT doc_id, line, col, CASE WHEN line < 1 OR col < 1 THEN 'lines and columns count from 1'
+  WHEN line > greatest(len(l), 1) THEN 'the line is beyond the end of the file' ELSE 'the column is beyond the end of the line' END AS error
+FROM p WHERE line < 1 OR col < 1 OR line > greatest(len(l), 1) OR col > coalesce(length(l[line]), 0) + 1""")
+def position_errors(spark, sf_dir):
+    points = tables.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), (F.col("doc_id") % 6).cast("int").alias("line"), (F.col("doc_id") % 90).cast("int").alias("col"))
+    lines = planted_lines(spark, sf_dir)
+    # a document without text is a file without lines, not one that can't be read
+    empty = points.select("file").join(lines.select("file").distinct(), "file", "left_anti").select("file", F.lit(1).alias("line"), F.lit("").alias("text"))
+    return position.position_errors(points, lines.unionByName(empty)).withColumnRenamed("file", "doc_id")
+
+
+AST_JSON = """'{{"id":' || {a}.id || ',"kind":"' || {a}.kind || '","spelling":"' || {a}.spelling || '","usr":"' || {a}.usr || '","type":"int","storage_class":"NONE","start_line":' || {a}.line || ',"start_col":' || {a}.col || ',"end_line":' || {a}.end_line || ',"end_col":' || {a}.end_col"""
+
+
+@query(f"""{CUR}, r AS (SELECT *, {AST_BYTES} AS b FROM cur), s AS (SELECT *, row_number() OVER (PARTITION BY tu ORDER BY id) AS n, sum(b) OVER (PARTITION BY tu ORDER BY id) AS s FROM r),
+k AS MATERIALIZED (SELECT *, {AST_JSON.format(a='s')} || ',"children":[' AS j FROM s WHERE n <= 500 AND s - b < 80000),
+k3 AS (SELECT tu, parent_id, string_agg(j || ']}}', ',' ORDER BY id) AS kids FROM k WHERE id % 10000000000 > 9 AND id % 10 > 0 GROUP BY ALL),
+k2 AS (SELECT k.tu, k.parent_id, string_agg(j || coalesce(k3.kids, '') || ']}}', ',' ORDER BY k.id) AS kids FROM k LEFT JOIN k3 ON k3.tu = k.tu AND k3.parent_id = k.id WHERE k.id % 10000000000 > 0 AND (k.id % 10 = 0 OR k.id % 10000000000 < 10) GROUP BY ALL),
+k1 AS (SELECT k.tu, k.parent_id, string_agg(j || coalesce(k2.kids, '') || ']}}', ',' ORDER BY k.id) AS kids FROM k LEFT JOIN k2 ON k2.tu = k.tu AND k2.parent_id = k.id WHERE k.id > 0 AND k.id % 10000000000 = 0 GROUP BY ALL)
+SELECT k.tu, md5(j || coalesce(k1.kids, '') || ']}}') AS digest FROM k LEFT JOIN k1 ON k1.tu = k.tu AND k1.parent_id = k.id WHERE k.id = 0""".replace("]}}'", "]}'"))
+def ast_trees(spark, sf_dir):
+    """One JSON text for each unit, within the budget: 500 nodes or 80,000 bytes."""
+    kept = astscan.budget_cut(ast(spark, sf_dir), 500, 80_000).drop("truncated")
+    return astscan.tree_texts(kept, 8, shared_writer(spark)).select("tu", F.md5("tree").alias("digest"))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 4 IN (0, 1) THEN '-O' || (c_custkey % 4) || ' -DX' ELSE '-std=c++17' END AS flags, CASE WHEN c_custkey % 4 IN (0, 1) THEN 'compilation_db' ELSE 'default' END AS flags_source FROM customer""")
