@@ -1,18 +1,19 @@
 """Exact top-k inner products: block-at-a-time pruning over document-range blocks.
 
-Vectors become small integers; a dimension is a term, a vector's component its weight. Candidates are cut into ranges
-of ids, these into blocks that keep each dimension's largest and smallest weight, and their vectors (the forward index).
+Vectors become small integers; a dimension is a term, a vector's component its weight. Candidates are cut into blocks of BLOCK
+ids that follow one another; a block keeps each dimension's largest and smallest weight, and its vectors (the forward index).
 For a query, a block's bound is the sum over dimensions of the larger of weight times maximum and weight times minimum.
-Blocks are taken in the order of their bounds and scored whole, until the next bound is below the k-th best score so
-far; equal bounds are still scored, as a smaller id may win. So nothing that could be in the result is left out.
 
-Queries and candidates meet in cells of a grid of bounded size: each range of candidates meets each range of queries
-once, as one row of either side for each cell. Each range of queries meets one range of candidates first; the k-th best
-score there is where the other cells begin. The k best of each cell are ranked once more over all cells.
+The k-th best score of a query's own block is where it begins: blocks with bounds below it aren't read (see vectors.py). Of
+a range of those that are, the blocks are taken in the order of their bounds and scored whole, until the next bound is below
+the k-th best score so far; equal bounds are still scored, as a smaller id may win. So nothing that could be in the result is
+left out. The k best of each range are ranked once more over all ranges.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,22 +21,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut_lineage
+from .vectors import BLOCK, EXACT, GROUP, SCALE, TOGETHER, blocks_of, choose, matrix, meet, quantized, queries_of, zones_of
 
-K, SCALE = 5, 256
-#: Rows of a block, of a range of candidates and of a range of queries.
-BLOCK, CANDIDATES, QUERIES = 128, 8192, 2048
-#: Sums of products below this are exact in doubles; larger ones are summed as Python integers.
-EXACT = 2.0**53
-
-
-def quantized(df: DataFrame, vector: str, scale: float, *more: Column) -> DataFrame:
-    """(vec_id, x) and more: floor(scale * component) as doubles; without vectors that are null or hold null, NaN or infinity."""
-    def whole(v: Column) -> Column:
-        y = v.cast("double") * scale
-        return F.when(F.abs(y) >= 2.0**52, y).otherwise(F.floor(y).cast("double"))  # the larger ones are whole already
-
-    bad = F.exists(vector, lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) == float("inf")))
-    return df.where(F.col(vector).isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(vector, whole).alias("x"), *more)
+K = 5
 
 
 def cell(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, least: list[int | None] | None = None, block: int = BLOCK) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -66,54 +54,38 @@ def cell(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k
     return out
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = K, *, vector: str = "embedding", scale: float = SCALE, candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = K, *, vector: str = "embedding", scale: float = SCALE, block: int = BLOCK, together: int = TOGETHER, group: int = GROUP) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row with is_query (over vec_id) its k best other rows.
 
-    A query's own rows are those with its vec_id. Repeated rows count once. Ties go to the smaller id; fewer than k
+    Rows are known by their id: of several with one id the one with the least vector takes part. Ties go to the smaller id; fewer than k
     candidates give fewer rows. Vectors of other lengths than the query's aren't its candidates. Vectors that are
     null, empty of meaning (null, NaN, infinite components) or without id take no part; no rows give none; other columns
     are ignored. Scores are whole numbers; one beyond 64 bits raises an error.
     """
-    rows = quantized(vectors, vector, scale).distinct()
-    sized = rows.withColumn("n", F.size("x"))
-    counts = sized.groupBy("n").agg(F.count("*").alias("c"), F.sum(F.when(is_query, 1).otherwise(0)).alias("q"))
-    # cells by length: ranges of hashed ids of about the given numbers of rows
-    cells = counts.select("n", F.ceil(F.col("c") / candidates).cast("int").alias("across"), F.greatest(F.lit(1), F.ceil(F.col("q") / queries)).cast("int").alias("down"))
-    placed = sized.join(cells, "n").withColumn("h", F.xxhash64("vec_id"))
-    column, line = F.pmod("h", "across").cast("int"), F.pmod(F.shiftright("h", 32), "down").cast("int")
-    # a range of queries begins with one range of candidates; ranges of queries are dealt over them
-    first = F.pmod("line", "across")
-    left = placed.select("n", "across", column.alias("column"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("line"), "vec_id", "x")
-    queries_of = placed.where(is_query).select("n", "across", line.alias("line"), F.col("vec_id").alias("query_id"), F.col("x").alias("y"))
-    none = F.lit(None).cast("long")
-    once = queries_of.select(F.col("n").alias("qn"), first.cast("int").alias("qcolumn"), F.col("line").alias("qline"), "query_id", "y", none.alias("least"))
-
-    def matrix(t: pa.Table, key: str, vector: str) -> tuple[np.ndarray, np.ndarray]:
-        values = t[vector].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        ids = t[key].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        return ids[order], values.reshape(len(ids), -1)[order]
-
-    def meet(c: pa.Table, q: pa.Table) -> pa.Table:
+    spark = vectors.sparkSession
+    one = quantized(vectors, vector, scale).groupBy("vec_id").agg(F.min("x").alias("x"))
+    rows = cut_lineage(spark, one.select("vec_id", "x", F.size("x").alias("d"), F.coalesce(is_query.cast("boolean"), F.lit(False)).alias("anchor"), F.lit(0).cast("long").alias("label"), F.lit(b"").alias("key")), "vectors")
+    count = rows.agg(F.count("*").alias("n"), F.count_if("anchor").alias("a")).first()
+    # without a place on a curve, blocks are ranges of ids
+    blocks = cut_lineage(spark, blocks_of(rows.select("d", "key", "vec_id", "label", "x", "anchor"), max(1, math.ceil(count.n / (block * together))), k, block, together), "blocks")
+    queries, groups, cells = queries_of(blocks, count.a, group)
+    asked = cut_lineage(spark, queries.select("d", "g", "anchor_id", "label", "y", F.array("least").alias("low"), F.array(F.lit(None).cast("long")).alias("high"), F.lit(True).alias("same")), "queries")
+    chosen = cut_lineage(spark, choose(asked, zones_of(blocks), groups, cells), "chosen")
+
+    def run(c: pa.Table, a: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
-        if not c.num_rows or not q.num_rows:
+        if not c.num_rows or not a.num_rows:
             return pa.table([pa.array([], pa.int64())] * 3, names)
-        (ids, x), (query_ids, y) = matrix(c, "vec_id", "x"), matrix(q, "query_id", "y")
-        known = dict(zip(q["query_id"].to_pylist(), q["least"].to_pylist()))
-        found = cell(ids, x, query_ids, y, k, [known[i] for i in query_ids.tolist()])
+        d, c = c["d"][0].as_py(), c.sort_by("block")
+        ids = c["ids"].combine_chunks().flatten().to_numpy()
+        query_ids, least = a["anchor_id"].to_numpy(), [v[0] for v in a["low"].to_pylist()]
+        found = cell(ids, matrix(c["x"].combine_chunks(), len(ids), d), query_ids, matrix(a["y"].combine_chunks(), a.num_rows, d), k, least, block)
         which = np.concatenate([f[2] for f in found]).astype(np.int64)
         score = [int(s) for f in found for s in f[1]]
         return pa.table([pa.array(query_ids[which]), pa.array(np.concatenate([f[0] for f in found])), pa.array(score, pa.int64())], names)
 
-    def over(candidates: DataFrame, asked: DataFrame) -> DataFrame:
-        return candidates.drop("across").groupBy("n", "column", "line").cogroup(asked.groupBy("qn", "qcolumn", "qline")).applyInArrow(meet, "query_id long, vec_id long, score long")
-
-    begun = cut_lineage(vectors.sparkSession, over(left.where(F.col("column") == first), once), "first-cells")
-    least = begun.groupBy(F.col("query_id").alias("of")).agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
-    others = queries_of.where("across > 1").join(least, F.col("query_id") == F.col("of"), "left")
-    others = others.select(F.col("n").alias("qn"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("qcolumn"), F.col("line").alias("qline"), "query_id", "y", "least", "across").where(F.col("qcolumn") != F.pmod("qline", "across"))
-    met = begun.union(over(left.where((F.col("across") > 1) & (F.col("column") != first)), others.drop("across")))
     by_score = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    met = meet(blocks, chosen, asked, run, "query_id long, vec_id long, score long")
     return met.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import mining
+from graphloom.llm import mining, vectors
 
 SCHEMA = "vec_id long, embedding array<double>, label int"
 
@@ -89,7 +89,7 @@ def test_zone_maps_leave_blocks_out(spark):
     y = x[:12]
     best = [float(np.sort(x @ v)[-6]) for v in y]
     asked = pa.table({"y": list(y), "label": [0] * 12, "low": [[int(b * 0.8)] for b in best], "high": [[int(b)] for b in best], "same": [False] * 12})
-    need = mining.needed(zones, asked, 16)
+    need = vectors.needed(zones, asked, 16)
     assert 0 < need.mean() < 0.35
     for j, v in enumerate(y):  # nothing that is asked for lies in a block left out
         inside = {n for n in range(60) if any(best[j] * 0.8 <= s <= best[j] for s in x[order[n * 20 : n * 20 + 20]] @ v)}

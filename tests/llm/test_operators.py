@@ -459,7 +459,7 @@ def test_top_k(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist()), (500, x[7].tolist()), (600, None), (601, [1.0, None] + [0.0] * 6), (602, [float("nan")] * 8), (603, [float("inf")] * 8), (604, []), (605, [1.0]), (650, [2.0]), (None, x[3].tolist())]
     df = spark.createDataFrame([(i, v, "z") for i, v in rows], "vec_id long, embedding array<double>, score string")
     got = {}
-    for r in topk.top_k(df, F.col("vec_id") % 50 == 0, candidates=64, queries=3).collect():
+    for r in topk.top_k(df, F.col("vec_id") % 50 == 0, block=16, together=4, group=3).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     clean = {i: tuple(math.floor(256 * c) for c in v) for i, v in rows if i is not None and v and all(c is not None and math.isfinite(c) for c in v)}
     for q in (i for i in clean if i % 50 == 0):
@@ -542,9 +542,9 @@ def test_thresholds_of_a_first_cell_lose_nothing(spark):
     rng = np.random.default_rng(9)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(400)] + [(1000 + i, [float(i)] * 3) for i in range(4)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    for candidates, queries in ((7, 3), (50, 100), (1000, 5)):
+    for block, together, group in ((3, 2, 3), (10, 5, 100), (128, 64, 5)):
         got = {}
-        for r in topk.top_k(df, F.col("vec_id") % 10 == 0, scale=1, candidates=candidates, queries=queries).collect():
+        for r in topk.top_k(df, F.col("vec_id") % 10 == 0, scale=1, block=block, together=together, group=group).collect():
             got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
         for q, v in rows:
             if q % 10 == 0:
