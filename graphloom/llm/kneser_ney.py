@@ -190,6 +190,7 @@ class Model:
     pair_discount: tuple[float, ...] = (0.75, 0.75, 0.75)
     word_discount: tuple[float, ...] = (0.75, 0.75, 0.75)
     word_left: float = 1.0  # what the discounts leave for the uniform distribution
+    names: frozenset[str] = frozenset()  # of the files that were written; a range without words or pairs has none
     files: OrderedDict = field(default_factory=OrderedDict, repr=False)
 
     @property
@@ -204,6 +205,8 @@ class Model:
             while len(self.files) >= OPEN_FILES:
                 self.files.popitem(last=False)
             self.files[name] = mapped(self.url, name)
+            if self.files[name] is None and name in self.names:
+                raise FileNotFoundError(f"{self.url}/{name}")
         return self.files[name]
 
     # a pair of numbers as one key of 2 * bits bits, in which the upper ones are mixed
@@ -352,9 +355,17 @@ def train(spark: SparkSession, docs: DataFrame, train_where: Column) -> Model:
             _count_trigrams(model, texts)
             _count_pairs(spark, model)
     model.files.clear()
+    model.names = written(spark, model.url)
     return model
 
 
+def written(spark: SparkSession, url: str) -> frozenset[str]:
+    """The names of a folder's files."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(url)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return frozenset(x.getPath().getName() for x in store.listStatus(path)) if store.exists(path) else frozenset()
+
+
 def _count_words(model: Model, texts: DataFrame) -> None:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tokens, _ in blocks(batches):

@@ -550,3 +550,14 @@ def test_thresholds_of_a_first_cell_lose_nothing(spark):
             if q % 10 == 0:
                 best = sorted((-int(sum(a * b for a, b in zip(v, w))), i) for i, w in rows if i != q and len(w) == len(v))[:5]
                 assert sorted(got.get(q, [])) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+
+
+def test_a_lost_model_file_is_an_error(spark):
+    import os
+
+    docs = spark.createDataFrame([(i, f"some words w{i % 7} and others again") for i in range(40)], "doc_id long, text string")
+    model = kneser_ney.train(spark, docs, F.lit(True))
+    assert kneser_ney.score(docs, model).count() == 40 and {n.partition("-")[0] for n in model.names} == {"words", "pairs", "before", "sums"}
+    os.remove(kneser_ney.local_path(model.url) + "/" + sorted(model.names)[-1])
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        kneser_ney.score(docs, model).collect()
