@@ -21,7 +21,7 @@ from .plans import verbs_json
 from .plans.guard import check, read_only_sql
 from .sources import tables
 from .sources.cursor_view import CURSORS_SQL, cursors
-from .sources.files import flags_of, resolve_flags
+from .sources.files import compile_db, flags_of, resolve_flags, source_files
 from .sources.store import ParquetStore, changed_documents, edge_documents, node_documents
 from .sources.units import UnitCache, unit_rows
 from .streaming.ingest import ingest_files, unit_errors
@@ -1064,6 +1064,38 @@ def resolve_compile_flags(spark, sf_dir):
     return found.select("c_custkey", F.array_join("flags", " ").alias("flags"), "flags_source")
 
 
+def put(spark, path: str, text: str) -> None:
+    """Writes a small file, as another program would."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 4 < 2 THEN '-O' || (s_suppkey % 4) || ' -DN=' || s_nationkey ELSE '-std=c++20' END AS flags, CASE WHEN s_suppkey % 4 < 2 THEN 'compilation_db' ELSE 'default' END AS flags_source FROM supplier""")
+def compile_database(spark, sf_dir):
+    """Flags from a folder's compile_commands.json: commands, lists of arguments, entries that can't be told, and files without one."""
+    suppliers = tables.read(spark, sf_dir, "supplier")
+    file = F.concat(F.lit("/src/s"), F.col("s_suppkey").cast("string"), F.lit(".cpp"))
+    flag, number = F.concat(F.lit("-O"), (F.col("s_suppkey") % 4).cast("string")), F.concat(F.lit("-DN="), F.col("s_nationkey").cast("string"))
+    odd = F.when(F.col("s_suppkey") % 4 == 2, " -- ").otherwise(" ")
+    command = F.when(F.col("s_suppkey") % 4 != 1, F.concat(F.lit("c++ "), flag, F.lit(" "), number, odd, file))
+    entries = suppliers.where("s_suppkey % 4 < 3").select(F.struct(F.lit("/src").alias("directory"), command.alias("command"), F.when(F.col("s_suppkey") % 4 == 1, F.array(F.lit("c++"), flag, number, file)).alias("arguments"), F.element_at(F.split(file, "/"), -1).alias("file")).alias("e"))
+    folder = shared_dir(spark, "build")
+    put(spark, f"{folder}/compile_commands.json", entries.agg(F.to_json(F.collect_list("e")).alias("text")).first().text or "[]")
+    found = resolve_flags(suppliers.select("s_suppkey", file.alias("file")), compile_db(spark, folder), ["-std=c++20"])
+    return found.select("s_suppkey", F.array_join("flags", " ").alias("flags"), "flags_source")
+
+
+@query("SELECT n_name AS text, 'd' || (n_nationkey % 3) || '/n' || n_nationkey || ['.cpp', '.h', '.txt', '.cc'][1 + n_nationkey % 4] AS path, strlen(n_name) AS length FROM nation WHERE n_nationkey % 4 <> 2")
+def source_file_list(spark, sf_dir):
+    """Source files of a folder and those below it, by their endings; a file for each nation."""
+    folder = shared_dir(spark, "sources")
+    for r in tables.read(spark, sf_dir, "nation").collect():
+        put(spark, f"{folder}/d{r.n_nationkey % 3}/n{r.n_nationkey}{('.cpp', '.h', '.txt', '.cc')[r.n_nationkey % 4]}", r.n_name)
+    return source_files(spark, folder).select("text", F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("path"), "length")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

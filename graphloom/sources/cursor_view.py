@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import read
+
 COLUMNS = ("tu", "id", "parent_id", "kind", "usr", "spelling", "file", "line", "col", "end_line", "end_col", "is_definition", "referenced_usr", "definition_usr", "access", "included_file")
 CLASS_KIND = "CASE c_custkey % 4 WHEN 0 THEN 'CLASS_DECL' WHEN 1 THEN 'STRUCT_DECL' WHEN 2 THEN 'UNION_DECL' ELSE 'NAMESPACE' END"
 MEMBER_KIND = "CASE o_orderkey % 5 WHEN 0 THEN 'CXX_METHOD' WHEN 1 THEN 'CONSTRUCTOR' WHEN 2 THEN 'FIELD_DECL' WHEN 3 THEN 'FUNCTION_DECL' ELSE 'VAR_DECL' END"
@@ -49,7 +51,7 @@ CURSORS_SQL = TEMPLATE.format(string="VARCHAR")
 
 
 def cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "customer", "orders", "lineitem")}
+    tables = {t: read(spark, sf_dir, t) for t in ("nation", "customer", "orders", "lineitem")}
     text = TEMPLATE.format(string="STRING")
     for t in tables:
         text = text.replace(f"FROM {t}\n", f"FROM {{{t}}}\n").replace(f"FROM {t} ", f"FROM {{{t}}} ").replace(f"JOIN {t} ", f"JOIN {{{t}}} ")

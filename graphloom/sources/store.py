@@ -13,12 +13,13 @@ have get columns of their own beside the map, on which filters are pushed to the
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import uuid
 from collections import Counter
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 from urllib.parse import unquote
 
@@ -348,32 +349,54 @@ def changed_documents(known: DataFrame, documents: DataFrame) -> DataFrame:
     return new.join(old, "key", "left").where(~F.col("document").eqNullSafe(F.col("old"))).select("key", "document", F.col("old").isNull().alias("is_new"))
 
 
+@dataclass
+class Documents:
+    """The manifest of a document store: folders of documents, the later ones' taking the place of the earlier ones'."""
+
+    version: int = 0
+    folders: list[str] = field(default_factory=list)
+
+    def dump(self) -> str:
+        return json.dumps(self.folders)
+
+
 class DocumentStore:
-    """JSON documents by key: new keys are added, and a known key's changed document takes the place of the old one."""
+    """JSON documents by key: new keys are added, and a known key's changed document takes the place of the old one.
 
-    SCHEMA = "key string, document string, version long"
+    A write is a folder of its own, which a numbered manifest adds to the others; of two writers that began alike the second
+    is refused, so no two documents of a key have one version.
+    """
+
+    SCHEMA = "key string, document string"
 
     def __init__(self, spark: SparkSession, url: str):
         self.spark, self.url = spark, url.rstrip("/")
+        self.manifests = Manifests(spark, self.url)
 
-    def _rows(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(self.SCHEMA).json(self.url)
-        except Exception as e:  # no folder yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], self.SCHEMA)
+    def manifest(self) -> Documents:
+        n = self.manifests.version()
+        return Documents(n, json.loads(self.spark.read.text(f"{self.url}/manifests/{n:012d}.json", wholetext=True).first()[0])) if n else Documents()
 
-    def read(self) -> DataFrame:
+    def read(self, m: Documents | None = None) -> DataFrame:
         """(key, document), the latest of each key."""
-        return self._rows().groupBy("key").agg(F.max_by("document", F.coalesce("version", F.lit(0))).alias("document"))
+        m, out = m or self.manifest(), None
+        for n, folder in enumerate(m.folders):
+            part = self.spark.read.schema(self.SCHEMA).json(f"{self.url}/data/{folder}").withColumn("n", F.lit(n))
+            out = part if out is None else out.unionByName(part)
+        if out is None:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return out.groupBy("key").agg(F.max_by("document", "n").alias("document"))
 
     def upsert(self, documents: DataFrame) -> int:
         """Writes what is new or changed; the number of new keys."""
-        version = (self._rows().agg(F.max(F.coalesce("version", F.lit(0)))).first()[0] or 0) + 1
-        new = cut_lineage(self.spark, changed_documents(self.read(), documents), "documents")
-        new.select("key", "document", F.lit(version).alias("version")).write.mode("append").json(self.url)
-        return new.where("is_new").count()
+        m = self.manifest()
+        new = cut_lineage(self.spark, changed_documents(self.read(m), documents), "documents")
+        counts = new.agg(F.count("*").alias("n"), F.count_if("is_new").alias("new")).first()
+        if counts.n:
+            folder = f"documents-{uuid.uuid4().hex}"
+            new.select("key", "document").write.json(f"{self.url}/data/{folder}")
+            self.manifests.publish(Documents(m.version, [*m.folders, folder]))
+        return counts.new
 
 
 SCHEMES = {"parquet": ParquetStore, "documents": DocumentStore}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.scalars import properties
 from ..model import Graph, edges_from, empty_props, vertices_from
@@ -35,8 +36,15 @@ def usr_sql(table: str, columns: list[str]) -> str:
     return " || ':' || ".join([f"'{table}'", *[f"({c})::VARCHAR" for c in columns]])
 
 
+#: Schemas by path: the graph has all tables, and looking a schema up in a file is a job of its own.
+_schemas: dict[str, StructType] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    path = f"{sf_dir}/{table}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def vertices(spark: SparkSession, sf_dir: str, *labels: str) -> DataFrame:

@@ -272,6 +272,11 @@ def test_store_and_stream(spark, cursors, tmp_path):
     assert docs.upsert(node_documents(v)) == 1 and docs.upsert(node_documents(v)) == 0
     changed = node_documents(spark.createDataFrame([("i", "t", "u", {"a": "1"}), ("j", "t", "w", {})], VERTEX_SCHEMA))
     assert docs.upsert(changed) == 1 and {r.document for r in docs.read().collect()} == {r.document for r in changed.collect()}
+    stale = docs.manifest()
+    assert docs.upsert(node_documents(spark.createDataFrame([("k", "t", "z", {})], VERTEX_SCHEMA))) == 1
+    with pytest.raises(GraphError):  # a second writer that began alike
+        docs.manifests.publish(stale)
+    assert docs.read().count() == 3
     for bad in ("nowhere", "bolt://x"):
         with pytest.raises(GraphError):
             open_store(spark, bad)

@@ -9,7 +9,7 @@ from graphloom import queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ("verb_vertex_with_type", "verb_vertex_prop_equal_bool_int", "verb_pipe_in", "verb_row_limit", "describe_edge_types", "describe_keys_sampled", "upsert_vertices", "upsert_edges_dangling", "first_wins_dedup", "directive_pairing", "ast_budget_cut", "ast_depth_cut", "cypher_two_hops", "token_scans", "extract_containment", "extract_inheritance", "extract_references", "extract_calls", "range_overlap", "orphan_targets", "orphaned_includes", "pattern_any_length", "pattern_optional_with_condition", "pattern_results", "type_infos", "references_capped", "failing_units")
+SOME = ("verb_vertex_with_type", "verb_vertex_prop_equal_bool_int", "verb_pipe_in", "verb_row_limit", "describe_edge_types", "describe_keys_sampled", "upsert_vertices", "upsert_edges_dangling", "first_wins_dedup", "directive_pairing", "ast_budget_cut", "ast_depth_cut", "cypher_two_hops", "token_scans", "extract_containment", "extract_inheritance", "extract_references", "extract_calls", "range_overlap", "orphan_targets", "orphaned_includes", "pattern_any_length", "pattern_optional_with_condition", "pattern_results", "type_infos", "references_capped", "failing_units", "pattern_chained", "position_errors", "source_line_snippets", "verb_errors", "compile_database", "point_in_extent", "store_pipe", "ast_trees")
 
 
 def test_each_query_has_sql():
