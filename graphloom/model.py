@@ -40,6 +40,14 @@ class Graph:
         found = self.edges.where(F.col(f"{direction}_id").isin(ids))
         return found if t is None else found.where(F.col("t") == t)
 
+    def vertices_in(self, ids: DataFrame) -> DataFrame:
+        """Vertices whose id is in a table (id)."""
+        return self.vertices.join(ids.select("id"), "id", "left_semi")
+
+    def edges_in(self, keys: DataFrame) -> DataFrame:
+        """Edges whose key is in a table (outbound_id, t, inbound_id)."""
+        return self.edges.join(keys.select(*EDGE_KEY), list(EDGE_KEY), "left_semi")
+
     def vertices_with(self, name: str, value: object) -> DataFrame:
         return self.vertices.where(equals(F.try_element_at("props", F.lit(name)), value))
 

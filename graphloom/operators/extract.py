@@ -65,14 +65,14 @@ def in_context(cursors: DataFrame, checkpoint: Checkpoint | None = None) -> Data
     Nothing below a parameter or an inclusion is reached.
     """
     checkpoint = checkpoint or shared_writer(cursors.sparkSession)
-    nodes = classified(cursors)
+    nodes = checkpoint(classified(cursors))  # read twice below; what cursors are made from isn't computed twice
     stops = {
         "end": F.col("kind").isin("PARM_DECL", "INCLUSION_DIRECTIVE"),
         "parent": F.col("emits") | ~F.col("own_file"),
         "function": F.col("emits") & F.col("kind").isin(*FUNCTION_KINDS),
     }
     # what the search for ancestors needs is narrow; all other columns are read once, at the end
-    narrow = checkpoint(nodes.select("tu", "id", "parent_id", "usr", "kind", "own_file", *[v.alias(k) for k, v in stops.items()]))
+    narrow = nodes.select("tu", "id", "parent_id", "usr", "kind", "own_file", *[v.alias(k) for k, v in stops.items()])
     found = nearest_ancestors(narrow, {k: F.col(k) for k in stops}, checkpoint)
     stopping = narrow.where("end OR parent OR function")
     names = stopping.select("tu", F.col("id").alias("ancestor"), F.col("usr").alias("a_usr"), F.col("kind").alias("a_kind"), F.col("own_file").alias("a_own"))

@@ -60,12 +60,12 @@ def pipe(g: Graph, vertex_id: str, direction: str, t: str | None = None, limit:
 
 def specific_vertices(g: Graph, ids: DataFrame) -> DataFrame:
     """Vertices of the given ids (id)."""
-    return g.vertices.join(ids.select("id"), "id", "left_semi")
+    return g.vertices_in(ids)
 
 
 def specific_edges(g: Graph, keys: DataFrame) -> DataFrame:
     """Edges of the given keys (outbound_id, t, inbound_id)."""
-    return g.edges.join(keys.select(*EDGE_KEY), list(EDGE_KEY), "left_semi")
+    return g.edges_in(keys)
 
 
 def attach_properties(items: DataFrame, props: DataFrame, key: list[str]) -> DataFrame:

@@ -319,6 +319,17 @@ class StoredGraph(Graph):
         types = self.types if t is None else {t} if self.types is None or t in self.types else set()
         return self.store._rows(kind, self.manifest.holding(kind, ids, types), F.col(f"{direction}_id").isin(ids))
 
+    def vertices_in(self, ids: DataFrame) -> DataFrame:
+        """By the ids if they are few, else from the buckets that they touch."""
+        return self._of_types(self.store._known(self.manifest, "vertices", ids, "id"))
+
+    def edges_in(self, keys: DataFrame) -> DataFrame:
+        known = self._of_types(self.store._known(self.manifest, "edges", keys, "outbound_id"))
+        return known.join(keys.select(*EDGE_KEY), list(EDGE_KEY), "left_semi")
+
+    def _of_types(self, rows: DataFrame) -> DataFrame:
+        return rows if self.types is None else rows.where(F.col("t").isin(*sorted(self.types)))
+
     def vertices_with(self, name: str, value: object) -> DataFrame:
         return self.store._rows("vertices", self.manifest.of("vertices", self.types), prop=(name, value))
 

@@ -1,8 +1,10 @@
 """The store against an upsert in plain Python: deltas, compaction, splits, look-ups, pushed filters, counts."""
 
 import io
+import json
 import os
 import random
+import uuid
 from contextlib import redirect_stdout
 
 import pytest
@@ -10,6 +12,7 @@ import pytest
 from graphloom.errors import GraphError
 from graphloom.model import EDGE_SCHEMA, VERTEX_SCHEMA, Graph
 from graphloom.operators import verbs
+from graphloom.plans.results import run_json
 from graphloom.sources import manifest
 from graphloom.sources.store import ParquetStore
 
@@ -124,6 +127,27 @@ def test_lookups_open_few_files(spark, large):
     assert {r.usr for r in verbs.pipe(g, "v000007", "inbound", limit=3).collect()} == {"u7", "u107", "u207"}
 
 
+def test_tables_of_ids_and_answers(spark, large):
+    store, _ = large
+    g = store.read()
+    ids = spark.createDataFrame([("v000004",), ("v000123",), ("nobody",)], "id string")
+    assert len(verbs.specific_vertices(g, ids).inputFiles()) <= 8 and {r.id for r in verbs.specific_vertices(g, ids).collect()} == {"v000004", "v000123"}
+    many = spark.range(0, 60_000, 20).selectExpr("format_string('v%06d', id) AS id")
+    assert verbs.specific_vertices(g, many).count() == 3000 and verbs.specific_vertices(store.read(types={"Q"}), ids).count() == 0
+    keys = spark.createDataFrame([("v000205", "R", "v000005"), ("v000205", "R", "v000006")], "outbound_id string, t string, inbound_id string")
+    assert [r.inbound_id for r in verbs.specific_edges(g, keys).collect()] == ["v000005"]
+
+
+def test_a_pipe_over_a_store_is_answered(spark, tmp_path):
+    ids = [str(uuid.UUID(int=i)) for i in range(5)]
+    store = ParquetStore(spark, f"file://{tmp_path}/g", buckets=2)
+    store.upsert(*frames(spark, [(i, "T", i, {}, 0) for i in ids], [(ids[0], i, "R", {}, 0) for i in ids[1:]]))
+    for limit, rows, flag in ((2, 2, True), (4, 4, False), (9, 4, False)):
+        out = run_json(store.read(), json.dumps({"query": "pipe", "args": {"vertex_id": ids[0], "direction": "outbound"}}), limit)
+        assert (out.rows_returned, out.truncated) == (rows, flag)
+    assert run_json(store.read(), json.dumps({"query": "pipe", "args": {"vertex_id": ids[3], "direction": "outbound"}})).rows == []
+
+
 def test_filters_reach_the_scan(spark, large):
     store, _ = large
     g = store.read()
