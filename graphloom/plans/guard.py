@@ -65,10 +65,16 @@ def ancestry(x) -> set[str]:
     return found
 
 
+_built_in: dict[bool, frozenset[str]] = {}  # the registries of built-in functions don't change
+
+
 def built_in(spark: SparkSession, tables: bool) -> frozenset[str]:
+    if tables in _built_in:
+        return _built_in[tables]
     analysis = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.analysis
     registry = analysis.TableFunctionRegistry.builtin() if tables else analysis.FunctionRegistry.builtin()
-    return frozenset(f.funcName() for f in each(registry.listFunction())) - DENIED_FUNCTIONS
+    _built_in[tables] = frozenset(f.funcName() for f in each(registry.listFunction())) - DENIED_FUNCTIONS
+    return _built_in[tables]
 
 
 def names_of(parts) -> list[str]:
