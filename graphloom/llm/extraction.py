@@ -4,12 +4,18 @@ The trees give each element the log odds that it holds main text. Decoding keeps
 element lies in a dropped one and the sum of the log odds of the kept ones is largest: from the leaves up, an element is
 worth its own log odds and what its children are worth where that is positive, and is kept if its parent is and it is
 worth more than nothing. The trees are learned on the driver from made-up pages (page_maker) whose main text is known.
+
+What the words in classes, ids and the like tell is learned too: every word falls into a bucket by its hash, and a bucket's
+weight is by how much the elements that have it hold main text more often than others, in log odds; a word that was never
+seen weighs nothing. Weights come from half of the pages and trees from the other, so that trees don't trust words that
+only the weights' pages have.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -20,18 +26,36 @@ from pyspark.sql import functions as F
 from . import boosting
 from .common import slices
 from .dom import Node, parse
-from .page_maker import NAMES, Maker
+from .page_maker import Maker
 
-#: Pages that the model learns from, and buckets of attribute tokens.
-PAGES, SEED, HASHED = 900, 6, 24
+#: Pages that the model learns from, buckets of attribute tokens, and how many elements a bucket's weight is held back by.
+PAGES, SEED, HASHED, HELD_BACK = 1200, 6, 4096, 2.0
+TREES, DEPTH = 60, 5
 TAGS = "root html body article main section div p h1 h2 h3 h4 ul ol li nav header footer aside form table tr td blockquote pre figure figcaption fieldset dialog dl".split()
 TAG_ID = {t: i for i, t in enumerate(TAGS)}
-KINDS = {token: i for i, names in enumerate(NAMES.values()) for name in names for token in name.replace("_", "-").split("-") if len(token) > 1}
 
 
-def features(nodes: list[Node]) -> np.ndarray:
-    """A row for each node: its tag, depth, size and density of its subtree, links, attribute tokens of itself, its parent
-    and ancestors, its place among its siblings and how it compares with them."""
+def bucket(token: str) -> int:
+    return zlib.crc32(token.encode()) % HASHED
+
+
+def token_weights(pages: list[tuple[list[Node], np.ndarray]]) -> np.ndarray:
+    """Of each bucket: the log odds of main text in elements that have one of its tokens, less those of all elements."""
+    seen, holding, nodes, held = np.zeros(HASHED), np.zeros(HASHED), 0, 0.0
+    for page, y in pages:
+        nodes, held = nodes + len(page), held + y.sum()
+        for x, hold in zip(page, y):
+            at = list({bucket(t) for t in x.tokens})
+            seen[at] += 1
+            holding[at] += hold
+    share = min(max(held / max(nodes, 1), 1e-3), 1 - 1e-3)
+    yes, no = holding + HELD_BACK * share, seen - holding + HELD_BACK * (1 - share)
+    return np.log(yes / no) - np.log(share / (1 - share))
+
+
+def features(nodes: list[Node], weights: np.ndarray) -> np.ndarray:
+    """A row for each node: its tag, depth, size and density of its subtree, links, weights of attribute tokens of itself, its
+    parent and ancestors, its place among its siblings and how it compares with them."""
     n = len(nodes)
     parent = np.array([max(x.parent, 0) for x in nodes])
     end = np.array([x.end for x in nodes])
@@ -43,13 +67,13 @@ def features(nodes: list[Node]) -> np.ndarray:
     chars, links, inline, stops, runs = (sums[end] - sums[here]).T
     below = end - here
     total = max(chars[0], 1)
-    kinds, hashed = np.zeros((n, len(NAMES))), np.zeros((n, HASHED))
+    # least, largest and total weight of the node's own tokens, and how many it has
+    told = np.zeros((n, 4))
     for i, x in enumerate(nodes):
-        for t in x.tokens:
-            if t in KINDS:
-                kinds[i, KINDS[t]] = 1
-            hashed[i, zlib.crc32(t.encode()) % HASHED] = 1
-    above = kinds.copy()  # tokens of the node and its ancestors
+        if x.tokens:
+            w = weights[list({bucket(t) for t in x.tokens})]
+            told[i] = w.min(), w.max(), w.sum(), len(w)
+    above = np.column_stack([np.minimum(told[:, 0], 0), np.maximum(told[:, 1], 0), told[:, 2]])  # least, largest, total of the node and its ancestors
     tag_above = np.zeros((n, 8))  # nav header footer aside form article/main, li, table
     groups = {"nav": 0, "header": 1, "footer": 2, "aside": 3, "form": 4, "article": 5, "main": 5, "li": 6, "table": 7}
     index = np.zeros(n)
@@ -58,7 +82,8 @@ def features(nodes: list[Node]) -> np.ndarray:
         if x.tag in groups:
             tag_above[i, groups[x.tag]] = 1
         if i:
-            above[i] = np.maximum(above[i], above[parent[i]])
+            up = above[parent[i]]
+            above[i] = min(above[i, 0], up[0]), max(above[i, 1], up[1]), above[i, 2] + up[2]
             tag_above[i] = np.maximum(tag_above[i], tag_above[parent[i]])
             index[i] = children[parent[i]]
             children[parent[i]] += 1
@@ -71,7 +96,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     cols = [depth, np.log1p(chars), np.log1p(below), np.log1p(density), chars / total, links / np.maximum(chars, 1), inline / np.maximum(chars, 1) * 100, stops / np.maximum(chars, 1) * 100,
             np.log1p(own[:, 0]), own[:, 1] / np.maximum(own[:, 0], 1), runs, index, siblings, index / siblings, children, chars / np.maximum(family, 1), chars / np.maximum(rival[parent], 1), before, density / np.maximum(density[parent], 1e-9), links[parent] / np.maximum(chars[parent], 1), tag, tag[parent]]
     one_hot = [tag == i for i in range(len(TAGS))]
-    return np.column_stack([*cols, *one_hot, kinds, above, kinds[parent], tag_above, hashed])
+    return np.column_stack([*cols, *one_hot, told, above, told[parent], above[parent], tag_above])
 
 
 def labelled(page: str) -> tuple[list[Node], np.ndarray]:
@@ -89,11 +114,22 @@ def labelled(page: str) -> tuple[list[Node], np.ndarray]:
     return nodes, holds
 
 
+@dataclass
+class Model:
+    weights: np.ndarray
+    trees: boosting.Boosted
+
+    def log_odds(self, pages: list[list[Node]]) -> np.ndarray:
+        """Of the nodes of all pages, one after another."""
+        return self.trees.log_odds(np.concatenate([features(nodes, self.weights) for nodes in pages])) if pages else np.empty(0)
+
+
 @lru_cache(maxsize=2)
-def learned(pages: int = PAGES, seed: int = SEED) -> boosting.Boosted:
+def learned(pages: int = PAGES, seed: int = SEED) -> Model:
     maker = Maker(seed)
     made = [labelled(maker.page()) for _ in range(pages)]
-    return boosting.fit(np.concatenate([features(nodes) for nodes, _ in made]), np.concatenate([y for _, y in made]))
+    weights, rest = token_weights(made[: pages // 2]), made[pages // 2 :]
+    return Model(weights, boosting.fit(np.concatenate([features(nodes, weights) for nodes, _ in rest]), np.concatenate([y for _, y in rest]), TREES, DEPTH))
 
 
 def decode(nodes: list[Node], log_odds: np.ndarray) -> np.ndarray:
@@ -114,9 +150,9 @@ def main_text(nodes: list[Node], kept: np.ndarray) -> str:
     return "\n".join(text for _, _, text in runs)
 
 
-def extract_pages(pages: list[str | None], model: boosting.Boosted) -> list[str]:
+def extract_pages(pages: list[str | None], model: Model) -> list[str]:
     parsed = [parse(p) for p in pages]
-    odds = model.log_odds(np.concatenate([features(nodes) for nodes in parsed])) if parsed else np.empty(0)
+    odds = model.log_odds(parsed)
     out, at = [], 0
     for nodes in parsed:
         out.append(main_text(nodes, decode(nodes, odds[at : at + len(nodes)])))
@@ -124,7 +160,7 @@ def extract_pages(pages: list[str | None], model: boosting.Boosted) -> list[str]
     return out
 
 
-def extract(spark: SparkSession, pages: DataFrame, model: boosting.Boosted | None = None, html: str = "html") -> DataFrame:
+def extract(spark: SparkSession, pages: DataFrame, model: Model | None = None, html: str = "html") -> DataFrame:
     """pages (without html) with text: the main text, '' if there is none.
 
     Null and empty pages give ''. Text without markup is main text if the model takes it so. Pages are read whole, of

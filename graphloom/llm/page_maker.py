@@ -23,8 +23,10 @@ SYLLABLES = "an be con der en fa gi ho in ka lo mi ne or pa que ra su ti un ve w
 
 
 class Maker:
-    def __init__(self, seed: int):
-        self.r = random.Random(seed)
+    """Pages by a seed; that share of them, strange, has made-up words for the names of its parts, which tell nothing."""
+
+    def __init__(self, seed: int, strange: float = 0.2):
+        self.r, self.strange, self.names = random.Random(seed), strange, NAMES
 
     def words(self, n: int) -> str:
         return " ".join("".join(self.r.choices(SYLLABLES, k=self.r.randint(1, 3))) for _ in range(n))
@@ -41,11 +43,11 @@ class Maker:
         r = self.r
         attrs = ""
         if r.random() < 0.8:
-            names = " ".join(r.sample(NAMES[kind], r.choice((1, 1, 2))))
+            names = " ".join(r.sample(self.names[kind], r.choice((1, 1, 2))))
             attrs = f' {r.choice(("class", "class", "class", "id"))}="{names}"'
         tag = tag or r.choice(("div", "div", "section"))
         if not attrs and tag in ("div", "section") and kind != "main":
-            attrs = f' class="{r.choice(NAMES[kind])}"'
+            attrs = f' class="{r.choice(self.names[kind])}"'
         return f"<{tag}{attrs}>", f"</{tag}>"
 
     def links(self, kind: str, tag: str | None = None) -> str:
@@ -118,6 +120,7 @@ class Maker:
     def page(self) -> str:
         """Main text lies between \\1 and \\2."""
         r = self.r
+        self.names = {k: [f"{self.words(1)}-{self.words(1)}" for _ in range(6)] for k in NAMES} if r.random() < self.strange else NAMES
         if r.random() < 0.04:
             return f"<html><body>\1{escape(self.sentences(1, 8))}\2</body></html>" if r.random() < 0.5 else f"\1{self.sentences(1, 5)}\2"
         title = self.sentences(1, 2)

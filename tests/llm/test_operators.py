@@ -304,12 +304,37 @@ def test_extraction(spark):
     maker, wrong = Maker(77), 0
     for _ in range(40):
         nodes, y = extraction.labelled(maker.page())
-        kept = extraction.decode(nodes, model.log_odds(extraction.features(nodes)))
+        kept = extraction.decode(nodes, model.log_odds([nodes]))
         assert all(kept[n.parent] for n, k in zip(nodes, kept) if k and n.parent >= 0)  # no kept element in a dropped one
         wrong += extraction.main_text(nodes, kept) != extraction.main_text(nodes, y > 0)
     assert wrong <= 8
 
 
+def test_extraction_of_pages_whose_names_were_never_seen():
+    model, maker, right, all_of = extraction.learned(400), Maker(78, strange=1.0), 0, 0
+    for _ in range(60):
+        nodes, y = extraction.labelled(maker.page())
+        kept = extraction.decode(nodes, model.log_odds([nodes]))
+        for x, a, b in zip(nodes, kept, y > 0):
+            size = sum(len(text) for _, text in x.runs)
+            right, all_of = right + 2 * size * (a and b), all_of + size * (int(a) + int(b))
+    assert right > 0.9 * all_of
+
+
+def test_weights_of_attribute_words():
+    def page(*words):
+        return [dom.Node("root", -1, 0, []), *(dom.Node("div", 0, 1, [w]) for w in words)]
+
+    good, bad = extraction.bucket("good"), extraction.bucket("bad")
+    w = extraction.token_weights([(page("good", "bad", "both", "both"), np.array([1, 1, 0, 1, 0]))] * 50)
+    assert w[good] > 1 and w[bad] < -1 and abs(w[extraction.bucket("both")]) < 0.5
+    # by hand: 3/5 of 250 elements hold text, and each of "good"'s 50
+    share, held = 0.6, extraction.HELD_BACK
+    assert np.isclose(w[good], np.log((50 + held * share) / (held * (1 - share))) - np.log(share / (1 - share)))
+    assert (np.delete(w, [good, bad, extraction.bucket("both")]) == 0).sum() == extraction.HASHED - 3  # never seen: nothing
+    assert not extraction.token_weights([]).any()
+
+
 def test_a_head_ends_without_its_end_tag():
     for page in ("<html><head><title>t</title><meta name=a><body><p>text", "<head><title>t</title><script>x</script><p>text", "<head><link rel=a><b>text</b>", "<head></head><body>text"):
         nodes = dom.parse(page)
