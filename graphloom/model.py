@@ -27,18 +27,26 @@ EDGE_KEY = ("outbound_id", "t", "inbound_id")
 
 @dataclass
 class Graph:
-    """Look-ups are filters here; a stored graph (sources/store.py) answers them from few files."""
+    """Look-ups are filters here; a stored graph (sources/store.py) answers them from few files, a view over tables
+    (sources/tables.py) from the tables of the labels and types that are named."""
 
     vertices: DataFrame
     edges: DataFrame
 
+    def vertices_typed(self, *labels: str) -> DataFrame:
+        """Vertices of any of the labels; of all, if none is named."""
+        return self.vertices.where(F.col("t").isin(*labels)) if labels else self.vertices
+
+    def edges_typed(self, *types: str) -> DataFrame:
+        """Edges of any of the types; of all, if none is named."""
+        return self.edges.where(F.col("t").isin(*types)) if types else self.edges
+
     def vertices_of(self, ids: list[str]) -> DataFrame:
         return self.vertices.where(F.col("id").isin(ids))
 
     def edges_at(self, ids: list[str], direction: str = "outbound", t: str | None = None) -> DataFrame:
         """Edges whose end on that side is one of ids."""
-        found = self.edges.where(F.col(f"{direction}_id").isin(ids))
-        return found if t is None else found.where(F.col("t") == t)
+        return self.edges_typed(*([] if t is None else [t])).where(F.col(f"{direction}_id").isin(ids))
 
     def vertices_in(self, ids: DataFrame) -> DataFrame:
         """Vertices whose id is in a table (id)."""

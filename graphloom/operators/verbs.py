@@ -27,11 +27,11 @@ def all_edges(g: Graph, limit: int | None = None) -> DataFrame:
 
 
 def vertex_with_type(g: Graph, t: str, limit: int | None = None) -> DataFrame:
-    return first_rows(g.vertices.where(F.col("t") == t), ("id",), limit)
+    return first_rows(g.vertices_typed(t), ("id",), limit)
 
 
 def edge_with_type(g: Graph, t: str, limit: int | None = None) -> DataFrame:
-    return first_rows(g.edges.where(F.col("t") == t), EDGE_KEY, limit)
+    return first_rows(g.edges_typed(t), EDGE_KEY, limit)
 
 
 def vertex_with_property_equal(g: Graph, name: str, value: object, limit: int | None = None) -> DataFrame:

@@ -374,7 +374,7 @@ def two_hop(spark, sf_dir):
     """(order)-[PLACED_BY]->(customer)-[LIVES_IN]->(nation)"""
     g = tables.graph(spark, sf_dir)
     orders = tables.vertices(spark, sf_dir, "Orders").select(F.col("id").alias("o"), F.col("usr").alias("ou"))
-    hop = traverse.expand(traverse.expand(orders, g.edges, "o", "c", t="PLACED_BY"), g.edges, "c", "n", t="LIVES_IN")
+    hop = traverse.expand(traverse.expand(orders, g.edges_typed("PLACED_BY"), "o", "c"), g.edges_typed("LIVES_IN"), "c", "n")
     nations = tables.vertices(spark, sf_dir, "Nation").select(F.col("id").alias("n"), F.col("usr").alias("nu"))
     number = lambda c: F.element_at(F.split(c, ":"), 2)
     return hop.join(nations, "n").select(number("ou").cast("long").alias("o_orderkey"), number("nu").cast("int").alias("c_nationkey"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -79,5 +81,28 @@ def edges(spark: SparkSession, sf_dir: str, *types: str) -> DataFrame:
     return out
 
 
+class TableGraph(Graph):
+    """The view as a graph: named labels and types are planned from their own tables, the whole only where it is asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def vertices(self) -> DataFrame:
+        return vertices(self.spark, self.sf_dir)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return edges(self.spark, self.sf_dir)
+
+    def vertices_typed(self, *labels: str) -> DataFrame:
+        known = [t for t in VERTICES if t in labels]
+        return vertices(self.spark, self.sf_dir, *known) if known else super().vertices_typed(*labels)
+
+    def edges_typed(self, *types: str) -> DataFrame:
+        known = [t for t in [*EDGES, "NEXT_TURN"] if t in types]
+        return edges(self.spark, self.sf_dir, *known) if known else super().edges_typed(*types)
+
+
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph(vertices(spark, sf_dir), edges(spark, sf_dir))
+    return TableGraph(spark, sf_dir)

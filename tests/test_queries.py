@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from graphloom import queries
+from graphloom.sources import tables
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -28,3 +29,16 @@ def test_same_as_sql(spark, name):
     assert sorted(names) == sorted(df.columns)
     want = sorted(str([r[names.index(c)] for c in sorted(names)]) for r in got.fetchall())
     assert sorted(str([r[c] for c in sorted(names)]) for r in df.collect()) == want
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_named_types_are_planned_from_their_own_tables(spark):
+    g = tables.graph(spark, SF)
+    some, links = g.vertices_typed("Customer", "Nation", "NoSuch"), g.edges_typed("LIVES_IN")
+    assert {f.rsplit("/", 1)[1] for f in some.inputFiles()} == {"customer.parquet", "nation.parquet"}
+    assert {f.rsplit("/", 1)[1] for f in links.inputFiles()} == {"customer.parquet"}
+    assert not {"vertices", "edges"} & set(vars(g))  # the whole hasn't been built
+    assert g.vertices_typed("NoSuch").count() == g.edges_typed("NoSuch").count() == 0
+    key = lambda df: sorted(map(str, df.drop("props").collect()))
+    assert key(some) == key(g.vertices.where("t IN ('Customer', 'Nation')")) and key(links) == key(g.edges.where("t = 'LIVES_IN'"))
+    assert key(g.edges_typed("NEXT_TURN")) == key(g.edges.where("t = 'NEXT_TURN'")) and g.edges_typed().count() == g.edges.count()
