@@ -10,10 +10,13 @@ NAMESPACE = "8f6e2c1b7d3a4f599a4b1c0d2e5f8a91"
 
 
 def vertex_id(usr: Column) -> Column:
-    """The version 5 UUID of a symbol's usr, in lower-case text."""
-    h = F.sha1(F.concat(F.unhex(F.lit(NAMESPACE)), F.encode(usr, "UTF-8")))
-    nibble = F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4
-    variant = F.substring(F.lit("89ab"), nibble + 1, F.lit(1))
+    """The version 5 UUID of a symbol's usr, in lower-case text.
+
+    Made of functions that are null for null arguments only: where a usr can't be null, the id can't be either, and a join
+    on it needs no filter for nulls, which would compute the hash once more for each of its parts.
+    """
+    h = F.sha1(F.concat(F.unhex(F.lit(NAMESPACE)), usr.cast("binary")))
+    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab" * 4)
     return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
 
 
