@@ -169,6 +169,30 @@ def test_positions_against_all_pairs(spark):
             spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_extents_that_outlast_later_ones_come_from_growing_frames(spark):
+    cur = spark.createDataFrame([("t", "f", i, 0, i, 1, i + 3, 1) for i in range(1, 9)], "tu string, file string, id long, parent_id long, line int, col int, end_line int, end_col int")
+    found = position.cursors_at(spark.createDataFrame([("t", "f", 5, 1)], "tu string, file string, line int, col int"), cur)
+    # a frame that ends at its partition's end is computed anew for each row
+    assert "unboundedfollowing" not in plan_of(found).lower().replace(" ", "").replace("$()", "")
+    assert [r.id for r in found.collect()] == [5]
+
+
+def test_tables_of_nodes_are_not_broadcast(spark):
+    wrote = []
+
+    def checkpoint(df):
+        wrote.append(plan_of(df))
+        return lineage.cut_lineage(spark, df)
+
+    context = extract.in_context(spark.createDataFrame(ROWS, COLS), checkpoint)
+    plans = [*wrote, plan_of(context), *[plan_of(f(context)) for f in (extract.symbol_nodes, extract.inheritance)]]
+    assert "Join" in "".join(plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
 def test_nearest_ancestor_against_a_walk(spark):
     rng, rows = random.Random(4), []
     for tu in "ab":
