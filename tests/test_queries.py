@@ -42,3 +42,12 @@ def test_named_types_are_planned_from_their_own_tables(spark):
     key = lambda df: sorted(map(str, df.drop("props").collect()))
     assert key(some) == key(g.vertices.where("t IN ('Customer', 'Nation')")) and key(links) == key(g.edges.where("t = 'LIVES_IN'"))
     assert key(g.edges_typed("NEXT_TURN")) == key(g.edges.where("t = 'NEXT_TURN'")) and g.edges_typed().count() == g.edges.count()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_edge_once_pattern_goes_over_customers(spark):
+    """Every customer with a neighbour in the nation has a pair, whatever else they are like."""
+    customers = {(r.c_custkey, r.c_nationkey) for r in spark.read.parquet(f"{SF}/customer.parquet").collect()}
+    want = {(a, b) for a, m in customers for b, n in customers if m == n and a != b}
+    got = queries.queries()["pattern_uses_an_edge_once"](spark, SF).collect()
+    assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
