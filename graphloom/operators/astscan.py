@@ -106,10 +106,11 @@ def tree_texts(nodes: DataFrame, max_depth: int, checkpoint: Checkpoint | None =
     (budget_cut) before.
     """
     checkpoint = checkpoint or shared_writer(nodes.sparkSession)
+    nodes = checkpoint(nodes)  # read by each level below; what nodes are made from isn't computed for each
     here = nodes.select("tu", F.col("id").alias("parent_id"))
     lost = nodes.where("parent_id IS NOT NULL").join(here, ["tu", "parent_id"], "left_anti").select("tu", "id", F.lit(True).alias("lost"))
     rooted = nodes.join(lost, ["tu", "id"], "left").withColumn("parent_id", F.when(F.col("lost").isNull(), F.col("parent_id"))).drop("lost")
-    levels = checkpoint(with_depth(rooted, max_depth, checkpoint))
+    levels = checkpoint(with_depth(checkpoint(rooted), max_depth, checkpoint))
     deepest = levels.agg(F.max("depth")).first()[0]
     own = F.to_json(F.struct(*FIELDS), {"ignoreNullFields": "false"})
     below = None
