@@ -48,29 +48,41 @@ def paths(starts: DataFrame, steps: DataFrame, low: int, high: int | None, check
     return out
 
 
+def key_of() -> F.Column:
+    """The key of a step's edge, from its ends (a, b), type (t) and whether it is gone against its direction (back). It is made after
+    the join, as with it a step is more than twice as long to shuffle."""
+    one, other = F.when(F.col("back"), F.col("b")).otherwise(F.col("a")), F.when(F.col("back"), F.col("a")).otherwise(F.col("b"))
+    return F.concat_ws("|", one, F.col("t"), other)
+
+
 def steps_of(edges: DataFrame, t: str | None = None) -> DataFrame:
     """Edges (of a type) as steps from source to target."""
     found = edges if t is None else edges.where(F.col("t") == t)
-    return found.select(F.col("outbound_id").alias("a"), F.col("inbound_id").alias("b"), F.concat_ws("|", "outbound_id", "t", "inbound_id").alias("e"))
+    return found.select(F.col("outbound_id").alias("a"), F.col("inbound_id").alias("b"), "t", F.lit(False).alias("back"))
 
 
 def closure(spark: SparkSession, links: DataFrame, starts: DataFrame, checkpoint, max_rounds: int | None = None) -> DataFrame:
     """links (src, dst), starts (node) -> (start, node, depth): all that can be reached, with the smallest number of steps.
 
-    Breadth first; each round joins only the newest nodes and is written by checkpoint(df), so lineage stays short and
-    cycles end. With max_rounds, nodes that are further away are an error.
+    Breadth first; each round joins only the newest nodes and is written by checkpoint(df), so lineage stays short. What was reached
+    before is taken out of the newest at depths that are powers of two, so it is read a logarithm of the depth's times, not in every round; cycles end
+    there, and what was reached again in between goes by the smallest depth. With max_rounds, nodes that are further away are an error.
     """
     seen = checkpoint(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct())
-    newest = seen
+    newest, due, repeated = seen, 1, False
     for depth in count(1):
         step = newest.join(links, newest["node"] == links["src"]).select("start", F.col("dst").alias("node")).distinct()
-        newest = checkpoint(step.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        if depth == due or (max_rounds is not None and depth > max_rounds):
+            step, due = step.join(seen, ["start", "node"], "left_anti"), 2 * depth
+        else:
+            repeated = True
+        newest = checkpoint(step.withColumn("depth", F.lit(depth)))
         if newest.isEmpty():
             break
         if max_rounds is not None and depth > max_rounds:
             raise GraphError("INVALID_ARGUMENT", f"some nodes are more than {max_rounds} steps away")
         seen = seen.union(newest)
-    return seen
+    return seen.groupBy("start", "node").agg(F.min("depth").alias("depth")) if repeated else seen
 
 
 def labels(g: Graph) -> DataFrame:
