@@ -33,7 +33,7 @@ from ..lineage import cut_lineage
 from ..model import EDGE_KEY, EDGE_SCHEMA, VERTEX_SCHEMA, Graph
 from ..operators.introspect import SAFE_NAME
 from ..operators.upsert import merged
-from .manifest import BLOOM_HASHES, Bucket, Entry, Manifest, Manifests, bloom_of, bloom_positions, bucket_index, split, whole
+from .manifest import BLOOM_HASHES, Bucket, Entry, Manifest, Manifests, bloom_of, bloom_positions, bucket_index, few_listing_tasks, split, whole
 
 #: kind: (columns, the id by which rows are dealt, key)
 KINDS = {
@@ -102,7 +102,8 @@ class ParquetStore:
 
     def _files(self, kind: str, entries: list[Entry], typed: list[str] = []) -> DataFrame:
         schema = KINDS[kind][0] + ", seq long" + "".join(f", `s${k}` string, `n${k}` double" for k in typed)
-        return self.spark.read.schema(schema).parquet(*[f"{self.url}/data/{e.path}" for e in entries])
+        with few_listing_tasks(self.spark):
+            return self.spark.read.schema(schema).parquet(*[f"{self.url}/data/{e.path}" for e in entries])
 
     def _rows(self, kind: str, entries: list[Entry], where: Column | None = None, prop: tuple[str, object] | None = None) -> DataFrame:
         """The latest version of each row in these files. where: over the key, for rows that are asked for; prop: a property and its
@@ -143,10 +144,13 @@ class ParquetStore:
         _, routed, key = KINDS[kind]
         name = f"{kind}-{seq:012d}-{uuid.uuid4().hex[:12]}"
         order = ["bucket", "part", routed, *[k for k in key if k != routed]]
-        placed = df.select("*", F.lit(seq).cast("long").alias("seq"), *typed_columns(typed), bucket_index(F.col(routed), buckets).alias("bucket"), F.col("t").alias("part"))
+        placed = df.select("*", F.lit(seq).cast("long").alias("seq"), bucket_index(F.col(routed), buckets).alias("bucket"), F.col("t").alias("part"))
         # by ranges: files of like size, each with few ids between its first and last, also where one bucket holds most rows
-        placed.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket", "part").parquet(f"{self.url}/data/{name}")
-        written = self.spark.read.schema(f"{routed} string, fresh boolean, props map<string,string>").parquet(f"{self.url}/data/{name}") if self._has_files(name) else None
+        dealt = placed.repartitionByRange(*order).select("*", *typed_columns(typed)).sortWithinPartitions(*order)
+        # each task moves its own files: nobody reads them before the manifest that lists them, and the driver would move them one by one
+        dealt.write.partitionBy("bucket", "part").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(f"{self.url}/data/{name}")
+        with few_listing_tasks(self.spark):
+            written = self.spark.read.schema(f"{routed} string, fresh boolean, props map<string,string>").parquet(f"{self.url}/data/{name}") if self._has_files(name) else None
         if written is None:
             return []
         rows = written.select(F.col("_metadata.file_path").alias("path"), F.col(routed).alias("id"), "fresh", "props")
