@@ -5,7 +5,7 @@ import pytest
 from graphloom import queries
 from graphloom.operators import extract
 
-NAMES = ("extract_nodes", "extract_references", "incremental_nodes", "extract_calls")
+NAMES = ("extract_nodes", "extract_references", "incremental_nodes", "extract_calls", "extract_containment")
 
 
 @pytest.fixture
