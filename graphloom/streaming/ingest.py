@@ -19,29 +19,24 @@ from ..sources.store import ParquetStore
 def unit_errors(cursors: DataFrame) -> DataFrame:
     """(tu, error): units that can't be ingested, with the first of what is wrong with them.
 
-    Partial aggregates and joins by (tu, id): a unit with most rows is never gathered.
+    Cursors are read once: each counts at its own id, and as a child at its parent's. Partial aggregates by (tu, id): a unit with most rows is never gathered.
     """
-    ids = cursors.groupBy("tu", "id").agg(F.count("*").alias("n"), F.min("parent_id").alias("parent_id"))
-    lost = ids.where("parent_id IS NOT NULL").join(ids.select("tu", F.col("id").alias("parent_id")), ["tu", "parent_id"], "left_anti")
-    found = [
-        ids.where("tu IS NULL OR id IS NULL").select("tu", F.lit("a cursor without unit or id").alias("error")),
-        ids.where("n > 1").select("tu", F.lit("an id that comes twice").alias("error")),
-        ids.where("parent_id >= id").select("tu", F.lit("a parent that doesn't come before its child").alias("error")),
-        lost.select("tu", F.lit("a parent that isn't in the unit").alias("error")),
-    ]
-    out = found[0]
-    for df in found[1:]:
-        out = out.union(df)
-    return out.groupBy("tu").agg(F.min("error").alias("error"))
-
-
-def upsert_cursors(store: ParquetStore, cursors: DataFrame, **options) -> dict[str, int]:
+    at = lambda key, n, parent: F.struct(key.alias("id"), F.lit(n).alias("n"), parent.alias("parent_id"))
+    none = F.lit(None).cast("bigint")
+    own, child = at(F.col("id").cast("bigint"), 1, F.col("parent_id").cast("bigint")), at(F.col("parent_id").cast("bigint"), 0, none)
+    both = cursors.select("tu", F.inline(F.when(F.col("parent_id").isNull(), F.array(own)).otherwise(F.array(own, child))))
+    ids = both.groupBy("tu", "id").agg(F.sum("n").alias("n"), F.min("parent_id").alias("parent_id"))
+    error = F.when(F.col("tu").isNull() | F.col("id").isNull(), "a cursor without unit or id").when(F.col("parent_id") >= F.col("id"), "a parent that doesn't come before its child").when(F.col("n") == 0, "a parent that isn't in the unit").when(F.col("n") > 1, "an id that comes twice")
+    return ids.select("tu", error.alias("error")).where("error IS NOT NULL").groupBy("tu").agg(F.min("error").alias("error"))
+
+
+def upsert_cursors(store: ParquetStore, cursors: DataFrame, errors: DataFrame | None = None, **options) -> dict[str, int]:
     """Extracts the sound units of cursors and upserts them; a later unit's properties overwrite an earlier one's, by name.
 
-    Counts of rows, of units and of units that failed (see unit_errors).
+    Counts of rows, of units and of units that failed (errors, if known already: see unit_errors).
     """
     spark = cursors.sparkSession
-    errors = cut_lineage(spark, unit_errors(cursors), "unit-errors")
+    errors = cut_lineage(spark, unit_errors(cursors), "unit-errors") if errors is None else errors
     failed = errors.count()
     sound = cursors.where("tu IS NOT NULL").join(errors.select("tu"), "tu", "left_anti") if failed else cursors
     nodes, edges = extract(sound, **options)
@@ -72,10 +67,12 @@ def ingest_files(spark: SparkSession, folder: str, store: ParquetStore, errors:
     def ingest(batch: DataFrame, number: int) -> None:
         rows = cut_lineage(spark, batch, "batch")
         bad = rows.where(F.col(CORRUPT).isNotNull()).groupBy("path").agg(F.concat(F.lit("a line that can't be read: "), F.min(F.substring(CORRUPT, 1, 200))).alias("error"))
-        sound = rows.join(bad.select("path"), "path", "left_anti").drop("path", CORRUPT)
-        wrong = bad.select("path", F.lit(None).cast("string").alias("tu"), "error").unionByName(unit_errors(sound).select(F.lit(None).cast("string").alias("path"), "tu", "error"))
+        bad = cut_lineage(spark, bad, "bad-files")
+        sound = rows.join(F.broadcast(bad.select("path")), "path", "left_anti").drop("path", CORRUPT)  # a row for a file of the batch, at most
+        failed = cut_lineage(spark, unit_errors(sound), "unit-errors")
+        wrong = bad.select("path", F.lit(None).cast("string").alias("tu"), "error").unionByName(failed.select(F.lit(None).cast("string").alias("path"), "tu", "error"))
         wrong.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{errors.rstrip('/')}/batch={number}")
-        upsert_cursors(store, sound, **options)
+        upsert_cursors(store, sound, failed, stored=True, **options)
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(ingest).start()
 
