@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..lineage import Checkpoint
 from ..model import EDGE_KEY, PROPS
 
 
@@ -20,13 +22,19 @@ class Upserted:
     attempted: DataFrame
 
 
-def merged(items: DataFrame, key: tuple[str, ...], keep_first: tuple[str, ...] = ()) -> DataFrame:
+def merged(items: DataFrame, key: tuple[str, ...], keep_first: tuple[str, ...] = (), checkpoint: Checkpoint | None = None) -> DataFrame:
     """items (key, keep_first, props, seq) folded by key in the order of seq.
 
     The first keep_first values win; of a property, the last value wins, and properties that later rows lack stay. The
     fold runs over exploded properties as two aggregations with partial sums of their own, so a key written very often
-    is never gathered into one list.
+    is never gathered into one list. With checkpoint(df), for items that are stored, the keys that come more than once are
+    written first, and only their rows are folded; the others are what they are.
     """
+    if checkpoint is not None:
+        repeated = checkpoint(items.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*[F.col(k).alias(f"__{k}") for k in key]))
+        on, whole = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__{k}") for k in key]), reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
+        single = items.where(whole).join(repeated, on, "left_anti").select(*key, *keep_first, F.coalesce(F.map_from_entries(F.array_sort(F.map_entries("props"))), F.create_map().cast(PROPS)).alias("props"))
+        return single.unionByName(merged(items.join(repeated, on, "left_semi").unionByName(items.where(~whole)), key, keep_first))
     if keep_first:
         heads = items.groupBy(*key).agg(*[F.min_by(c, "seq").alias(c) for c in keep_first])
     else:

@@ -33,7 +33,7 @@ from ..lineage import cut_lineage
 from ..model import EDGE_KEY, EDGE_SCHEMA, VERTEX_SCHEMA, Graph
 from ..operators.introspect import SAFE_NAME
 from ..operators.upsert import merged
-from .manifest import BLOOM_HASHES, Bucket, Entry, Manifest, Manifests, bloom_of, bloom_positions, bucket_index, few_listing_tasks, split, whole
+from .manifest import MOST_BITS, Bucket, Entry, Manifest, Manifests, bloom_of, bloom_positions, bucket_index, few_listing_tasks, split, whole
 
 #: kind: (columns, the id by which rows are dealt, key)
 KINDS = {
@@ -154,11 +154,17 @@ class ParquetStore:
         if written is None:
             return []
         rows = written.select(F.col("_metadata.file_path").alias("path"), F.col(routed).alias("id"), "fresh", "props")
-        # bits of the filter and names of properties are counted by one aggregation, and meet in a row for each file
-        marks = F.concat(F.transform(bloom_positions(F.xxhash64("id")), lambda p: F.struct(F.lit(True).alias("bit"), p.cast("string").alias("value"))), F.transform(F.map_keys("props"), lambda k: F.struct(F.lit(False).alias("bit"), k.alias("value"))))
-        counted = rows.select("path", "id", "fresh", F.inline(marks)).groupBy("path", "bit", "value").agg(F.count("*").alias("n"), F.count_if("fresh").alias("fresh"), F.min("id").alias("low"), F.max("id").alias("high"))
-        bit, rows_of = F.col("bit"), lambda c: (F.sum(F.when(F.col("bit"), F.col(c)).otherwise(0)) / BLOOM_HASHES).cast("long").alias(f"{c}_rows")
-        found = counted.groupBy("path").agg(rows_of("n"), rows_of("fresh"), F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list(F.when(bit, F.col("value").cast("int"))).alias("bits"), F.collect_list(F.when(~bit, F.struct("value", "n"))).alias("keys")).collect()
+        # each counted by an aggregation of its own, whose groups are few beside the rows, and met in a row for each file
+        none = lambda **types: [F.lit(None).cast(t).alias(c) for c, t in types.items()]
+        sums = rows.groupBy("path").agg(F.count("*").alias("n"), F.count_if("fresh").alias("fresh"), F.min("id").alias("low"), F.max("id").alias("high")).select("*", *none(bit="int", name="string", named="long"))
+        bits = rows.select("path", F.explode(bloom_positions(F.xxhash64("id"))).alias("bit")).distinct().select("path", *none(n="long", fresh="long", low="string", high="string"), "bit", *none(name="string", named="long"))
+        sets = rows.groupBy("path", F.map_keys("props").alias("names")).agg(F.count("*").alias("named"))
+        names = sets.select("path", F.explode("names").alias("name"), "named").groupBy("path", "name").agg(F.sum("named").alias("named")).select("path", *none(n="long", fresh="long", low="string", high="string", bit="int"), "name", "named")
+        filter_ = F.collect_list("bit")
+        found = sums.unionByName(bits).unionByName(names).groupBy("path").agg(
+            F.max("n").alias("n_rows"), F.max("fresh").alias("fresh_rows"), F.min("low").alias("low"), F.max("high").alias("high"), F.when(F.size(filter_) <= MOST_BITS, filter_).alias("bits"),
+            F.collect_list(F.when(F.col("name").isNotNull(), F.struct(F.col("name").alias("value"), F.col("named").alias("n")))).alias("keys"),
+        ).collect()
         out = []
         for r in found:
             bucket, part, file = unquote(r.path).split("/")[-3:]  # a URI; names of folders are quoted once more
@@ -186,16 +192,18 @@ class ParquetStore:
             m.buckets.setdefault(k, whole(self.depth))
             m.entries += self._write(k, rows, m.buckets[k], m.version + 1, True, typed)
 
-    def _known(self, m: Manifest, kind: str, wanted: DataFrame, column: str) -> DataFrame:
-        """The stored rows of kind whose id (by which they are dealt) is in wanted's column."""
+    def _known(self, m: Manifest, kind: str, wanted: DataFrame, column: str, more: bool = False) -> DataFrame:
+        """The stored rows of kind whose id (by which they are dealt) is in wanted's column; more: others too, as the caller joins them anyway."""
         routed = KINDS[kind][1]
         ids = wanted.select(F.col(column).alias("id")).where("id IS NOT NULL").distinct()
         few = [r.id for r in ids.limit(FEW + 1).collect()]
         if len(few) <= FEW:
             return self._rows(kind, m.holding(kind, few), F.col(routed).isin(few))
         buckets = m.buckets.get(kind, [])
-        touched = {buckets[r.b] for r in ids.select(bucket_index(F.col("id"), buckets).alias("b")).distinct().collect()} if buckets else set()  # no more than there are buckets
-        return self._rows(kind, [e for e in m.of(kind) if e.bucket in touched]).join(ids.select(F.col("id").alias(routed)), routed, "left_semi")
+        named = wanted.where(F.col(column).isNotNull())
+        touched = {buckets[r.b] for r in named.select(bucket_index(F.col(column), buckets).alias("b")).distinct().collect()} if buckets else set()  # no more than there are buckets
+        rows = self._rows(kind, [e for e in m.of(kind) if e.bucket in touched])
+        return rows if more else rows.join(ids.select(F.col("id").alias(routed)), routed, "left_semi")
 
     def upsert(self, vertices: DataFrame, edges: DataFrame) -> dict[str, int]:
         """Upserts batches (with seq) and publishes the new graph; counts of rows inserted and attempted.
@@ -209,8 +217,10 @@ class ParquetStore:
             batch = cut_lineage(self.spark, batch, kind)
             counts[f"{kind}_attempted"] = batch.count()
             if kind == "edges":
+                # with a batch that isn't small beside the store, looking for its vertices first would only be one more join
+                large = SHARE * sum(e.rows for e in new.of("vertices")) < counts["edges_attempted"]
                 for end in ("outbound_id", "inbound_id"):
-                    batch = batch.join(self._known(new, "vertices", batch, end).select(F.col("id").alias(end)), end, "left_semi")
+                    batch = batch.join(self._known(new, "vertices", batch, end, large).select(F.col("id").alias(end)), end, "left_semi")
             delta = cut_lineage(self.spark, self._versions(new, kind, batch), f"{kind}-delta")
             written = self._append(new, kind, delta)
             counts[f"{kind}_inserted"] = sum(e.fresh for e in written)
@@ -222,13 +232,15 @@ class ParquetStore:
         """The new versions of the batch's rows, with fresh: whether the key is new."""
         schema, routed, key = KINDS[kind]
         first = ("t", "usr") if kind == "vertices" else ()
-        folded = merged(batch, key, first)
+        folded = merged(batch, key, first, lambda df: cut_lineage(self.spark, df, f"{kind}-repeated"))
+        names = [x.split()[0] for x in schema.split(", ")]
+        if not m.of(kind):
+            return folded.select(*names, F.lit(True).alias("fresh"))
         old = self._known(m, kind, folded, routed).select(*[F.col(k).alias(f"o_{k}") for k in key], *[F.col(c).alias(f"old_{c}") for c in first], F.col("props").alias("old_props"), F.lit(True).alias("stored"))
         both = folded.join(old, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"o_{k}")) for k in key]), "left")
         fresh = F.col("stored").isNull()
         kept = F.filter(F.map_entries("old_props"), lambda e: ~F.map_contains_key("props", e["key"]))
         props = F.when(fresh, F.col("props")).otherwise(F.map_from_entries(F.array_sort(F.concat(kept, F.map_entries("props")))))
-        names = [x.split()[0] for x in schema.split(", ")]
         return both.withColumn("props", props).withColumns({c: F.when(fresh, F.col(c)).otherwise(F.col(f"old_{c}")) for c in first}).select(*names, fresh.alias("fresh"))
 
     def _append(self, m: Manifest, kind: str, delta: DataFrame) -> list[Entry]:
